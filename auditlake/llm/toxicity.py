@@ -4,6 +4,10 @@ The kernel of two words is that of their common subsequences of three letters, e
 the letters it spans, gaps included, and normalized. A sentence is as toxic as its most toxic word (multiple-instance
 learning); a machine trained on the landmarks' kernel columns is a weighted sum of kernels, and since the kernel is
 linear in its features, that sum is one table of letter triples, which scores any word at the same cost.
+
+Two machines of the same kernel read each word. The strict one pays dearly for words of clean texts: a single word
+above its threshold makes a text toxic. The loose one finds words that clean texts hold too, now and then; a text is
+toxic when it has more of them than its length explains.
 """
 
 from __future__ import annotations
@@ -19,7 +23,8 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import WordHashes, bounded_sample, mix, per_doc
 
-SAMPLE, LANDMARKS, DECAY, LONGEST, EVIDENCE, NEGATIVES = 4000, 192, 0.6, 24, 8.0, 2500
+SAMPLE, LANDMARKS, DECAY, LONGEST, EVIDENCE, NEGATIVES = 4000, 256, 0.6, 24, 8.0, 2500
+RATES, NEEDS = (0.0, 0.001, 0.002, 0.004, 0.006, 0.01), (0.5, 1.5, 2.5, 3.5, 4.5)
 SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){3,}")
 KEEP = {c: c for c in range(97, 123)} | {c: c + 32 for c in range(65, 91)}
@@ -79,28 +84,30 @@ def kernel(a: list[str], b: list[str], decay: float = DECAY) -> np.ndarray:
 
 
 class Model:
-    """A table of triple weights and a threshold; scores words in groups of equal length and caches them within a bound."""
+    """Two tables of triple weights (strict, loose), their biases, and the words by which the loose one's hits must exceed `rate` a word; caches words within a bound."""
 
-    def __init__(self, table: np.ndarray, bias: float, decay: float = DECAY, bound: int = 400_000):
-        self.table, self.bias, self.decay, self.bound, self.known = table.astype(np.float32), float(bias), decay, bound, {}
+    def __init__(self, tables: np.ndarray, biases: np.ndarray, rate: float = 0.0, need: float = np.inf, decay: float = DECAY, bound: int = 400_000):
+        self.tables, self.biases, self.rate, self.need = tables.astype(np.float32), np.asarray(biases, float), rate, need
+        self.decay, self.bound, self.known = decay, bound, {}
 
     def __getstate__(self):
-        return (self.table, self.bias, self.decay, self.bound)
+        return (self.tables, self.biases, self.rate, self.need, self.decay, self.bound)
 
     def __setstate__(self, s):
-        self.table, self.bias, self.decay, self.bound = s
+        self.tables, self.biases, self.rate, self.need, self.decay, self.bound = s
         self.known = {}
 
     def _score(self, ws: list[str]) -> np.ndarray:
-        out = np.zeros(len(ws))
+        """A row for each word: its scores by the two machines. Words of one length are scored together."""
+        out = np.zeros((len(ws), 2))
         by: dict[int, list[int]] = {}
         for i, w in enumerate(ws):
             by.setdefault(len(w), []).append(i)
         for n, at in by.items():
-            for lo in range(0, len(at), 2000):
-                part = at[lo : lo + 2000]
+            for lo in range(0, len(at), 1000):
+                part = at[lo : lo + 1000]
                 code, weight = triples([ws[i] for i in part], self.decay)
-                raw = (self.table[code] * weight).sum(axis=1)
+                raw = np.stack([(t[code] * weight).sum(axis=1) for t in self.tables], 1)
                 # the norm: equal triples of a word add up before they are squared
                 order = np.argsort(code, axis=1)
                 c = np.take_along_axis(code, order, 1)
@@ -109,11 +116,11 @@ class Model:
                 new[:, 1:] = c[:, 1:] != c[:, :-1]
                 sums = np.add.reduceat(w.ravel(), np.nonzero(new.ravel())[0])
                 row = np.repeat(np.arange(len(part)), new.sum(axis=1))
-                out[part] = raw / np.sqrt(np.bincount(row, sums**2, len(part)))
-        return out + self.bias
+                out[part] = raw / np.sqrt(np.bincount(row, sums**2, len(part)))[:, None]
+        return out + self.biases
 
-    def word_scores(self, words: set[str]) -> float:
-        """The greatest score of any of the words; minus infinity if none has three letters."""
+    def learn(self, words: set[str]) -> dict[str, tuple[float, float]]:
+        """The cache, with scores of these words in it: the greatest over a word's windows, minus infinity if it hasn't three letters."""
         known = self.known
         if len(known) > self.bound:
             known.clear()
@@ -121,15 +128,27 @@ class Model:
         if new:
             wins = {w: windows(w) for w in new}
             flat = [x for v in wins.values() for x in v]
-            got = self._score(flat) if flat else np.zeros(0)
+            got = self._score(flat) if flat else np.zeros((0, 2))
             i = 0
             for w, v in wins.items():
-                known[w] = float(got[i : i + len(v)].max()) if v else -np.inf
+                known[w] = tuple(got[i : i + len(v)].max(axis=0).tolist()) if v else (-np.inf, -np.inf)
                 i += len(v)
-        return max(map(known.__getitem__, words), default=-np.inf)
+        return known
+
+    def counts(self, toks: list[str]) -> tuple[float, int]:
+        """(best strict score, number of loose hits) of a text's words."""
+        distinct = set(toks)
+        known = self.learn(distinct)
+        loose = {w for w in distinct if known[w][1] > 0}
+        return max((known[w][0] for w in distinct), default=-np.inf), sum(t in loose for t in toks) if loose else 0
 
     def text_score(self, text: str | None) -> float:
-        return self.word_scores(set(tokens(text))) if text else -np.inf
+        """Above 0 for toxic texts; minus infinity where there is no word."""
+        toks = tokens(text) if text else []
+        if not toks:
+            return -np.inf
+        strict, hits = self.counts(toks)
+        return max(strict, hits - self.rate * len(toks) - self.need)
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -170,9 +189,10 @@ def without_copies(bags: list[tuple[list[str], bool]], hashes: int = 16) -> list
 
 
 def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay: float = DECAY, rounds: int = 4) -> Model:
-    """A model of labelled texts. Their sentences are the examples: those of clean texts are clean, and of a toxic text at least one is toxic, by its witness word."""
-    bags = [(sorted({w for s in SPLIT.split(t or "") for x in tokens(s) for w in windows(x)}), bool(y)) for t, y in zip(texts, toxic)]
-    bags = without_copies(bags)
+    """A model of labelled texts. Their sentences are the examples: those of clean texts are clean, and of a toxic text at least one is toxic, by its witness words."""
+    nothing = Model(np.zeros((2, 26**3)), [-1.0, -1.0], decay=decay)
+    tokened = [(tokens(t or ""), bool(y)) for t, y in zip(texts, toxic)]
+    bags = without_copies([(sorted({w for x in toks for w in windows(x)}), y) for toks, y in tokened])
     n_tox, n_clean = max(1, sum(y for _, y in bags)), max(1, sum(not y for _, y in bags))
     seen = {True: {}, False: {}}
     for ws, y in bags:
@@ -189,10 +209,10 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay:
     if not strong:
         strong = sorted((w for w in odds if odds[w] > 1), key=lambda w: (-sure[w], w))[:3]
     if not strong:
-        return Model(np.zeros(26**3), -1.0, decay)
-    top = strong[: landmarks // 3]
+        return nothing
+    top = strong[: landmarks // 2]
     rng = np.random.default_rng(5)
-    every = sorted((w for w in seen[False] if w not in set(top)), key=lambda w: (-seen[False][w], w))
+    every = sorted((w for w in seen[False] if w not in set(strong)), key=lambda w: (-seen[False][w], w))
     tail = every[NEGATIVES:]
     clean = every[:NEGATIVES] + [tail[i] for i in sorted(rng.choice(len(tail), min(len(tail), NEGATIVES), replace=False))]
     marks = top + [clean[i] for i in rng.permutation(len(clean))[: landmarks - len(top)]]
@@ -204,35 +224,34 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay:
     def mapped(ws: list[str]) -> np.ndarray:
         return np.vstack([features(ws[i : i + 500], decay) @ fm.T for i in range(0, len(ws), 500)] or [np.zeros((0, len(marks)))]) @ root
 
-    negatives = mapped(clean)
-    chosen = dict.fromkeys(strong)
+    positive, negatives = mapped(strong), mapped(clean)
+    hits = np.array([min(seen[True][w], 50) for w in strong], float)
     for _ in range(rounds):
-        names = list(chosen)
-        counts = np.array([min(seen[True][w], 50) for w in names], float)
-        x = np.vstack([mapped(names), negatives])
-        y = np.concatenate([np.ones(len(names)), -np.ones(len(negatives))])
-        cost = np.concatenate([10.0 + 10.0 * counts / counts.mean(), np.ones(len(negatives))])
-        w = svm(x, y, cost)
-        model = Model(fm.T @ (root @ w[:-1]), w[-1], decay)
-        likely = sorted(w for w, v in odds.items() if v > 1 and seen[True][w] > 1)
-        # witnesses of the next round: those of the last, and the machine's own in toxic texts, where words of clean texts don't speak against them
-        more = [w for w, s in zip(likely, model._score(likely)) if s > 0] if likely else []
+        x, y = np.vstack([positive, negatives]), np.concatenate([np.ones(len(strong)), -np.ones(len(negatives))])
+        machines = []
+        for dear in (30.0, 1.0):
+            cost = np.concatenate([10.0 + 10.0 * hits / hits.mean(), np.full(len(negatives), dear)])
+            w = svm(x, y, cost)
+            machines.append((fm.T @ (root @ w[:-1]), w[-1]))
+        model = Model(np.array([t for t, _ in machines]), [b for _, b in machines], decay=decay)
         known = set(clean)
-        hard = [w for w, s in zip(every, model._score(every)) if s > -0.5 and w not in known and odds.get(w, 0) <= 1] if every else []
-        if set(more) <= set(chosen) and not hard:
+        hard = [w for w, s in zip(every, model._score(every)) if s.max() > 0 and w not in known] if every else []
+        if not hard:
             break
-        chosen |= dict.fromkeys(more)
         clean, negatives = clean + hard, np.vstack([negatives, mapped(hard)])
-    scores = np.array([model.word_scores(set(ws)) for ws, _ in bags])
-    truth = np.array([y for _, y in bags])
-    cuts = np.unique(scores[np.isfinite(scores)])
-    # the threshold with the fewest errors on the sample; of equals, the middle of the widest gap
-    mids = (cuts[1:] + cuts[:-1]) / 2
-    errors = np.array([((scores > m) != truth).sum() for m in mids])
-    best = np.nonzero(errors == errors.min())[0] if len(mids) else []
-    if len(best):
-        gap = (cuts[1:] - cuts[:-1])[best]
-        model.bias -= mids[best[int(np.argmax(gap))]]
+    truth = np.array([y for _, y in tokened])
+    found = [model.counts(toks) for toks, _ in tokened]
+    # the strict threshold lies above all but one in a thousand of the clean texts' best words
+    best = np.array([f[0] for f in found])
+    limit = np.sort(best[~truth])[::-1][int(0.001 * (~truth).sum())] if (~truth).any() else -1.0
+    top_score = float(np.median(best[truth & (best > limit)])) if (truth & (best > limit)).any() else limit + 1
+    model.biases[0] -= max(limit, 0.0) + 0.3 * max(0.0, top_score - max(limit, 0.0))
+    # the loose hits that a text must have, as a part of its words and beyond: the fewest errors on the sample
+    k, size = np.array([f[1] for f in found], float), np.array([len(toks) for toks, _ in tokened], float)
+    sure_already = best + (model.biases[0] - machines[0][1]) > 0
+    choices = [(((k - r * size - b > 0) | sure_already) != truth).sum() for r in RATES for b in NEEDS]
+    at = int(np.argmin(choices))
+    model.rate, model.need = RATES[at // len(NEEDS)], NEEDS[at % len(NEEDS)]
     model.known.clear()
     return model
 
