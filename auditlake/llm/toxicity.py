@@ -148,7 +148,7 @@ class Model:
         if not toks:
             return -np.inf
         strict, hits = self.counts(toks)
-        return max(strict, hits - self.rate * len(toks) - self.need)
+        return max(strict, hits - self.rate * len(toks) - self.need) if strict > -np.inf else strict
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
