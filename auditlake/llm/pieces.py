@@ -45,8 +45,8 @@ class PieceCoder:
         self.pair: dict[tuple[str, str], bool] = {}
 
     def _unit(self, unit: str) -> bytes:
-        """The ids of a blank-led unit, without its first blank, which the model adds itself."""
-        return np.array(self.sp.encode(unit), np.int32).tobytes()
+        """The ids of a blank-led unit, without its first blank, which the model adds itself, but not to an empty one: the blank that ends a text."""
+        return np.array(self.sp.encode(unit) if unit else self.piece_ids(BLANK), np.int32).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
         """Ids of a text. No piece has a blank after another character, so the units between such places are encoded apart, and known ones looked up."""
