@@ -139,7 +139,7 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
                 got = removable(subtrees(parse(html))) if html else ()
                 hashes += [_signed(h) for h in got]
                 hosts += [host] * len(got)
-            yield pd.DataFrame({"host": hosts, "hash": np.array(hashes, np.int64)})
+            yield pd.DataFrame({"host": np.array(hosts, object), "hash": np.array(hashes, np.int64)})
 
     hosted = with_host(pages).where("host is not null")
     totals = hosted.groupBy("host").agg(F.count("*").alias("all_pages"))
