@@ -99,14 +99,15 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
 def drop_repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
     """The documents without the paragraphs that repeated_paragraphs doesn't keep; n_chars, where there is one, follows the text.
 
-    A document of which nothing but white space is left goes; one that lost nothing stays as it is.
+    A document of which nothing but white space is left goes; one that lost nothing stays as it is. Rows that
+    repeat a doc_id lose the same lines. Columns of any name stay.
     """
-    gone = repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("__gone"))
-    joined = docs.join(gone, "doc_id", "left")
-    lines = F.split("text", "\n")
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("__gone", i)), "\n")
-    text = F.when(F.col("__gone").isNull(), F.col("text")).otherwise(left)
-    out = joined.withColumn("text", text).where(F.col("__gone").isNull() | (F.length(F.trim("text")) > 0))
+    gone = repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("gone")).select(F.col("doc_id").alias("of"), "gone")
+    joined = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, F.col("doc_id") == F.col("of"), "left")
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
+    lost = F.col("gone").isNotNull()
+    out = joined.withColumn("left", F.when(lost, left).otherwise(F.col("text"))).where(~lost | F.col("left").rlike(r"\S"))
+    new = {"text": F.col("left")}
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("__gone").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*docs.columns)
+        new["n_chars"] = F.when(lost, F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
+    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
