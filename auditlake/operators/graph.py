@@ -1,0 +1,80 @@
+"""The entity graph of a case: vertices, edges, their confidence, and paths from the person."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from auditlake.functions import urls as U
+from auditlake.operators.lineage import cut
+from auditlake.operators.ordering import keep_first
+
+RELATION = {"Email": "has_email", "Phone": "has_phone", "Location": "associated_with_location", "Organization": "affiliated_with", "Username": "uses_username", "Website": "owns_profile", "Breach": "exposed_in"}
+
+
+def evidence(findings: DataFrame, subjects: DataFrame, pages: DataFrame) -> DataFrame:
+    """(case_id, phase, ord, type, value, url, confidence) of seeds, the subject's page and findings, one for each id; of equal ones, the first."""
+    s = subjects.where("authorized")
+    seeds = F.array(*[F.struct(F.lit(k).alias("type"), F.col(c).alias("value"), F.lit(w).cast("float").alias("confidence")) for k, c, w in (("Person", "full_name", 1.0), ("Username", "handle", 1.0), ("Email", "email", 1.0), ("Phone", "phone", 1.0), ("Organization", "organization", 0.9), ("Location", "location", 0.9))])
+    a = s.select(F.col("subject_id").alias("case_id"), F.posexplode(seeds).alias("ord", "e")).select("case_id", F.lit(0).alias("phase"), F.col("ord").cast("long").alias("ord"), "e.type", "e.value", F.lit(None).cast("string").alias("url"), "e.confidence")
+    b = pages.join(s.select(F.col("subject_id").alias("doc_id")), "doc_id", "left_semi").select(F.col("doc_id").alias("case_id"), F.lit(1).alias("phase"), F.lit(0).cast("long").alias("ord"), F.lit("Website").alias("type"), F.col("url").alias("value"), "url", F.lit(0.95).cast("float").alias("confidence"))
+    c = findings.select("case_id", F.lit(2).alias("phase"), "ord", "type", "value", "url", "confidence")
+    return keep_first(a.unionByName(b).unionByName(c), ["case_id", "type", "lower(trim(value))", "coalesce(url, '')"], ["phase", "ord"])
+
+
+def vertices(evidence: DataFrame) -> DataFrame:
+    """(case_id, id, type, label, confidence, urls): highest confidence, all URLs, the longest label; of equal length the first."""
+    e = evidence.withColumn("id", F.concat(F.lower("type"), F.lit(":"), F.lower(F.trim("value"))))
+    return e.groupBy("case_id", "id", "type").agg(F.min_by("value", F.struct(-F.length("value"), F.col("phase"), F.col("ord"))).alias("label"), F.max("confidence").alias("confidence"), F.array_sort(F.collect_set("url")).alias("urls"))
+
+
+def edges(evidence: DataFrame) -> DataFrame:
+    """(case_id, src, dst, relation, ord): from the person to everything, and from a page to what it mentions; each once, without loops."""
+    e = evidence.withColumn("id", F.concat(F.lower("type"), F.lit(":"), F.lower(F.trim("value")))).withColumn("o", F.col("phase") * 10000000 + F.col("ord"))
+    person = e.where("type = 'Person'").select("case_id", F.col("id").alias("src"))
+    named = F.create_map(*[F.lit(x) for kv in RELATION.items() for x in kv])
+    direct = e.where("type != 'Person'").join(person, "case_id").select("case_id", "src", F.col("id").alias("dst"), named[F.col("type")].alias("relation"), "o")
+    mentions = e.where("phase = 2 and url is not null").select("case_id", F.concat(F.lit("website:"), F.lower("url")).alias("src"), F.col("id").alias("dst"), F.lit("mentions").alias("relation"), "o")
+    return keep_first(direct.unionByName(mentions).where("src != dst"), ["case_id", "src", "dst", "relation"], ["o"]).withColumnRenamed("o", "ord")
+
+
+def edge_confidence(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """(case_id, src, dst, relation, score, reasons) of the edges that any rule speaks for; the highest counts. Edges without both ends are left out."""
+    v = vertices.select("case_id", "id", "label", F.when(F.col("type") == "Person", "Username").otherwise(F.col("type")).alias("kind"))
+    d = edges.join(v.toDF("case_id", "src", "a", "ka"), ["case_id", "src"]).join(v.toDF("case_id", "dst", "b", "kb"), ["case_id", "dst"])
+    la, lb = F.lower("a"), F.lower("b")
+    bare = lambda c: F.regexp_replace(c, "[._-]", "")
+    users = (F.col("ka") == "Username") & (F.col("kb") == "Username") & (la != lb)
+    cross = ((F.col("ka") == "Username") & (F.col("kb") != "Username") & F.contains(lb, la)) | ((F.col("kb") == "Username") & (F.col("ka") != "Username") & F.contains(la, lb))
+    rules = [
+        (users & (bare(la) == bare(lb)), 0.85, "same username but for separators"),
+        (users & (bare(la) != bare(lb)) & (F.contains(la, lb) | F.contains(lb, la)), 0.6, "one username holds the other"),
+        ((F.col("ka") == "Email") & (F.col("kb") == "Email") & (F.substring_index(la, "@", -1) == F.substring_index(lb, "@", -1)), 0.7, "same mail domain"),
+        (cross, 0.65, "value holds the username"),
+        ((F.col("ka") == "Website") & (F.col("kb") == "Website") & (U.registrable_domain(F.col("a")) == U.registrable_domain(F.col("b"))), 0.6, "same domain"),
+        ((F.col("ka") == "Website") & (F.col("kb") == "Email") & (F.substring_index(F.col("a"), "/", -1) == F.substring_index(lb, "@", 1)), 0.65, "page named like the address"),
+    ]
+    said = F.filter(F.array(*[F.when(r, F.struct(F.lit(w).alias("score"), F.lit(t).alias("reason"))) for r, w, t in rules]), lambda x: x.isNotNull())
+    return d.withColumn("said", said).where(F.size("said") > 0).select("case_id", "src", "dst", "relation", F.array_max(F.transform("said", lambda x: x["score"])).alias("score"), F.array_join(F.transform("said", lambda x: x["reason"]), "; ").alias("reasons"))
+
+
+def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 6) -> DataFrame:
+    """(case_id, id, path, length): a shortest path from the case's start to each of its ends, along edges in either direction.
+
+    Level by level: each round joins the newest vertices with their edges, keeps of each vertex the path that is first in order,
+    and leaves out those reached before. Vertices out of reach have no row.
+    """
+    near = cut(edges.select("case_id", "src", "dst").union(edges.select("case_id", "dst", "src")).distinct())
+    front = starts.select("case_id", "id", F.array("id").alias("path"))
+    reached, levels = front.select("case_id", "id"), [front]
+    for _ in range(hops):
+        step = front.join(near, (front["id"] == near["src"]) & (front["case_id"] == near["case_id"])).select(near["case_id"], F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        front = cut(step.join(reached, ["case_id", "id"], "left_anti").groupBy("case_id", "id").agg(F.min("path").alias("path")))
+        if front.isEmpty():
+            break
+        levels.append(front)
+        reached = reached.unionByName(front.select("case_id", "id"))
+    every = levels[0]
+    for x in levels[1:]:
+        every = every.unionByName(x)
+    return every.join(ends.select("case_id", "id"), ["case_id", "id"], "left_semi").select("case_id", "id", F.array_join("path", " > ").alias("path"), (F.size("path") - 1).cast("long").alias("length"))
