@@ -13,8 +13,8 @@ def dot(a: Column, b: Column) -> Column:
 def cosine(a: Column, b: Column) -> Column:
     """Summed in double; 0 for vectors of other lengths, empty, null or of no length; between -1 and 1."""
     norm = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
-    raw = F.when((F.size(a) == F.size(b)) & (norm > 0), dot(a, b) / norm)
-    return F.coalesce(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)), F.lit(0.0))
+    sound = (F.size(a) == F.size(b)) & (norm > 0)
+    return F.when(sound, F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / norm))).otherwise(F.lit(0.0))
 
 
 def hash_similarity(a: Column, b: Column) -> Column:

@@ -64,11 +64,11 @@ def paths(edges: DataFrame, starts: DataFrame, ends: DataFrame, hops: int = 6) -
     Level by level: each round joins the newest vertices with their edges, keeps of each vertex the path that is first in order,
     and leaves out those reached before. Vertices out of reach have no row.
     """
-    near = cut(edges.select("case_id", "src", "dst").union(edges.select("case_id", "dst", "src")).distinct())
+    near = cut(edges.select("case_id", F.col("src").alias("id"), "dst").union(edges.select("case_id", "dst", "src")).distinct())
     front = starts.select("case_id", "id", F.array("id").alias("path"))
     reached, levels = front.select("case_id", "id"), [front]
     for _ in range(hops):
-        step = front.join(near, (front["id"] == near["src"]) & (front["case_id"] == near["case_id"])).select(near["case_id"], F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
+        step = front.join(near, ["case_id", "id"]).select("case_id", F.col("dst").alias("id"), F.concat("path", F.array("dst")).alias("path"))
         front = cut(step.join(reached, ["case_id", "id"], "left_anti").groupBy("case_id", "id").agg(F.min("path").alias("path")))
         if front.isEmpty():
             break

@@ -56,7 +56,7 @@ def attributed_emails(docs: DataFrame, subjects: DataFrame) -> DataFrame:
 def named(docs: DataFrame, subjects: DataFrame) -> DataFrame:
     """(doc_id, subject_id, signals): texts with a consenting subject's whole name. Names meet texts by their last word, and only then is the text searched."""
     toks = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("tok"))
-    s = subjects.where("authorized").select("subject_id", "full_name", "email", "phone", "organization", "location", "handle", F.element_at(F.split(F.lower("full_name"), " "), -1).alias("tok"))
+    s = subjects.where("authorized").select("subject_id", "full_name", "email", "phone", "organization", "location", "handle", F.element_at(F.split(F.lower("full_name"), r"[^\p{L}0-9]+"), -1).alias("tok"))
     hit = toks.join(s, "tok").where(T.contains_token(F.col("text"), F.col("full_name")))
     low = F.lower("text")
     has = lambda c: F.contains(low, F.lower(c)).cast("int")

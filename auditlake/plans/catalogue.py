@@ -101,7 +101,7 @@ def url_registrable_domain(s, d):
 @query
 def url_redirect_unwrap(s, d):
     p = S.table(s, d, "pages")
-    href = F.concat(F.lit("https://search.example/l?uddg="), F.replace(F.replace(F.substring_index("url", "?", 1), F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F")), F.lit("&rut=1"))
+    href = F.concat(F.lit("https://search.example/l?uddg="), F.replace(F.replace(F.substring_index(F.substring_index("url", "?", 1), "#", 1), F.lit(":"), F.lit("%3A")), F.lit("/"), F.lit("%2F")), F.lit("&rut=1"))
     return p.select("page_id", U.unwrap_redirect(href).alias("target"))
 
 

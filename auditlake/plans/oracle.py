@@ -20,7 +20,7 @@ def values(rows) -> str:
 
 PLAT = f"plat AS (SELECT * FROM (VALUES {values((i, *p) for i, p in enumerate(PLATFORMS))}) v(ord, platform, pattern, by_default, host, prefix))"
 SUBJ = f"""subj AS (SELECT c_custkey AS subject_id,
-    concat_ws(' ', [{', '.join(map(q, FIRST_NAMES))}][c_custkey % 7 + 1], CASE WHEN c_custkey % 5 = 0 THEN 'van' END, lower(replace(n_name, ' ', '')) || c_custkey) AS full_name,
+    concat_ws(' ', [{', '.join(map(q, FIRST_NAMES))}][c_custkey % 7 + 1], CASE WHEN c_custkey % 5 = 0 THEN 'van' END, lower(regexp_replace(n_name, '[ _]', '', 'g')) || c_custkey) AS full_name,
     'user' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') AS handle,
     'user' || translate(CAST(c_custkey AS VARCHAR), '0123456789', 'abcdefghij') || '@' || lower(c_mktsegment) || '.example' AS email,
     '+1 415 555 ' || lpad(CAST(c_custkey % 10000 AS VARCHAR), 4, '0') AS phone,
@@ -41,7 +41,7 @@ FIND = f"""{SUBJ}, {PAGE}, {PLACES},
 
 
 def key(u: str) -> str:
-    kept = f"list_filter(string_split(regexp_extract(split_part({u}, '#', 1), '\\?(.*)$', 1), '&'), x -> x != '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(map(q, TRACKING))}))"
+    kept = f"list_filter(string_split(regexp_extract(split_part({u}, '#', 1), '\\?(.*)$', 1), '&'), lambda x: x != '' AND lower(split_part(x, '=', 1)) NOT IN ({', '.join(map(q, TRACKING))}))"
     return f"lower(regexp_replace(split_part(split_part({u}, '#', 1), '?', 1) || CASE WHEN len({kept}) > 0 THEN '?' || array_to_string({kept}, '&') ELSE '' END, '/+$', ''))"
 
 
@@ -78,7 +78,7 @@ SNAP = f"""{FIND},
   a AS (SELECT * FROM weighed WHERE NOT (case_id % 7 = 0 AND type = 'Email')),
   b AS (SELECT case_id, ord, type, value, url, confidence, CASE WHEN type = 'Location' AND case_id % 3 = 0 THEN 80 ELSE w END AS w FROM weighed WHERE NOT (case_id % 5 = 0 AND type = 'Phone'))"""
 PAIRS = """pairs AS (SELECT a.vec_id, b.vec_id AS other, CAST(a.label AS BIGINT) AS label, a.label = b.label AS same,
-    round(greatest(-1, least(1, list_sum(list_transform(range(1, len(a.embedding) + 1), i -> a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, x -> x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, x -> x::DOUBLE * x::DOUBLE)))))), 6) AS score
+    round(greatest(-1, least(1, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))), 6) AS score
   FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 16),
   lim AS (SELECT * FROM (SELECT score, (SELECT count(*) FROM pairs WHERE NOT same) AS negatives, count(*) OVER (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY score) AS above FROM pairs WHERE NOT same) WHERE above <= floor(0.05 * negatives)),
   thr AS (SELECT negatives, min(score) AS threshold FROM lim GROUP BY negatives)"""
@@ -97,7 +97,7 @@ SQL = {
     "url_https": "SELECT page_id, 'https:' || regexp_replace(url, '^https?:', '') AS url FROM pages",
     "url_canonical": rf"""WITH p AS (SELECT page_id, url, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=A&q=1#x' AS u FROM pages) SELECT page_id, {key('u')} AS key, {HOST('url')} || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS place FROM p""",
     "url_registrable_domain": f"WITH h AS (SELECT string_split({HOST('url')}, '.') AS l FROM pages) SELECT array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, count(*) AS pages FROM h GROUP BY 1",
-    "url_redirect_unwrap": "SELECT page_id, split_part(url, '?', 1) AS target FROM pages",
+    "url_redirect_unwrap": "SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS target FROM pages",
     "profile_resolve": f"WITH {SUBJ}, {PLAT} SELECT subject_id, replace(pattern, '{{u}}', handle) AS url, platform, handle FROM subj, plat WHERE authorized",
     "html_title_links": "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages",
     "page_states": rf"""SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN regexp_matches(lower(html), {q('|'.join(T.CHALLENGES))}) THEN 'blocked' WHEN regexp_matches(lower(html), {q('|'.join(T.MISSING))}) THEN 'not_found'
@@ -148,10 +148,10 @@ SQL = {
     "similarity_bands": f"WITH {PAIRS} SELECT CASE WHEN score >= 0.2 THEN 'high' WHEN score >= 0.1 THEN 'review' ELSE 'none' END AS band, count(*) AS pairs FROM pairs GROUP BY 1",
     "hash_similarity": f"SELECT vec_id, round(1 - bit_count(xor({H(7919)}, {H(104729)})) / 64.0::DOUBLE, 6) AS similarity FROM embeddings",
     "duplicate_class": f"SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN 'exact' {CLASS} ELSE 'different' END AS class FROM (SELECT vec_id, round(1 - bit_count(xor({H(7919)}, {H(104729)})) / 64.0::DOUBLE + 0.35::DOUBLE, 6) AS s FROM embeddings)",
-    "histogram_intersection": """WITH h AS (SELECT vec_id, list_transform(embedding, x -> abs(x::DOUBLE) / list_sum(list_transform(embedding, y -> abs(y::DOUBLE)))) AS h FROM embeddings)
-  SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.h) + 1), i -> least(a.h[i], b.h[i]))), 6) AS overlap FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""",
+    "histogram_intersection": """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE)))) AS h FROM embeddings)
+  SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.h) + 1), lambda i: least(a.h[i], b.h[i]))), 6) AS overlap FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""",
     "label_mode": "SELECT user_id, arg_max(event_type, (n, -first)) AS mode, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1",
-    "frame_label_merge": "SELECT user_id, lower(event_type) AS label, round(max(value), 6) AS confidence FROM events GROUP BY ALL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(value) DESC, lower(event_type)) <= 8",
+    "frame_label_merge": "SELECT user_id, lower(event_type) AS label, round(max(value), 6) AS confidence FROM events GROUP BY user_id, lower(event_type) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(value) DESC, lower(event_type)) <= 8",
     "frame_text_merge": r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM conversations), o AS (SELECT * FROM t WHERE clean != '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower(clean) ORDER BY turn, clean) = 1) SELECT conv_id, left(string_agg(clean, ' ' ORDER BY turn, clean), 1500) AS text FROM o GROUP BY 1""",
     "frame_timestamps": "WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) SELECT DISTINCT conv_id, CAST(floor(turns * 1000 * i / (least(turns, 5) + 1)) AS BIGINT) AS at_ms FROM c, range(1, 6) r(i) WHERE i <= least(turns, 5)",
     "circuit_breaker_states": """WITH i AS (SELECT *, sum((event_type != 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), s AS (SELECT event_id, user_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i)

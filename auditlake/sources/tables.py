@@ -48,7 +48,7 @@ def subjects(spark: SparkSession, folder: str) -> DataFrame:
     names = ", ".join(f"'{x}'" for x in FIRST_NAMES)
     return wide.select(
         F.col("c_custkey").alias("subject_id"),
-        F.expr(f"concat_ws(' ', element_at(array({names}), cast(c_custkey % 7 as int) + 1), if(c_custkey % 5 = 0, 'van', null), concat(lower(replace(n_name, ' ', '')), c_custkey))").alias("full_name"),
+        F.expr(f"concat_ws(' ', element_at(array({names}), cast(c_custkey % 7 as int) + 1), if(c_custkey % 5 = 0, 'van', null), concat(lower(regexp_replace(n_name, '[ _]', '')), c_custkey))").alias("full_name"),
         F.expr("concat('user', translate(cast(c_custkey as string), '0123456789', 'abcdefghij'))").alias("handle"),
         F.expr("concat('user', translate(cast(c_custkey as string), '0123456789', 'abcdefghij'), '@', lower(c_mktsegment), '.example')").alias("email"),
         F.expr("concat('+1 415 555 ', lpad(cast(c_custkey % 10000 as string), 4, '0'))").alias("phone"),
