@@ -1,87 +1,118 @@
-"""Operator 5: language-model scoring by a hierarchical Pitman-Yor model over characters."""
+"""Operator 5: language-model scoring by a hierarchical Pitman-Yor model over words.
 
-from __future__ import annotations
+The restaurants of all contexts of one word share a parent, the restaurant of no context, whose dishes come from a base
+measure of 2^-64 for every possible word. Text is cut into chunks; a chunk's word pairs, with the documents that they occur in, are
+packed by context into parts, and shuffled once: the same exchange serves both the counts and the scores. What is gathered is every
+word pair of the corpus, and all words' tables, so it grows with the corpus, and nothing that grows is ever broadcast.
+"""
 
-import math
+from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import cut, per_doc
-
-#: Characters fall into 32 classes: 0 the start of a text, 1 blank, 2 line end, 3-28 a-z without accents, 29 digit, 30 mark, 31 other letter.
-BITS, ORDER = 5, 5
-SYMBOLS = 1 << BITS
-DISCOUNT, STRENGTH, BURN_IN, SAMPLES = 0.7, 1.0, 2, 3
-
-
-def _classes() -> np.ndarray:
-    import unicodedata
-
-    table = np.full(0x250 + 1, 31, np.uint8)
-    for i in range(0x250):
-        c = chr(i).lower()
-        base = unicodedata.normalize("NFD", c)[0]
-        if c == "\n":
-            table[i] = 2
-        elif c.isspace():
-            table[i] = 1
-        elif "a" <= base <= "z":
-            table[i] = 3 + ord(base) - 97
-        elif c == "ß":
-            table[i] = 3 + ord("s") - 97
-        elif c.isdigit():
-            table[i] = 29
-        elif not c.isalpha():
-            table[i] = 30
-    return table
-
-
-CLASSES = _classes()
-
-
-def grams(text: str) -> np.ndarray:
-    """The 5-gram code of every character: four classes before it, oldest in the highest bits, then its own; the start is padded with class 0."""
-    raw = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    own = CLASSES[np.minimum(raw, 0x250)].astype(np.int32)
-    padded = np.concatenate([np.zeros(ORDER - 1, np.int32), own])
-    code = np.zeros(len(own), np.int32)
-    for k in range(ORDER):
-        code = (code << BITS) | padded[k : k + len(own)]
-    return code
-
-
-def corpus_counts(docs: DataFrame) -> DataFrame:
-    """(gram, n): the count of every 5-gram over all texts, summed within tasks before the shuffle."""
+from auditlake.llm.common import WordHashes, mix, words
+
+DISCOUNT, STRENGTH, BURN_IN, SAMPLES, CHUNK_WORDS, CHUNK_ROWS = 0.7, 1.0, 2, 3, 2_000_000, 60_000
+BASE = 2.0**-64
+BLOB = "part int, chunk long, ctx binary, per binary, word binary, times binary, at binary, docs binary"
+_DOC = np.dtype([("at", "<u2"), ("known", "?"), ("id", "<i8"), ("words", "<i8")])
+
+
+def _six(x: np.ndarray) -> bytes:
+    """The low six bytes of each number: 48 bits of hash, so that two of a billion words are seldom one."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]).tobytes()
+
+
+def _from_six(b: bytes) -> np.ndarray:
+    out = np.zeros((len(b) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(b, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
+def pack(chunk: int, ids: list, hashed: list[np.ndarray], parts: int) -> list[tuple]:
+    """Rows of a chunk, one for each part that it has pairs or documents in. A text's first word has the context 0."""
+    low = np.uint64((1 << 48) - 1)
+    n = np.array([len(h) for h in hashed], np.int64)
+    word = np.concatenate([*hashed, np.zeros(0, np.uint64)]) & low
+    ctx = np.concatenate([np.zeros(1, np.uint64), word[:-1]]) if len(word) else word.copy()
+    ctx[(np.cumsum(n) - n)[n > 0]] = 0
+    at = np.repeat(np.arange(len(n)), n).astype(np.uint16)
+    part = (mix(ctx + np.uint64(1)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((word, ctx, part))
+    word, ctx, at, part = word[order], ctx[order], at[order], part[order]
+    edges = np.searchsorted(part, np.arange(parts + 1))
+    home = np.arange(len(n)) % parts
+    rows = []
+    for p in range(parts):
+        lo, hi = edges[p], edges[p + 1]
+        mine = np.nonzero(home == p)[0]
+        if lo == hi and not len(mine):
+            continue
+        c, w = ctx[lo:hi], word[lo:hi]
+        new = np.ones(hi - lo, bool)
+        new[1:] = (c[1:] != c[:-1]) | (w[1:] != w[:-1])
+        first = np.nonzero(new)[0]
+        own, per = np.unique(c[first], return_counts=True)
+        docs = np.array([(i, ids[i] is not None and ids[i] == ids[i], int(ids[i]) if ids[i] is not None and ids[i] == ids[i] else 0, n[i]) for i in mine], _DOC)
+        times = np.diff(np.append(first, hi - lo))
+        rows.append((p, chunk, _six(own), per.astype("<u4").tobytes(), _six(w[first]), times.astype("<u4").tobytes(), at[lo:hi].tobytes(), docs.tobytes()))
+    return rows
+
+
+def blobs(docs: DataFrame, parts: int) -> DataFrame:
+    """The packed chunks of all texts, whole."""
 
     def run(batches):
-        held, size = [], 0
-
-        def merged(parts):
-            keys = np.concatenate([k for k, _ in parts])
-            n = np.concatenate([c for _, c in parts])
-            keys, at = np.unique(keys, return_inverse=True)
-            return keys, np.bincount(at, n).astype(np.int64)
-
-        total = None
+        hashes, task, count = WordHashes(), TaskContext.get().partitionId(), 0
+        names = [x.split()[0] for x in BLOB.split(", ")]
+        ids, held, size = [], [], 0
         for b in batches:
-            for text in b.text:
-                if text:
-                    held.append(grams(text))
-                    size += len(held[-1])
-                    if size > 4_000_000:
-                        part = np.unique(np.concatenate(held), return_counts=True)
-                        total = merged([total, part]) if total is not None else part
-                        held, size = [], 0
-        if held:
-            part = np.unique(np.concatenate(held), return_counts=True)
-            total = merged([total, part]) if total is not None else part
-        if total is not None:
-            yield pd.DataFrame({"gram": total[0].astype(np.int64), "n": total[1].astype(np.int64)})
-
-    return per_doc(docs.where("text is not null"), run, "gram long, n long", "text").groupBy("gram").agg(F.sum("n").alias("n"))
+            for i, text in zip(b.doc_id.astype(object), b.text):
+                ids.append(i)
+                held.append(hashes(words(text)))
+                size += len(held[-1])
+                if size >= CHUNK_WORDS or len(ids) >= CHUNK_ROWS:
+                    yield pd.DataFrame(pack((task << 32) + count, ids, held, parts), columns=names)
+                    ids, held, size, count = [], [], 0, count + 1
+        if ids:
+            yield pd.DataFrame(pack((task << 32) + count, ids, held, parts), columns=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(run, BLOB)
+
+
+class Part:
+    """The restaurants of some contexts: all pairs of a part, summed over chunks."""
+
+    def __init__(self, pdf: pd.DataFrame):
+        ctx = [np.repeat(_from_six(c), np.frombuffer(p, "<u4")) for c, p in zip(pdf.ctx, pdf.per)]
+        word = [_from_six(w) for w in pdf.word]
+        self.times = [np.frombuffer(t, "<u4") for t in pdf.times]
+        c, w = np.concatenate([*ctx, np.zeros(0, "<u8")]), np.concatenate([*word, np.zeros(0, "<u8")])
+        order = np.lexsort((w, c))
+        new = np.ones(len(c), bool)
+        new[1:] = (c[order][1:] != c[order][:-1]) | (w[order][1:] != w[order][:-1])
+        self.pair = np.empty(len(c), np.int64)  # of each chunk's pairs, one chunk after the other
+        self.pair[order] = np.cumsum(new) - 1
+        keys = order[new]
+        self.word = w[keys]
+        self.contexts, self.of = np.unique(c[keys], return_inverse=True)
+        self.c = np.bincount(self.pair, np.concatenate([*self.times, np.zeros(0)]), len(keys)).astype(np.int64)
+        self.t = np.minimum(self.c, 1).astype(np.float64)
+
+    def sums(self, x: np.ndarray) -> np.ndarray:
+        """Of each pair's context."""
+        return np.bincount(self.of, x, len(self.contexts))[self.of]
+
+    def sweep(self, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> None:
+        """Seats all customers again, given the parent's predictive probabilities."""
+        self.t = seat(self.c, base, self.sums(self.t) - self.t, d, theta, rng)
+
+    def predictive(self, base: np.ndarray, d: float, theta: float) -> np.ndarray:
+        return (self.c - d * self.t + (theta + d * self.sums(self.t)) * base) / (theta + self.sums(self.c.astype(float)))
 
 
 def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator, exact: int = 32) -> np.ndarray:
@@ -107,113 +138,74 @@ def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: f
     return t
 
 
-class Hierarchy:
-    """The restaurants of all contexts that end in one class. Level L has contexts of L classes, 4 down to 1; a context's parent lacks its oldest class."""
-
-    def __init__(self, top: np.ndarray, d: float, theta: float, seed: int):
-        self.d, self.theta, self.rng = d, theta, np.random.default_rng(seed)
-        self.c = [top]  # level 4 first; each [contexts, dishes]
-        self.t = [np.minimum(top, 1).astype(np.float64)]
-        for _ in range(ORDER - 2):
-            parent = self.t[-1].reshape(SYMBOLS, -1, SYMBOLS).sum(0)
-            self.c.append(parent)
-            self.t.append(np.minimum(parent, 1.0))
-
-    def predictive(self, base: np.ndarray) -> list[np.ndarray]:
-        """P(dish | context) by level, level 1 first; base is the empty context's."""
-        out, p = [], base[None, :]
-        for c, t in zip(self.c[::-1], self.t[::-1]):
-            up = np.tile(p, (len(c) // len(p), 1)) if len(c) > 1 else p
-            p = (np.maximum(c - self.d * t, 0) + (self.theta + self.d * t.sum(1, keepdims=True)) * up) / (self.theta + c.sum(1, keepdims=True))
-            out.append(p)
-        return out
+def word_probabilities(tables: DataFrame, d: float, theta: float) -> DataFrame:
+    """(part, word, p): the predictive probability, in the restaurant of no context, of each part's words.
 
-    def sweep(self, base: np.ndarray) -> None:
-        """Seats every dish of every restaurant again, given the parents' predictive probabilities; new tables are the parents' customers."""
-        probs = [base[None, :], *self.predictive(base)][::-1]
-        for level, c in enumerate(self.c):
-            if level:
-                c = self.c[level] = self.t[level - 1].reshape(SYMBOLS, -1, SYMBOLS).sum(0)
-            up = probs[level + 1]
-            rows, dishes = np.nonzero(c)
-            old = np.where(c > 0, self.t[level], 0.0)
-            others = old.sum(1)[rows] - old[rows, dishes]
-            self.t[level] = np.zeros_like(old)
-            self.t[level][rows, dishes] = seat(c[rows, dishes].astype(np.int64), up[rows % len(up), dishes], others, self.d, self.theta, self.rng)
-
-
-def _group(pdf: pd.DataFrame) -> tuple[int, np.ndarray]:
-    gram, n = pdf.gram.to_numpy(), pdf.n.to_numpy()
-    top = np.zeros((SYMBOLS ** (ORDER - 2), SYMBOLS))
-    last = int((gram[0] >> BITS) & (SYMBOLS - 1))
-    top[gram >> (2 * BITS), gram & (SYMBOLS - 1)] = n
-    return last, top
-
-
-def fit(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7) -> np.ndarray:
-    """-log2 of the averaged predictive probability of every 5-gram code, as 2**25 float16.
-
-    The restaurants of the contexts with the same last class share nothing below the empty context, so a task samples each such
-    family: `burn_in` sweeps, then one per sample. The empty context's restaurant seats the tables of all families (32 x 32
-    sums) and is sampled here, once per sample. The model has the same size, 64 MB, for any corpus.
+    Its customers are the tables of all contexts. Under the base of 2^-64 each word has one table there: that a
+    second opens has a chance below 10^-10 for a billion words.
     """
-    counts = cut(corpus_counts(docs).withColumn("last", F.expr(f"(gram >> {BITS}) & {SYMBOLS - 1}")))
-    uniform = np.full(SYMBOLS, 1 / SYMBOLS)
-
-    def tables(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, top = _group(pdf)
-        h = Hierarchy(top, d, theta, seed + last)
-        for _ in range(burn_in):
-            h.sweep(uniform)
-        return pd.DataFrame({"t": [h.t[-1][0].tolist()]})
-
-    customers = np.zeros(SYMBOLS, np.int64)
-    for r in counts.groupBy("last").applyInPandas(tables, "t array<double>").collect():
-        customers += np.array(r.t).astype(np.int64)
-    rng, bases = np.random.default_rng(seed), []
-    for _ in range(samples):
-        t = np.minimum(customers, 1).astype(np.float64)
-        for _ in range(burn_in + 1):
-            t = seat(customers, uniform, t.sum() - t, d, theta, rng)
-        bases.append((np.maximum(customers - d * t, 0) + (theta + d * t.sum()) * uniform) / (theta + customers.sum()))
-
-    def probabilities(pdf: pd.DataFrame) -> pd.DataFrame:
-        last, top = _group(pdf)
-        h = Hierarchy(top, d, theta, seed + 1000 + last)
-        for _ in range(burn_in):
-            h.sweep(bases[0])
-        mean = np.zeros_like(top)
-        for base in bases:
-            h.sweep(base)
-            mean += h.predictive(base)[-1] / len(bases)
-        return pd.DataFrame({"last": [last], "bits": [(-np.log2(mean)).astype(np.float16).tobytes()]})
+    spread = tables.repartition("word")
+    totals = spread.groupBy("word").agg(F.sum("t").alias("customers"))
+    whole = F.broadcast(totals.agg(F.sum("customers").alias("all"), F.count("*").alias("words")))
+    p = (F.col("customers") - d + (theta + d * F.col("words")) * BASE) / (theta + F.col("all"))
+    return spread.select("part", "word").join(totals.crossJoin(whole).select("word", p.alias("p")), "word").select("part", "word", "p")
 
-    out = np.tile((-np.log2(np.mean(bases, axis=0))).astype(np.float16), (SYMBOLS ** (ORDER - 2), SYMBOLS, 1))
-    for r in counts.groupBy("last").applyInPandas(probabilities, "last int, bits binary").toLocalIterator():
-        out[:, r.last, :] = np.frombuffer(r.bits, np.float16).reshape(-1, SYMBOLS)
-    return out.reshape(-1)
 
+def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7, parts: int | None = None) -> DataFrame:
+    """(doc_id, n_words, bits_per_word, perplexity) of every row: the corpus fits the model, and the model scores each of its texts, whole.
 
-def score(docs: DataFrame, model: np.ndarray) -> DataFrame:
-    """(doc_id, n_chars, bits_per_char, perplexity) of every row, over its whole text; null where there is no character."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches):
-        bits = shared.value
-        for b in batches:
-            mean = [float(bits[grams(t)].sum(dtype=np.float64)) / len(t) if t else math.nan for t in b.text]
-            out = pd.DataFrame({"doc_id": b.doc_id, "n_chars": [len(t or "") for t in b.text], "bits_per_char": pd.array(mean, "Float64")})
-            out["bits_per_char"] = out["bits_per_char"].mask(out["n_chars"] == 0)
-            yield out
-
-    return per_doc(docs, run, "doc_id long, n_chars long, bits_per_char double", "doc_id", "text").withColumn("perplexity", F.pow(F.lit(2.0), "bits_per_char"))
+    A word's probability after the word before it is averaged over `samples` seatings by Gibbs sampling, after `burn_in`
+    others; perplexity is per word. Words are lower-case runs of letters, digits and underscores. A text without any, or null, counts nothing
+    and scores null; repeated rows count and score each time, also those without doc_id. Other columns are
+    never read. An empty table gives an empty result. A context's pairs are in one part, so one context must fit in a task's memory.
+    """
+    spark = docs.sparkSession
+    parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed = blobs(docs, parts)
+
+    def first(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = Part(pdf)
+        guess = np.full(len(part.c), 1e-6)
+        rng = np.random.default_rng(seed + int(pdf.part.iloc[0]))
+        for _ in range(burn_in):
+            part.sweep(guess, d, theta, rng)
+        own, at = np.unique(part.word, return_inverse=True)
+        return pd.DataFrame({"part": np.int32(pdf.part.iloc[0]), "word": own.view(np.int64), "t": np.bincount(at, part.t, len(own)).astype(np.int64)})
 
+    probabilities = word_probabilities(packed.groupBy("part").applyInPandas(first, "part int, word long, t long"), d, theta)
 
-def lm_scores(docs: DataFrame, **options) -> DataFrame:
-    """(doc_id, n_chars, bits_per_char, perplexity): the corpus fits the model, and the model scores each of its texts.
+    def second(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        part = Part(pdf)
+        known = base.sort_values("word")
+        p = known.p.to_numpy()[np.searchsorted(known.word.to_numpy(), part.word.view(np.int64))] if len(part.c) else np.zeros(0)
+        rng = np.random.default_rng(seed + 1_000_003 + int(pdf.part.iloc[0]) if len(pdf) else seed)
+        for _ in range(burn_in):
+            part.sweep(p, d, theta, rng)
+        mean = np.zeros(len(p))
+        for _ in range(samples):
+            part.sweep(p, d, theta, rng)
+            mean += part.predictive(p, d, theta) / samples
+        bits = -np.log2(mean)
+        rows, start = [], 0
+        for chunk, times, at, own in zip(pdf.chunk, part.times, pdf["at"], pdf.docs):
+            each = np.repeat(bits[part.pair[start : start + len(times)]], times)
+            start += len(times)
+            sums = np.bincount(np.frombuffer(at, "<u2"), each)
+            there = np.nonzero(sums)[0]
+            rows.append((chunk, there.astype("<u2").tobytes(), sums[there].astype("<f4").tobytes(), own))
+        return pd.DataFrame(rows, columns=["chunk", "at", "bits", "docs"])
+
+    scored = packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(second, "chunk long, at binary, bits binary, docs binary")
+
+    def together(pdf: pd.DataFrame) -> pd.DataFrame:
+        docs = np.sort(np.concatenate([np.frombuffer(x, _DOC) for x in pdf.docs]), order="at")
+        total = np.zeros(len(docs))
+        for at, bits in zip(pdf["at"], pdf.bits):
+            total[np.frombuffer(at, "<u2")] += np.frombuffer(bits, "<f4")
+        out = pd.DataFrame({"doc_id": pd.array(docs["id"], "Int64"), "n_words": docs["words"]})
+        out.loc[~docs["known"], "doc_id"] = pd.NA
+        out["bits_per_word"] = pd.array(total / np.maximum(docs["words"], 1), "Float64")
+        out.loc[docs["words"] == 0, "bits_per_word"] = pd.NA
+        return out
 
-    Perplexity is per character. A null or empty text counts nothing and scores null; repeated rows count and
-    score each time, also those without doc_id. Characters outside Latin script share a class. Other columns are never
-    read. An empty table gives an empty result.
-    """
-    return score(docs, fit(docs, **options))
+    return scored.groupBy("chunk").applyInPandas(together, "doc_id long, n_words long, bits_per_word double").withColumn("perplexity", F.pow(F.lit(2.0), "bits_per_word"))
