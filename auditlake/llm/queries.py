@@ -53,19 +53,5 @@ best AS (SELECT win.doc_id, win.item_id, m.m, m.o, max(k) k, arg_max(pos, k * 10
 SELECT doc_id, item_id, CAST(k AS INTEGER) matched, CAST(m AS INTEGER) shingles, CAST(p AS BIGINT) "start" FROM best WHERE k >= o
 """
 
-OP7 = r"""
-WITH d AS (SELECT row_number() OVER () r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '\s+'), x -> x != '') t FROM documents),
-g AS (SELECT r, i, md5(list_aggregate(t[i : i + 4], 'string_agg', ' ')) h FROM d, unnest(range(1, len(t) - 3)) u(i)),
-rep AS (SELECT r, i, h FROM g QUALIFY count(*) OVER (PARTITION BY r, h) > 1),
-cov AS (SELECT r, count(DISTINCT i + k) n FROM rep, unnest(range(0, 5)) v(k) GROUP BY r),
-pairs AS (SELECT a.r, b.i - a.i gap, a.i FROM rep a JOIN rep b ON a.r = b.r AND a.h = b.h AND a.i < b.i),
-runs AS (SELECT r, gap, i - row_number() OVER (PARTITION BY r, gap ORDER BY i) g FROM pairs),
-longest AS (SELECT r, max(n) + 4 n FROM (SELECT r, gap, g, count(*) n FROM runs GROUP BY ALL) GROUP BY r)
-SELECT doc_id, len(t) n_words, coalesce(cov.n / len(t), 0.0) covered_fraction, coalesce(longest.n, 0) >= 5 AS has_repeat, coalesce(longest.n, 0) longest_if_repeat,
-       coalesce(cov.n / len(t), 0.0) <= 0.3 AND coalesce(longest.n, 0) <= 50 kept
-FROM d LEFT JOIN cov USING (r) LEFT JOIN longest USING (r)
-"""
-
-
 def oracle_sql() -> dict[str, str]:
     return {"op3_benchmark_decontamination": OP3}
