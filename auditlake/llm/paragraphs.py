@@ -1,4 +1,9 @@
-"""Operator 4: substring dedup of paragraphs, by MinHash banding, exact Jaccard and components."""
+"""Operator 4: substring dedup of paragraphs, by MinHash banding, exact Jaccard and components.
+
+A passage that two otherwise different paragraphs share leaves their Jaccard similarity low. Such passages are found by winnowing:
+of every 31 runs of 20 words in a row, that of least hash is marked, so any 50 words that two paragraphs have in common
+hold a mark that both have, wherever they stand.
+"""
 
 from __future__ import annotations
 
@@ -7,10 +12,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
-from auditlake.llm.common import WordHashes, components, cut, mix, per_doc, shingle_hashes, words
+from auditlake.llm.common import WORD, WordHashes, components, cut, mix, per_doc, shingle_hashes, words
 
 LEAST_WORDS, SHINGLE, BANDS, ROWS, JACCARD, CHUNK_WORDS = 20, 3, 12, 4, 0.7, 100_000
+RUN, WINDOW = 20, 31  # a shared passage of RUN + WINDOW - 1 words, 50, is found for certain
 KEY_BITS = 40
 
 
@@ -39,8 +46,36 @@ def _names(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.nd
     return [np.add.reduceat(mix((h + np.uint64(s)) * mix(at + np.uint64(1 + s))), starts) for s in (1, 2)]
 
 
+def _marks(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(places, hashes) of the winnowed runs of RUN words, each within a paragraph; of equal runs in a window the first."""
+    n = len(h)
+    if n < RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+
+    def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
+        m = min(len(a), len(b) - by)
+        return mix(a[:m] * np.uint64(0x9E3779B97F4A7C15) + b[by : by + m])
+
+    two = joined(h, h, 1)
+    four = joined(two, two, 2)
+    eight = joined(four, four, 4)
+    run = joined(joined(eight, eight, 8), four, 16)  # 16 words and 4 more
+    bits = np.uint64(max(1, int(n - 1).bit_length()))
+    order = ((run >> bits) << bits) | np.arange(len(run), dtype=np.uint64)
+    inside = np.arange(len(run)) - np.repeat(starts, lengths)[: len(run)] <= np.repeat(lengths, lengths)[: len(run)] - RUN
+    order[~inside] = np.iinfo(np.uint64).max
+    order = np.concatenate([order, np.full(WINDOW - 1, np.iinfo(np.uint64).max, np.uint64)])
+    least = order
+    for by in (1, 2, 4, 8):
+        least = np.minimum(least[:-by], least[by:])
+    least = np.minimum(least[: len(run)], least[WINDOW - 16 : WINDOW - 16 + len(run)])
+    at = np.unique(least)
+    at = np.sort(at[at != np.iinfo(np.uint64).max] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    return at, run[at]
+
+
 def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, para, p1, p2, bands): a row for each paragraph of `least` words or more; p1 and p2 name its words, bands holds 5 bytes a band.
+    """(doc_id, para, p1, p2, bands, marks): a row for each paragraph of `least` words or more; p1 and p2 name its words, bands holds 5 bytes a band, marks 4 bytes of place and 8 of hash for each mark.
 
     Forty bits a band are enough: a chance collision, one for 10^12 paragraphs, only adds a pair that is then verified.
     """
@@ -61,8 +96,14 @@ def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int =
                 v = ((sh ^ seeds[b * rows + r]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
                 v[~inside] = none
                 keys[:, b] += np.minimum.reduceat(v, starts) * power[r]
+        at, run = _marks(h, starts, lengths)
+        of = np.searchsorted(starts, at, "right") - 1
+        both = np.zeros(len(at), [("at", ">u4"), ("run", ">u8")])
+        both["at"], both["run"] = at - starts[of], run
+        cuts = np.searchsorted(of, np.arange(len(places) + 1))
+        marks = [both[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(places))]
         raw = mix(keys).view(np.uint8).reshape(len(places), bands, 8)[:, :, :5].reshape(len(places), -1)
-        return pd.DataFrame({"doc_id": [d for d, _, _ in places], "para": [i for _, i, _ in places], "p1": p1.view(np.int64), "p2": p2.view(np.int64), "bands": [r.tobytes() for r in np.ascontiguousarray(raw)]})
+        return pd.DataFrame({"doc_id": [d for d, _, _ in places], "para": [i for _, i, _ in places], "p1": p1.view(np.int64), "p2": p2.view(np.int64), "bands": [r.tobytes() for r in np.ascontiguousarray(raw)], "marks": marks})
 
     def run(batches):
         hashes = WordHashes()
@@ -78,7 +119,7 @@ def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int =
         if places:
             yield signed(places, toks, hashes)
 
-    return per_doc(docs.where("doc_id is not null and text is not null"), run, "doc_id long, para int, p1 long, p2 long, bands binary", "doc_id", "text")
+    return per_doc(docs.where("doc_id is not null and text is not null"), run, "doc_id long, para int, p1 long, p2 long, bands binary, marks binary", "doc_id", "text")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -101,12 +142,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: float = JACCARD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, para, cluster_doc, cluster_para, kept): every paragraph that has a copy or near copy anywhere.
+    """(doc_id, para, first, words, cluster_doc, cluster_para, kept): every paragraph that has a copy or near copy anywhere, and every passage.
 
     A paragraph is a line of at least `least` words; words are lower-case, without punctuation. Clusters are
     components of equal paragraphs and of pairs whose sets of 3-word shingles have at least the given Jaccard
     similarity, found by bands (recall 0.96 at 0.7, 0.99 at 0.76) and verified exactly. The cluster's first
-    paragraph by (doc_id, para) names it and is kept. Rows without doc_id or text have no paragraphs; repeated rows
+    paragraph by (doc_id, para) names it and is kept; words is null. Of the paragraphs that stay, those that share a run of
+    words with an earlier one, marked in both (of 20 words at least; certain from 50 on), have a row for the passage: `words` words
+    from word `first` on, and the first paragraph that has its first run; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
     of a document count once. Other columns are never read. An empty table gives an empty result.
 
     Pairs are verified in two steps, with the same components as if all were: first each paragraph with the least of those it
@@ -115,7 +158,7 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     """
     all_ = cut(paragraph_signatures(docs, least, bands, rows))
     place = F.struct("doc_id", "para")
-    distinct = cut(all_.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "para", "bands")).alias("at")).select(F.monotonically_increasing_id().alias("id"), "p1", "p2", "at.*"))
+    distinct = cut(all_.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "para", "bands", "marks")).alias("at")).select(F.monotonically_increasing_id().alias("id"), "p1", "p2", "at.*"))
     key = lambda i: F.conv(F.hex(F.substring("bands", 5 * i + 1, 5)), 16, 10).cast("long") + F.lit(i << KEY_BITS)
     keyed = distinct.select("id", F.explode(F.array(*[key(i) for i in range(bands)])).alias("key"))
     bucket = W.partitionBy("key")
@@ -134,23 +177,64 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     rest = left.join(right, F.expr("l.key = r.key and l.root < r.root")).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     more = cut(verified(rest))
     found = roots if more.isEmpty() else components(first.unionByName(more))
-    named = all_.select("doc_id", "para", "p1", "p2").distinct().join(distinct.select("p1", "p2", "id"), ["p1", "p2"]).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "para", F.coalesce("root", "id").alias("root"))
-    clusters = named.groupBy("root").agg(F.min(place).alias("head"), F.count("*").alias("n")).where("n > 1")
-    return named.join(clusters, "root").select("doc_id", "para", F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), (F.expr("doc_id = head.doc_id and para = head.para")).alias("kept"))
+    named = all_.select("doc_id", "para", "p1", "p2").distinct().join(distinct.select("p1", "p2", "id"), ["p1", "p2"]).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "para", "id", F.coalesce("root", "id").alias("root"))
+    clusters = named.groupBy("root").agg(F.min(place).alias("head"), F.count("*").alias("n"))
+    placed = cut(named.join(clusters, "root").select("doc_id", "para", "id", "head", "n", F.expr("doc_id = head.doc_id and para = head.para").alias("kept")))
+    whole = placed.where("n > 1").select("doc_id", "para", F.lit(0).alias("first"), F.lit(None).cast("int").alias("words"), F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), "kept")
+    return whole.unionByName(_passages(distinct, placed.where("kept").select("id", "doc_id", "para")))
+
+
+def _passages(distinct: DataFrame, kept: DataFrame) -> DataFrame:
+    """Rows for the passages of kept paragraphs that earlier kept ones have too; marks in reach of each other are one passage."""
+    hexed = lambda i, n: F.conv(F.hex(F.substr("marks", i * 12 + (1 if n == 4 else 5), F.lit(n))), 16, -10).cast("long")
+    each = F.transform(F.expr("sequence(0, cast(length(marks) / 12 as int) - 1)"), lambda i: F.struct(hexed(i, 4).cast("int").alias("at"), hexed(i, 8).alias("run")))
+    marks = distinct.where("length(marks) > 0").select("id", F.explode(each).alias("m")).select("id", "m.*")
+    run = W.partitionBy("run")
+    shared = marks.withColumn("lo", F.min("id").over(run)).withColumn("hi", F.max("id").over(run)).where("lo < hi").select("id", "at", "run")
+    ours = shared.join(kept, "id").withColumn("head", F.min(F.struct("doc_id", "para")).over(run))
+    later = ours.where("doc_id != head.doc_id or para != head.para")
+    line = W.partitionBy("doc_id", "para").orderBy("at")
+    fresh = (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-WINDOW - RUN - 1)) > WINDOW).cast("int")
+    islands = later.withColumn("new", fresh).withColumn("island", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    spans = islands.groupBy("doc_id", "para", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.struct("at", "head")).alias("of"))
+    return spans.select("doc_id", "para", "first", (F.col("last") + RUN - F.col("first")).alias("words"), F.col("of.head.doc_id").alias("cluster_doc"), F.col("of.head.para").alias("cluster_para"), F.lit(False).alias("kept"))
+
+
+@F.pandas_udf(StringType())
+def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
+    """Texts without the given lines and words of lines."""
+    out = []
+    for text, parts in zip(texts, gone):
+        lines: list = text.split("\n")
+        for p in sorted(parts, key=lambda p: (p["para"], -p["first"])):
+            i = p["para"]
+            if i >= len(lines) or lines[i] is None:
+                continue
+            if p["words"] is None or p["words"] != p["words"]:
+                lines[i] = None
+                continue
+            at = [m.span() for m in WORD.finditer(lines[i])][int(p["first"]) : int(p["first"] + p["words"])]
+            if at:
+                lines[i] = lines[i][: at[0][0]] + lines[i][at[-1][1] :]
+        out.append("\n".join(x for x in lines if x is not None))
+    return pd.Series(out, dtype=object)
 
 
 def drop_repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
-    """The documents without the paragraphs that repeated_paragraphs doesn't keep; n_chars, where there is one, follows the text.
+    """The documents without the paragraphs and passages that repeated_paragraphs doesn't keep; n_chars, where there is one, follows the text.
 
     A document of which nothing but white space is left goes; one that lost nothing stays as it is. Rows that
     repeat a doc_id lose the same lines. Columns of any name stay.
     """
-    gone = repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_set("para").alias("gone")).select(F.col("doc_id").alias("of"), "gone")
+    gone = repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("para", "first", "words")).alias("gone")).select(F.col("doc_id").alias("of"), "gone")
     joined = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, F.col("doc_id") == F.col("of"), "left")
-    left = F.array_join(F.filter(F.split("text", "\n"), lambda _, i: ~F.array_contains("gone", i)), "\n")
-    lost = F.col("gone").isNotNull()
-    out = joined.withColumn("left", F.when(lost, left).otherwise(F.col("text"))).where(~lost | F.col("left").rlike(r"\S"))
-    new = {"text": F.col("left")}
-    if "n_chars" in docs.columns:
-        new["n_chars"] = F.when(lost, F.length("left")).otherwise(F.col("row.n_chars")).cast(docs.schema["n_chars"].dataType)
-    return out.select(*(new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns))
+    hit = joined.where("gone is not null and text is not null").select("row", _without("text", "gone").alias("left")).where(F.col("left").rlike(r"\S"))
+    other = joined.where("gone is null or text is null")
+
+    def columns(text, lost: bool) -> list:
+        new = {"text": text}
+        if lost and "n_chars" in docs.columns:
+            new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+        return [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
+
+    return hit.select(*columns(F.col("left"), True)).union(other.select(*columns(F.col("text"), False)))

@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+
 from auditlake.llm.common import words
 from auditlake.llm.paragraphs import JACCARD, LEAST_WORDS, drop_repeated_paragraphs, recall, repeated_paragraphs
 
@@ -47,7 +49,7 @@ def _case():
 def test_against_brute_force(spark):
     rows = _case()
     want = brute(rows)
-    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in repeated_paragraphs(docs(spark, rows)).collect()}
+    got = {(r.doc_id, r.para): (r.cluster_doc, r.cluster_para) for r in repeated_paragraphs(docs(spark, rows)).where("words is null").collect()}
     assert len(want) > 60 and set(got) <= set(want)
     assert sum(got.get(k) == v for k, v in want.items()) >= 0.95 * len(want)
     assert recall(0.76) > 0.98 and recall(0.7) > 0.94
@@ -61,6 +63,44 @@ def test_removal(spark):
     assert left[0].text == rows[0][1] and left[8].text != rows[8][1] and left[8].n_chars == len(left[8].text)
 
 
+def test_passages_inside_other_paragraphs(spark):
+    shared = [prose(800 + i, 50 + 7 * i) for i in range(6)]
+    rows = [(i, prose(i, 90) + "\n" + prose(100 + i, 20 + i) + " " + shared[i % 6] + " " + prose(200 + i, 33 - i) + "\nend") for i in range(24)]
+    got = {r.doc_id: r for r in repeated_paragraphs(docs(spark, rows)).collect() if r.words is not None}
+    assert set(got) == set(range(6, 24))
+    for i, r in got.items():
+        line = words(rows[i][1].split("\n")[1])
+        piece = line[r.first : r.first + r.words]
+        head = words(rows[r.cluster_doc][1].split("\n")[r.cluster_para])
+        assert r.cluster_doc % 6 == i % 6 and r.cluster_doc < i and r.words >= 20 and any(head[k : k + r.words] == piece for k in range(len(head)))
+    left = {r.doc_id: r.text for r in drop_repeated_paragraphs(docs(spark, rows)).collect()}
+    assert all(left[i] == rows[i][1] for i in range(6))
+    for i in range(6, 24):
+        assert prose(i, 90) in left[i] and prose(100 + i, 20 + i) in left[i] and prose(200 + i, 33 - i) in left[i] and left[i].endswith("\nend")
+        assert len(words(rows[i][1])) - len(words(left[i])) == got[i].words
+
+
+def test_marks_are_those_of_brute_force():
+    from auditlake.llm.common import hash64
+    from auditlake.llm.paragraphs import RUN, WINDOW, _marks
+
+    r = random.Random(3)
+    lengths = [20, 25, 60, 200, 51, 30]
+    toks = [f"w{r.randrange(50)}" for _ in range(sum(lengths))]
+    h = np.array([hash64(t) for t in toks], np.uint64)
+    n = np.array(lengths)
+    starts = np.cumsum(n) - n
+    at, run = _marks(h, starts, n)
+    inside = lambda i: any(s <= i and i + RUN <= s + k for s, k in zip(starts, n))
+    assert all(inside(i) for i in at)
+    for s, k in zip(starts, n):
+        for lo in range(s, s + k - RUN - WINDOW + 2):
+            assert any(lo <= i < lo + WINDOW for i in at)
+    again, run2 = _marks(h[starts[3] :][:200], np.array([0]), np.array([200]))
+    common = {i for i, x in zip(again, run2) if (i + starts[3], x) in set(zip(at, run))}
+    assert all(any(lo <= i < lo + WINDOW for i in common) for lo in range(200 - RUN - WINDOW + 2))
+
+
 def test_a_document_of_copies_only_goes(spark):
     p = prose(1, 50)
     left = drop_repeated_paragraphs(docs(spark, [(1, p), (2, p), (3, p + "\n" + prose(2, 50))])).collect()
