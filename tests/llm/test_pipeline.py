@@ -72,8 +72,8 @@ def plain(rows, items):
 def test_against_a_plain_version(spark, tmp_path):
     items = [(i, prose(900 + i, 30)) for i in range(5)]
     shared = prose(800, 60)
-    rows = [(i, prose(i, 120)) for i in range(40)]
-    rows += [(100 + i, prose(i, 120) + " more") for i in range(10)]  # near copies
+    rows = [(i, prose(5000 + i, 120)) for i in range(40)]
+    rows += [(100 + i, prose(5000 + i, 120) + " more") for i in range(10)]  # near copies
     rows += [(200 + i, prose(200 + i, 90) + "\n" + shared + "\n" + prose(300 + i, 70)) for i in range(6)]  # a shared passage
     rows += [(300 + i, prose(400 + i, 60) + " " + items[i][1] + " " + prose(500 + i, 60)) for i in range(5)]  # leaks
     rows += [(400, "spam and eggs " * 50)]
