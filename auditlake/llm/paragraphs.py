@@ -2,7 +2,8 @@
 
 A passage that two otherwise different paragraphs share leaves their Jaccard similarity low. Such passages are found by winnowing:
 of every 31 runs of 20 words in a row, that of least hash is marked, so any 50 words that two paragraphs have in common
-hold a mark that both have, wherever they stand.
+hold a mark that both have, wherever they stand. Around the marks that recur, every run of 50 words is compared: the words of those
+that occur earlier are the passage, whole to its ends.
 """
 
 from __future__ import annotations
@@ -17,7 +18,11 @@ from pyspark.sql.types import StringType
 from auditlake.llm.common import WORD, WordHashes, components, cut, mix, per_doc, shingle_hashes, words
 
 LEAST_WORDS, SHINGLE, BANDS, ROWS, JACCARD, CHUNK_WORDS = 20, 3, 12, 4, 0.7, 100_000
-RUN, WINDOW = 20, 31  # a shared passage of RUN + WINDOW - 1 words, 50, is found for certain
+RUN, WINDOW = 20, 31
+PASSAGE = RUN + WINDOW - 1  # a shared run of so many words, 50, holds a mark for certain
+FILTER_BITS = 1 << 24
+MARK = np.dtype([("at", "<u4"), ("line", "<u4"), ("upto", "<u4"), ("run", "<u8")])
+PART = np.dtype([("line", "<u4"), ("first", "<u4"), ("words", "<u4")])
 KEY_BITS = 40
 
 
@@ -26,8 +31,8 @@ def recall(jaccard: float, bands: int = BANDS, rows: int = ROWS) -> float:
     return 1 - (1 - jaccard**rows) ** bands
 
 
-def _paragraphs(text: str | None, least: int) -> list[tuple[int, list[str]]]:
-    return [(i, w) for i, p in enumerate((text or "").split("\n")) if len(p) >= 2 * least - 1 and len(w := words(p)) >= least]
+def _lines(text: str | None) -> list[tuple[int, list[str]]]:
+    return [(i, w) for i, p in enumerate((text or "").split("\n")) if (w := words(p))]
 
 
 def _shingles(h: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -46,20 +51,27 @@ def _names(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.nd
     return [np.add.reduceat(mix((h + np.uint64(s)) * mix(at + np.uint64(1 + s))), starts) for s in (1, 2)]
 
 
+def _runs(h: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the runs of n words in order, by doubling."""
+    m = len(h) - n + 1
+    out, at, power, by = None, 0, h, 1
+    while True:
+        if n & by:
+            out = power[:m] if out is None else mix(out * np.uint64(0x9E3779B97F4A7C15) + power[at : at + m])
+            at += by
+        if 2 * by > n:
+            return out
+        power = mix(power[:-by] * np.uint64(0x9E3779B97F4A7C15) + power[by:])
+        by *= 2
+
+
 def _marks(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(places, hashes) of the winnowed runs of RUN words, each within a paragraph; of equal runs in a window the first."""
     n = len(h)
     if n < RUN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def joined(a: np.ndarray, b: np.ndarray, by: int) -> np.ndarray:
-        m = min(len(a), len(b) - by)
-        return mix(a[:m] * np.uint64(0x9E3779B97F4A7C15) + b[by : by + m])
-
-    two = joined(h, h, 1)
-    four = joined(two, two, 2)
-    eight = joined(four, four, 4)
-    run = joined(joined(eight, eight, 8), four, 16)  # 16 words and 4 more
+    run = _runs(h, RUN)
     bits = np.uint64(max(1, int(n - 1).bit_length()))
     order = ((run >> bits) << bits) | np.arange(len(run), dtype=np.uint64)
     inside = np.arange(len(run)) - np.repeat(starts, lengths)[: len(run)] <= np.repeat(lengths, lengths)[: len(run)] - RUN
@@ -75,7 +87,7 @@ def _marks(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.n
 
 
 def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, para, p1, p2, bands, marks): a row for each paragraph of `least` words or more; p1 and p2 name its words, bands holds 5 bytes a band, marks 4 bytes of place and 8 of hash for each mark.
+    """(doc_id, para, p1, p2, bands, marks): a row for each paragraph of `least` words or more; p1 and p2 name its words, bands holds 5 bytes a band. And a row of para -1 for each document with marks: place in the document, lines of first and last word, hash.
 
     Forty bits a band are enough: a chance collision, one for 10^12 paragraphs, only adds a pair that is then verified.
     """
@@ -83,45 +95,65 @@ def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int =
     seeds = mix(np.arange(1, bands * rows + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     power = mix(np.arange(1, rows + 1, dtype=np.uint64)) | np.uint64(1)
 
-    def signed(places: list, toks: list, hashes: WordHashes) -> pd.DataFrame:
-        lengths = np.array([n for _, _, n in places], np.int64)
+    def signed(ids: list, of: list, line: list, count: list, toks: list, hashes: WordHashes) -> pd.DataFrame:
+        every, of, line, count = hashes(toks), np.array(of, np.int64), np.array(line, np.int64), np.array(count, np.int64)
+        long_ = count >= least
+        h, lengths = every[np.repeat(long_, count)], count[long_]
         starts = np.cumsum(lengths) - lengths
-        h = hashes(toks)
-        sh, inside = _shingles(h, starts)
-        p1, p2 = _names(h, starts, lengths)
-        keys = np.zeros((len(places), bands), np.uint64)
-        none = np.uint64(0xFFFFFFFF)
-        for b in range(bands):
-            for r in range(rows):
-                v = ((sh ^ seeds[b * rows + r]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-                v[~inside] = none
-                keys[:, b] += np.minimum.reduceat(v, starts) * power[r]
-        at, run = _marks(h, starts, lengths)
-        of = np.searchsorted(starts, at, "right") - 1
-        both = np.zeros(len(at), [("at", ">u4"), ("run", ">u8")])
-        both["at"], both["run"] = at - starts[of], run
-        cuts = np.searchsorted(of, np.arange(len(places) + 1))
-        marks = [both[cuts[i] : cuts[i + 1]].tobytes() for i in range(len(places))]
-        raw = mix(keys).view(np.uint8).reshape(len(places), bands, 8)[:, :, :5].reshape(len(places), -1)
-        return pd.DataFrame({"doc_id": [d for d, _, _ in places], "para": [i for _, i, _ in places], "p1": p1.view(np.int64), "p2": p2.view(np.int64), "bands": [r.tobytes() for r in np.ascontiguousarray(raw)], "marks": marks})
+        paras = pd.DataFrame({"doc_id": [], "para": [], "p1": [], "p2": [], "bands": []})
+        if len(h):
+            sh, inside = _shingles(h, starts)
+            p1, p2 = _names(h, starts, lengths)
+            keys = np.zeros((len(lengths), bands), np.uint64)
+            none = np.uint64(0xFFFFFFFF)
+            for b in range(bands):
+                for r in range(rows):
+                    v = ((sh ^ seeds[b * rows + r]) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                    v[~inside] = none
+                    keys[:, b] += np.minimum.reduceat(v, starts) * power[r]
+            raw = mix(keys).view(np.uint8).reshape(len(lengths), bands, 8)[:, :, :5].reshape(len(lengths), -1)
+            paras = pd.DataFrame({"doc_id": [ids[i] for i in of[long_]], "para": line[long_], "p1": p1.view(np.int64), "p2": p2.view(np.int64), "bands": [r.tobytes() for r in np.ascontiguousarray(raw)]})
+        first = np.cumsum(count) - count
+        at, run = _marks(every, first, count)
+        begin = np.searchsorted(first, at, "right") - 1
+        both = np.zeros(len(at), MARK)
+        both["at"], both["line"], both["upto"], both["run"] = at - first[np.searchsorted(of, of[begin])], line[begin], line[np.searchsorted(first, at + RUN - 1, "right") - 1], run
+        cuts = np.searchsorted(of[begin], np.arange(len(ids) + 1))
+        marked = [i for i in range(len(ids)) if cuts[i] < cuts[i + 1]]
+        marks = pd.DataFrame({"doc_id": [ids[i] for i in marked], "para": -1, "marks": [both[cuts[i] : cuts[i + 1]].tobytes() for i in marked]})
+        out = pd.concat([paras.assign(marks=None), marks.assign(p1=0, p2=0, bands=None)], ignore_index=True)
+        return out.astype({"doc_id": "int64", "para": "int32", "p1": "int64", "p2": "int64"})[["doc_id", "para", "p1", "p2", "bands", "marks"]]
 
     def run(batches):
         hashes = WordHashes()
-        places, toks = [], []
+        ids, of, line, count, toks = [], [], [], [], []
         for b in batches:
             for doc, text in zip(b.doc_id, b.text):
-                for i, w in _paragraphs(text, least):
-                    places.append((doc, i, len(w)))
+                for i, w in _lines(text):
+                    of.append(len(ids))
+                    line.append(i)
+                    count.append(len(w))
                     toks += w
-                    if len(toks) >= CHUNK_WORDS:
-                        yield signed(places, toks, hashes)
-                        places, toks = [], []
-        if places:
-            yield signed(places, toks, hashes)
+                ids.append(doc)
+                if len(toks) >= CHUNK_WORDS:
+                    yield signed(ids, of, line, count, toks, hashes)
+                    ids, of, line, count, toks = [], [], [], [], []
+        if toks:
+            yield signed(ids, of, line, count, toks, hashes)
 
     return per_doc(docs.where("doc_id is not null and text is not null"), run, "doc_id long, para int, p1 long, p2 long, bands binary, marks binary", "doc_id", "text")
 
 
+def _texts(docs: DataFrame, per: DataFrame) -> DataFrame:
+    """The texts of the documents of `per`, with its columns; most others go by a filter of fixed size, before the shuffle."""
+    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
+    bits = per.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
+    some = docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "bucket")
+    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))").bitwiseAND(byte) != 0
+    return some.where(there).select("doc_id", "text").join(per, "doc_id")
+
+
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(id, sh): the shingles of the wanted (id, doc_id, para); the text of no other document is shuffled to them."""
 
@@ -138,7 +170,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": np.array(ids, np.int64), "sh": sets})
 
     per = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("para", "id")).alias("want"))
-    return docs.select("doc_id", "text").join(per, "doc_id").select("text", "want").mapInPandas(run, "id long, sh array<long>").dropDuplicates(["id"])
+    return _texts(docs, cut(per)).select("text", "want").mapInPandas(run, "id long, sh array<long>").dropDuplicates(["id"])
 
 
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: float = JACCARD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -147,9 +179,9 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     A paragraph is a line of at least `least` words; words are lower-case, without punctuation. Clusters are
     components of equal paragraphs and of pairs whose sets of 3-word shingles have at least the given Jaccard
     similarity, found by bands (recall 0.96 at 0.7, 0.99 at 0.76) and verified exactly. The cluster's first
-    paragraph by (doc_id, para) names it and is kept; words is null. Of the paragraphs that stay, those that share a run of
-    words with an earlier one, marked in both (of 20 words at least; certain from 50 on), have a row for the passage: `words` words
-    from word `first` on, and the first paragraph that has its first run; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
+    paragraph by (doc_id, para) names it and is kept; words is null. Of the lines that stay, every word in a run of 50 words within a
+    line that occurs earlier too, in another line that stays, is in the row of a passage: `words` words from word `first` on, and
+    the first line that has its first run; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
     of a document count once. Other columns are never read. An empty table gives an empty result.
 
     Pairs are verified in two steps, with the same components as if all were: first each paragraph with the least of those it
@@ -158,7 +190,8 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     """
     all_ = cut(paragraph_signatures(docs, least, bands, rows))
     place = F.struct("doc_id", "para")
-    distinct = cut(all_.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "para", "bands", "marks")).alias("at")).select(F.monotonically_increasing_id().alias("id"), "p1", "p2", "at.*"))
+    paras = all_.where("para >= 0")
+    distinct = cut(paras.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "para", "bands")).alias("at")).select(F.monotonically_increasing_id().alias("id"), "p1", "p2", "at.*"))
     key = lambda i: F.conv(F.hex(F.substring("bands", 5 * i + 1, 5)), 16, 10).cast("long") + F.lit(i << KEY_BITS)
     keyed = distinct.select("id", F.explode(F.array(*[key(i) for i in range(bands)])).alias("key"))
     bucket = W.partitionBy("key")
@@ -177,27 +210,97 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     rest = left.join(right, F.expr("l.key = r.key and l.root < r.root")).select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
     more = cut(verified(rest))
     found = roots if more.isEmpty() else components(first.unionByName(more))
-    named = all_.select("doc_id", "para", "p1", "p2").distinct().join(distinct.select("p1", "p2", "id"), ["p1", "p2"]).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "para", "id", F.coalesce("root", "id").alias("root"))
+    named = paras.select("doc_id", "para", "p1", "p2").distinct().join(distinct.select("p1", "p2", "id"), ["p1", "p2"]).join(found, F.col("id") == F.col("node"), "left").select("doc_id", "para", "id", F.coalesce("root", "id").alias("root"))
     clusters = named.groupBy("root").agg(F.min(place).alias("head"), F.count("*").alias("n"))
     placed = cut(named.join(clusters, "root").select("doc_id", "para", "id", "head", "n", F.expr("doc_id = head.doc_id and para = head.para").alias("kept")))
     whole = placed.where("n > 1").select("doc_id", "para", F.lit(0).alias("first"), F.lit(None).cast("int").alias("words"), F.col("head.doc_id").alias("cluster_doc"), F.col("head.para").alias("cluster_para"), "kept")
-    return whole.unionByName(_passages(distinct, placed.where("kept").select("id", "doc_id", "para")))
-
-
-def _passages(distinct: DataFrame, kept: DataFrame) -> DataFrame:
-    """Rows for the passages of kept paragraphs that earlier kept ones have too; marks in reach of each other are one passage."""
-    hexed = lambda i, n: F.conv(F.hex(F.substr("marks", i * 12 + (1 if n == 4 else 5), F.lit(n))), 16, -10).cast("long")
-    each = F.transform(F.expr("sequence(0, cast(length(marks) / 12 as int) - 1)"), lambda i: F.struct(hexed(i, 4).cast("int").alias("at"), hexed(i, 8).alias("run")))
-    marks = distinct.where("length(marks) > 0").select("id", F.explode(each).alias("m")).select("id", "m.*")
-    run = W.partitionBy("run")
-    shared = marks.withColumn("lo", F.min("id").over(run)).withColumn("hi", F.max("id").over(run)).where("lo < hi").select("id", "at", "run")
-    ours = shared.join(kept, "id").withColumn("head", F.min(F.struct("doc_id", "para")).over(run))
-    later = ours.where("doc_id != head.doc_id or para != head.para")
-    line = W.partitionBy("doc_id", "para").orderBy("at")
-    fresh = (F.col("at") - F.coalesce(F.lag("at").over(line), F.lit(-WINDOW - RUN - 1)) > WINDOW).cast("int")
-    islands = later.withColumn("new", fresh).withColumn("island", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
-    spans = islands.groupBy("doc_id", "para", "island").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.min(F.struct("at", "head")).alias("of"))
-    return spans.select("doc_id", "para", "first", (F.col("last") + RUN - F.col("first")).alias("words"), F.col("of.head.doc_id").alias("cluster_doc"), F.col("of.head.para").alias("cluster_para"), F.lit(False).alias("kept"))
+    return whole.unionByName(_passages(docs, all_.where("para < 0").select("doc_id", "marks"), placed.where("not kept").select("doc_id", "para")))
+
+
+def _lasting(batches):
+    """(doc_id, at, run) of the marks that touch no line of `gone`."""
+    for b in batches:
+        ids, out = [], []
+        for doc, raw, gone in zip(b.doc_id, b.marks, b.gone):
+            m = np.frombuffer(raw, MARK)
+            if gone is not None:
+                g = np.sort(np.asarray(gone, np.int64))
+                m = m[np.searchsorted(g, m["line"]) == np.searchsorted(g, m["upto"], "right")]
+            ids.append(np.full(len(m), doc, np.int64))
+            out.append(m)
+        m = np.concatenate(out) if out else np.zeros(0, MARK)
+        yield pd.DataFrame({"doc_id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "at": m["at"].astype(np.int32), "run": m["run"].astype(np.int64)})
+
+
+def _around(batches):
+    """(doc_id, at, line, first, r1, r2, parts): the runs of PASSAGE words that hold a mark of `marks` and touch no line of `gone`; parts, where they lie in several lines, says which words of each."""
+    hashes = WordHashes()
+    for b in batches:
+        for doc, text, marks, gone in zip(b.doc_id, b.text, b.marks, b.gone):
+            lines = _lines(text)
+            count = np.array([len(w) for _, w in lines], np.int64)
+            n = int(count.sum())
+            if n < PASSAGE:
+                continue
+            h = hashes([x for _, w in lines for x in w])
+            number, start = np.array([i for i, _ in lines], np.int64), np.cumsum(count) - count
+            edges = np.zeros(n + 1, np.int64)
+            marks = np.asarray(marks, np.int64)
+            np.add.at(edges, np.maximum(marks - (PASSAGE - RUN), 0), 1)
+            np.add.at(edges, np.minimum(marks + 1, n), -1)
+            lost = np.append(0, np.cumsum(np.repeat(np.isin(number, [] if gone is None else list(gone)), count)))
+            at = np.flatnonzero(np.cumsum(edges)[: n - PASSAGE + 1] > 0)
+            at = at[lost[at] == lost[at + PASSAGE]]
+            i, j = np.searchsorted(start, at, "right") - 1, np.searchsorted(start, at + PASSAGE - 1, "right") - 1
+            at, i, j = at[i == j], i[i == j], j[i == j]
+            parts: list = [None] * len(at)
+            for k in np.flatnonzero(i != j):
+                p = np.zeros(j[k] - i[k] + 1, PART)
+                p["line"], p["first"], p["words"] = number[i[k] : j[k] + 1], 0, count[i[k] : j[k] + 1]
+                p["first"][0] = at[k] - start[i[k]]
+                p["words"][0] -= p["first"][0]
+                p["words"][-1] = at[k] + PASSAGE - start[j[k]]
+                parts[k] = p.tobytes()
+            if len(at):
+                r1, r2 = _runs(h, PASSAGE)[at], _runs(mix(h ^ np.uint64(0xD1342543DE82EF95)), PASSAGE)[at]
+                yield pd.DataFrame({"doc_id": doc, "at": at, "line": number[i], "first": at - start[i], "r1": r1.view(np.int64), "r2": r2.view(np.int64), "parts": parts})
+
+
+def _parted(batches):
+    """Each run's words by line."""
+    for b in batches:
+        each = [[(line, first, PASSAGE)] if p is None else np.frombuffer(p, PART).tolist() for line, first, p in zip(b.line, b["first"], b.parts)]
+        n = [len(x) for x in each]
+        flat = np.array([x for e in each for x in e], np.int64).reshape(-1, 3)
+        yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), n) for c in ("doc_id", "at", "head_doc", "head_line")} | {"para": flat[:, 0], "first": flat[:, 1], "words": flat[:, 2]})
+
+
+def _passages(docs: DataFrame, marks: DataFrame, dropped: DataFrame) -> DataFrame:
+    """Rows for the words of runs of PASSAGE words that occur earlier in lines that stay, too; marks say where such runs can be."""
+    gone = cut(dropped.groupBy("doc_id").agg(F.collect_list("para").alias("gone")))
+    lasting = marks.join(gone, "doc_id", "left").mapInPandas(_lasting, "doc_id long, at int, run long")
+    run, place = W.partitionBy("run"), F.struct("doc_id", "at")
+    shared = lasting.withColumn("lo", F.min(place).over(run)).withColumn("hi", F.max(place).over(run)).where("lo < hi").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
+    wanted = cut(shared.join(gone, "doc_id", "left"))
+    around = _texts(docs, wanted).mapInPandas(_around, "doc_id long, at int, line int, first int, r1 long, r2 long, parts binary")
+    heads = around.withColumn("head", F.min(F.struct("doc_id", "at", "line")).over(W.partitionBy("r1", "r2")))
+    again = heads.where(f"doc_id != head.doc_id or line != head.line and at >= head.at + {PASSAGE}")
+    pieces = again.select("doc_id", "at", "line", "first", "parts", F.col("head.doc_id").alias("head_doc"), F.col("head.line").alias("head_line")).mapInPandas(_parted, "doc_id long, at int, head_doc long, head_line int, para int, first int, words int")
+    line = W.partitionBy("doc_id", "para").orderBy("first", "at")
+    fresh = (F.col("first") > F.coalesce(F.max(F.col("first") + F.col("words")).over(line.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1))).cast("int")
+    islands = pieces.withColumn("new", fresh).withColumn("island", F.sum("new").over(line.rowsBetween(W.unboundedPreceding, 0)))
+    spans = islands.groupBy("doc_id", "para", "island").agg(F.min("first").alias("begin"), F.max(F.col("first") + F.col("words")).alias("end"), F.min(F.struct("at", "head_doc", "head_line")).alias("of"))
+    return spans.select("doc_id", "para", F.col("begin").alias("first"), (F.col("end") - F.col("begin")).alias("words"), F.col("of.head_doc").alias("cluster_doc"), F.col("of.head_line").alias("cluster_para"), F.lit(False).alias("kept"))
+
+
+def _spans(line: str) -> list[tuple[int, int]]:
+    """Where each of words(line) stands; a letter whose lower case is longer can make two words of one."""
+    low = line.lower()
+    found = [m.span() for m in WORD.finditer(low)]
+    if len(low) == len(line):
+        return found
+    back = [i for i, c in enumerate(line) for _ in c.lower()]
+    return [(back[a], back[b - 1] + 1) for a, b in found]
 
 
 @F.pandas_udf(StringType())
@@ -213,7 +316,7 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
             if p["words"] is None or p["words"] != p["words"]:
                 lines[i] = None
                 continue
-            at = [m.span() for m in WORD.finditer(lines[i])][int(p["first"]) : int(p["first"] + p["words"])]
+            at = _spans(lines[i])[int(p["first"]) : int(p["first"] + p["words"])]
             if at:
                 lines[i] = lines[i][: at[0][0]] + lines[i][at[-1][1] :]
         out.append("\n".join(x for x in lines if x is not None))

@@ -117,3 +117,32 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert repeated_paragraphs(docs(spark, [])).count() == 0 and drop_repeated_paragraphs(docs(spark, [])).count() == 0
+
+
+def _earlier(rows, across):
+    """(doc, line, word) of all words in runs of 50 that occur earlier in another line, by brute force."""
+    seen, out = {}, set()
+    for doc, text in sorted(rows):
+        lines = [[(w, doc, i, k) for k, w in enumerate(words(p))] for i, p in enumerate(text.split("\n"))]
+        for seq in [sum(lines, [])] if across else lines:
+            for k in range(len(seq) - 49):
+                run = seq[k : k + 50]
+                d, i, at = seen.setdefault(tuple(x[0] for x in run), (doc, run[0][2], k))
+                if d != doc or i != run[0][2] and at + 50 <= k:
+                    out.update(x[1:] for x in run)
+    return out
+
+
+def _removed(spark, rows):
+    return {(r.doc_id, r.para, r.first + k) for r in repeated_paragraphs(docs(spark, rows)).where("words is not null").collect() for k in range(r.words)}
+
+
+def test_passages_go_to_their_ends(spark):
+    shared = [prose(800 + i, 50 + 3 * i) for i in range(12)]
+    rows = [(i, prose(i, 90) + " " + shared[i % 12] + " " + prose(200 + i, 95)) for i in range(36)]
+    rows += [(40 + i, prose(600 + i, 80) + " " + " ".join(shared[i].split()[: 50 + i]) + " " + prose(700 + i, 80)) for i in range(12)]
+    rows.append((90, "İİ " + prose(900, 70) + " " + shared[3] + " " + prose(901, 70)))
+    want = _earlier(rows, False)
+    assert len(want) > 24 * 50 and _removed(spark, rows) == want
+    left = {r.doc_id: r.text for r in drop_repeated_paragraphs(docs(spark, rows)).collect()}
+    assert left[90] == "İİ " + prose(900, 70) + "  " + prose(901, 70)
