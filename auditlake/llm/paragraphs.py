@@ -1,8 +1,8 @@
 """Operator 4: substring dedup of paragraphs, by MinHash banding, exact Jaccard and components.
 
 A passage that two otherwise different paragraphs share leaves their Jaccard similarity low. Such passages are found by winnowing:
-of every 31 runs of 20 words in a row, that of least hash is marked, so any 50 words that two paragraphs have in common
-hold a mark that both have, wherever they stand. Around the marks that recur, every run of 50 words is compared: the words of those
+of every 31 runs of 20 words in a row of a document, that of least hash is marked, so any 50 words that two documents have in common
+hold a mark that both have, wherever they and their line breaks stand. Around the marks that recur, every run of 50 words is compared: the words of those
 that occur earlier are the passage, whole to its ends.
 """
 
@@ -66,7 +66,7 @@ def _runs(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def _marks(h: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(places, hashes) of the winnowed runs of RUN words, each within a paragraph; of equal runs in a window the first."""
+    """(places, hashes) of the winnowed runs of RUN words, each within a document; of equal runs in a window the first."""
     n = len(h)
     if n < RUN:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
@@ -114,7 +114,8 @@ def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int =
             raw = mix(keys).view(np.uint8).reshape(len(lengths), bands, 8)[:, :, :5].reshape(len(lengths), -1)
             paras = pd.DataFrame({"doc_id": [ids[i] for i in of[long_]], "para": line[long_], "p1": p1.view(np.int64), "p2": p2.view(np.int64), "bands": [r.tobytes() for r in np.ascontiguousarray(raw)]})
         first = np.cumsum(count) - count
-        at, run = _marks(every, first, count)
+        each = np.bincount(of, count, len(ids)).astype(np.int64)
+        at, run = _marks(every, np.cumsum(each) - each, each)
         begin = np.searchsorted(first, at, "right") - 1
         both = np.zeros(len(at), MARK)
         both["at"], both["line"], both["upto"], both["run"] = at - first[np.searchsorted(of, of[begin])], line[begin], line[np.searchsorted(first, at + RUN - 1, "right") - 1], run
@@ -179,9 +180,9 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     A paragraph is a line of at least `least` words; words are lower-case, without punctuation. Clusters are
     components of equal paragraphs and of pairs whose sets of 3-word shingles have at least the given Jaccard
     similarity, found by bands (recall 0.96 at 0.7, 0.99 at 0.76) and verified exactly. The cluster's first
-    paragraph by (doc_id, para) names it and is kept; words is null. Of the lines that stay, every word in a run of 50 words within a
-    line that occurs earlier too, in another line that stays, is in the row of a passage: `words` words from word `first` on, and
-    the first line that has its first run; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
+    paragraph by (doc_id, para) names it and is kept; words is null. Of the lines that stay, every word in a run of 50 words that occurs
+    earlier too, in another document or from another line on, is in the row of a passage, whatever line breaks and short lines
+    the run goes over: `words` words of the line from word `first` on, and the line where its first run begins for the first time; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
     of a document count once. Other columns are never read. An empty table gives an empty result.
 
     Pairs are verified in two steps, with the same components as if all were: first each paragraph with the least of those it
@@ -252,7 +253,6 @@ def _around(batches):
             at = np.flatnonzero(np.cumsum(edges)[: n - PASSAGE + 1] > 0)
             at = at[lost[at] == lost[at + PASSAGE]]
             i, j = np.searchsorted(start, at, "right") - 1, np.searchsorted(start, at + PASSAGE - 1, "right") - 1
-            at, i, j = at[i == j], i[i == j], j[i == j]
             parts: list = [None] * len(at)
             for k in np.flatnonzero(i != j):
                 p = np.zeros(j[k] - i[k] + 1, PART)

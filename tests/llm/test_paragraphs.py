@@ -146,3 +146,24 @@ def test_passages_go_to_their_ends(spark):
     assert len(want) > 24 * 50 and _removed(spark, rows) == want
     left = {r.doc_id: r.text for r in drop_repeated_paragraphs(docs(spark, rows)).collect()}
     assert left[90] == "İİ " + prose(900, 70) + "  " + prose(901, 70)
+
+
+def test_passages_across_lines(spark):
+    def wrapped(seed, n, width):
+        w = prose(seed, n).split()
+        return "\n".join(" ".join(w[k : k + width]) for k in range(0, n, width))
+
+    rows = []
+    for i in range(8):
+        rows += [(i, prose(i, 30) + "\n" + wrapped(800 + i, 60 + i, 7) + "\n\n" + wrapped(100 + i, 40, 9))]
+        rows += [(20 + i, wrapped(200 + i, 33, 5) + "\n\n" + prose(300 + i, 9) + " " + wrapped(800 + i, 60 + i, 11) + " " + prose(400 + i, 12) + "\nend")]
+        rows += [(40 + i, prose(500 + i, 30) + "\n" + prose(800 + i, 60 + i) + " " + prose(600 + i, 70))]
+    rows.append((60, prose(0, 30) + "\n" + wrapped(700, 30, 8)))  # a copied line
+    want = _earlier(rows[:-1], True)
+    assert len(want) >= 16 * 60 and _removed(spark, rows) == want
+    left = {r.doc_id: r.text for r in drop_repeated_paragraphs(docs(spark, rows)).collect()}
+    for i in range(8):
+        assert left[i] == rows[3 * i][1]
+        assert words(left[20 + i]) == words(" ".join([prose(200 + i, 33), prose(300 + i, 9), prose(400 + i, 12), "end"]))
+        assert words(left[40 + i]) == words(prose(500 + i, 30) + " " + prose(600 + i, 70))
+    assert left[60] == wrapped(700, 30, 8)
