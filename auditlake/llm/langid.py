@@ -13,19 +13,19 @@ PER_LANGUAGE, DICTIONARY, LEVEL, MARGIN, CHUNK = 150, 32_768, 6, 0.01, 65_536
 
 
 def dictionaries(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int = DICTIONARY) -> dict[str, bytes]:
-    """Raw content for each language: at most `per_language` labelled texts, those of least hash, and `size` bytes in equal shares: the documented bound of labelled rows."""
+    """Raw content for each language: at most `per_language` labelled texts, those of least hash, and `size` bytes in equal shares, of which long texts also get what short ones leave: the documented bound of labelled rows."""
     from pyspark.sql import Window as W
 
     known = docs.where("lang is not null and lang != '' and text is not null and length(text) > 0 and doc_id is not null")
     rank = F.row_number().over(W.partitionBy("lang").orderBy("h", "doc_id"))
-    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang")
+    ids = known.select("doc_id", "lang", F.xxhash64("doc_id").alias("h")).distinct().withColumn("r", rank).where(F.col("r") <= per_language).select("doc_id", "lang", "r")
     rows = known.select("doc_id", "lang", F.substring("text", 1, size).alias("text")).join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang"]).collect()
     by: dict[str, list] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.doc_id)):
+    for r in sorted(rows, key=lambda r: (r.lang, r.r)):
         by.setdefault(r.lang, []).append(folded(r.text))
 
     def content(texts: dict[str, list]) -> dict[str, bytes]:
-        return {k: b"\n".join(t[: max(256, 4 * size // len(v))] for t in v)[-size:] for k, v in texts.items() if v}
+        return {k: b"\n".join(shares(v, size)) for k, v in texts.items() if v}
 
     # labels can be wrong: each half of the sample is read by the other's dictionaries, and a text goes that is nearer to another language
     halves = [{k: v[i::2] for k, v in by.items()} for i in (0, 1)]
@@ -34,6 +34,15 @@ def dictionaries(docs: DataFrame, per_language: int = PER_LANGUAGE, size: int =
     return content(kept)
 
 
+def shares(texts: list[bytes], size: int) -> list[bytes]:
+    """The texts' first bytes, `size` in all with a separator between two: as many of each, and what short ones leave to the others."""
+    left, most = max(0, size - len(texts) + 1), {}
+    for n, i in enumerate(sorted(range(len(texts)), key=lambda i: len(texts[i]))):
+        most[i] = min(len(texts[i]), left // (len(texts) - n))
+        left -= most[i]
+    return [t[: most[i]] for i, t in enumerate(texts)]
+
+
 def folded(text: str) -> bytes:
     """The bytes of a text in lower case."""
     return text.lower().encode("utf-8", "surrogatepass")

@@ -55,3 +55,13 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert languages(docs(spark, [])).count() == 0
+
+
+def test_every_sampled_text_is_in_its_dictionary(spark):
+    from auditlake.llm.langid import DICTIONARY, PER_LANGUAGE, dictionaries
+
+    rows = [(1000 * k + i, f"{lang}{i}x " + text(lang, i, 400 if i % 3 else 9), lang) for k, lang in enumerate(WORDS) for i in range(PER_LANGUAGE)]
+    got = dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    there = [f"{lang}{i % 1000}x ".encode() in got[lang] for i, _, lang in rows]
+    assert sum(there) == len(rows)
+    assert all(DICTIONARY - 200 <= len(x) <= DICTIONARY for x in got.values())
