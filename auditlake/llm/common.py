@@ -9,12 +9,12 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
 MASK = (1 << 64) - 1
+FILTER_BITS = 1 << 24
 
 
 def words(text: str | None) -> list[str]:
@@ -61,13 +61,17 @@ def shingle_hashes(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def scratch(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary one where it is unset."""
+    """The folder all executors share: spark.checkpoint.dir. Only a local master, as in tests, may have a temporary one instead."""
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
         context = spark.sparkContext
         have = context._jsc.sc().getCheckpointDir()
-        d = have.get() if have.isDefined() else "file://" + tempfile.mkdtemp(prefix="auditlake-")
-        if not have.isDefined():
+        if have.isDefined():
+            d = have.get()
+        elif not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        else:
+            d = "file://" + tempfile.mkdtemp(prefix="auditlake-")
             context.setCheckpointDir(d)
     return d.rstrip("/")
 
@@ -96,25 +100,66 @@ def per_doc(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *c
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) of the connected components of an undirected edge list; root is the least node.
 
-    Alternating large-star and small-star rounds, O(log n) of them in practice. A hub is handled by a
-    window and never collected into one row. No rows in: no rows out. Loops and repeats are ignored.
+    Alternating large-star and small-star rounds, O(log n) of them in practice. A star's least node is an aggregate, combined before
+    its shuffle and joined back, so that Spark can split the edges of a hub over tasks. No rows in: no rows out. Loops and repeats are ignored.
     """
     e = edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u > v").distinct()
     before = None
     while True:
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = both.withColumn("m", F.least(F.min("v").over(W.partitionBy("u")), F.col("u")))
+        near = both.join(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "u")
         large = near.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u > v").distinct()
-        low = large.withColumn("m", F.min("v").over(W.partitionBy("u")))
+        low = large.join(large.groupBy("u").agg(F.min("v").alias("m")), "u")
         small = low.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u > v").distinct()
         e = cut(small)
         now = e.agg(F.count("*"), F.expr("sum(cast(xxhash64(u, v) as decimal(38,0)))")).first()
-        if now == before:
+        if now == before or not now[0]:
             break
         before = now
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).union(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def held(df: DataFrame, key: Column, of: DataFrame, of_key: Column, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+    """(rows whose key may be among those of `of`, rows whose key is certainly not), by a bitmap of fixed size: so that few rows need a shuffle to meet `of`."""
+    place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
+    maps = of.select(place(of_key).alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
+    d = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), place(key).alias("__bit")).withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(maps), "__bucket", "left")
+    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    there = F.coalesce(F.expr("shiftleft(1, cast(bitmap_bit_position(__bit) % 8 as int))").bitwiseAND(byte) != 0, F.lit(False))
+    return d.where(there).select("__row.*"), d.where(~there).select("__row.*")
+
+
+class Identity:
+    """Numbers for rows of (doc_id, text): a row's number is its doc_id, but for rows without one, or that share it with another text; these have numbers
+    beyond all doc_ids, one for each distinct pair. Where a table has no such rows, nothing is joined."""
+
+    def __init__(self, docs: DataFrame):
+        d = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th")).where("text is not null")
+        odd = d.groupBy("doc_id").agg(F.min("th").alias("lo"), F.max("th").alias("hi"))
+        odd = cut(odd.where("doc_id is null or lo != hi").select("doc_id"))
+        self.numbers = None
+        if not odd.isEmpty():
+            top = docs.agg(F.max("doc_id")).first()[0] or 0
+            pairs = d.alias("d").join(odd.alias("o"), F.expr("d.doc_id <=> o.doc_id"), "left_semi").distinct()
+            self.numbers = cut(pairs.select("doc_id", "th", (F.monotonically_increasing_id() + F.lit(int(top) + 1)).alias("number")))
+
+    def add(self, df: DataFrame, name: str = "id") -> DataFrame:
+        """df, which has doc_id and text, with the number."""
+        if self.numbers is None:
+            return df.withColumn(name, F.col("doc_id").cast("long"))
+        n = self.numbers.select(F.col("doc_id").alias("__of"), "th", "number")
+        return df.withColumn("__th", F.xxhash64("text")).join(n, F.expr("doc_id <=> __of and __th = th"), "left").withColumn(name, F.coalesce("number", "doc_id")).drop("__th", "__of", "th", "number")
+
+    def back(self, df: DataFrame, *names: str) -> DataFrame:
+        """df with doc_ids in place of the numbers in these columns."""
+        if self.numbers is None:
+            return df
+        for c in names:
+            n = self.numbers.select(F.col("number").alias("__n"), F.col("doc_id").alias("__d"))
+            df = df.join(n, F.col(c) == F.col("__n"), "left").withColumn(c, F.when(F.col("__n").isNotNull(), F.col("__d")).otherwise(F.col(c))).drop("__n", "__d")
+        return df
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> DataFrame:
     """The n rows of least hash of the key: the documented bound on labelled rows that a classifier is fitted on."""
     return df.orderBy(F.xxhash64(F.col(key)), F.col(key)).limit(n)
