@@ -41,17 +41,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 _TOKENS = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
 
 OP3 = rf"""
-WITH d AS (SELECT doc_id, {_TOKENS} t FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL),
-b AS (SELECT item_id, {_TOKENS} t FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
-bs AS (SELECT DISTINCT item_id, least(5, len(t)) w, len(t) - least(5, len(t)) + 1 span, list_aggregate(t[i : i + least(5, len(t)) - 1], 'string_agg', ' ') s
-       FROM b, unnest(range(1, len(t) - least(5, len(t)) + 2)) u(i) WHERE len(t) > 0),
-m AS (SELECT item_id, w, span, count(*) m, ceil(count(*) * 0.6 - 1e-9) o FROM bs GROUP BY ALL),
-ds AS (SELECT doc_id, i - 1 pos, w, list_aggregate(t[i : i + w - 1], 'string_agg', ' ') s FROM d, (SELECT DISTINCT w FROM bs) x, unnest(range(1, len(t) - w + 2)) u(i)),
-h AS (SELECT DISTINCT ds.doc_id, bs.item_id, bs.w, bs.span, ds.pos, bs.s FROM ds JOIN bs ON ds.w = bs.w AND ds.s = bs.s),
-win AS (SELECT a.doc_id, a.item_id, a.w, a.pos, count(DISTINCT c.s) k FROM h a JOIN h c ON a.doc_id = c.doc_id AND a.item_id = c.item_id AND a.w = c.w AND c.pos >= a.pos AND c.pos < a.pos + a.span GROUP BY ALL),
-best AS (SELECT win.doc_id, win.item_id, m.m, m.o, max(k) k, arg_max(pos, k * 1000000000 - pos) p FROM win JOIN m USING (item_id, w) GROUP BY ALL)
-SELECT doc_id, item_id, CAST(k AS INTEGER) matched, CAST(m AS INTEGER) shingles, CAST(p AS BIGINT) "start" FROM best WHERE k >= o
+WITH d AS (SELECT DISTINCT doc_id, text, {_TOKENS} t FROM documents WHERE text IS NOT NULL),
+b AS (SELECT DISTINCT item_id, text, {_TOKENS} t FROM benchmark WHERE text IS NOT NULL),
+dn AS (SELECT row_number() OVER () dk, * FROM d), bn AS (SELECT row_number() OVER () bk, * FROM b),
+bs AS (SELECT DISTINCT bk, least(5, len(t)) w, len(t) - least(5, len(t)) + 1 span, list_aggregate(t[i : i + least(5, len(t)) - 1], 'string_agg', ' ') s
+       FROM bn, unnest(range(1, len(t) - least(5, len(t)) + 2)) u(i) WHERE len(t) > 0),
+m AS (SELECT bk, w, span, count(*) m, ceil(count(*) * 0.6 - 1e-9) o FROM bs GROUP BY ALL),
+ds AS (SELECT dk, i - 1 pos, w, list_aggregate(t[i : i + w - 1], 'string_agg', ' ') s FROM dn, (SELECT DISTINCT w FROM bs) x, unnest(range(1, len(t) - w + 2)) u(i)),
+h AS (SELECT DISTINCT ds.dk, bs.bk, bs.w, bs.span, ds.pos, bs.s FROM ds JOIN bs ON ds.w = bs.w AND ds.s = bs.s),
+win AS (SELECT a.dk, a.bk, a.w, a.pos, count(DISTINCT c.s) k FROM h a JOIN h c ON a.dk = c.dk AND a.bk = c.bk AND a.w = c.w AND c.pos >= a.pos AND c.pos < a.pos + a.span GROUP BY ALL),
+best AS (SELECT win.dk, win.bk, m.m, m.o, max(k) k, arg_max(pos, k * 1000000000 - pos) p FROM win JOIN m USING (bk, w) GROUP BY ALL)
+SELECT doc_id, item_id, CAST(k AS INTEGER) matched, CAST(m AS INTEGER) shingles, CAST(p AS BIGINT) "start" FROM best JOIN dn USING (dk) JOIN bn USING (bk) WHERE k >= o
 """
 
+
 def oracle_sql() -> dict[str, str]:
     return {"op3_benchmark_decontamination": OP3}

@@ -14,7 +14,7 @@ def brute(rows, its, share=0.6, n=5):
     out = {}
     for item, text in its:
         t = words(text)
-        if item is None or not t:
+        if not t:
             continue
         w = min(n, len(t))
         want = {tuple(t[i : i + w]) for i in range(len(t) - w + 1)}
@@ -23,7 +23,7 @@ def brute(rows, its, share=0.6, n=5):
             d = words(body)
             sh = [tuple(d[i : i + w]) for i in range(len(d) - w + 1)]
             best = max((len(want & set(sh[i : i + span])) for i in range(len(sh))), default=0)
-            if doc is not None and best >= o:
+            if best >= o:
                 out[doc, item] = max(best, out.get((doc, item), 0))
     return out
 
@@ -60,12 +60,21 @@ def test_a_scattered_item_is_no_match(spark):
 
 def test_awkward_rows(spark):
     d, b = docs(spark, awkward(), extra=True), items(spark, [(1, prose(3, 80)), (2, None), (3, ""), (None, "word")], extra=True)
-    assert [(r.doc_id, r.item_id) for r in contaminated(d, b).collect()] == [(6, 1)]
+    assert {(r.doc_id, r.item_id) for r in contaminated(d, b).collect()} == {(6, 1), (4, None)}
     out = decontaminate(d, b)
-    assert out.columns == d.columns and out.count() == len(awkward()) - 2
+    assert out.columns == d.columns and out.count() == len(awkward()) - 3
     assert EXTRA.split()[0] in out.columns
 
 
+def test_repeated_ids_and_rows_without_id(spark):
+    a, b, c = prose(1, 40), prose(2, 40), prose(3, 90)
+    its = items(spark, [(1, a), (1, b), (2, a)])
+    rows = [(5, a), (5, c), (None, c + " " + b), (None, c), (6, b), (6, b)]
+    got = contaminated(docs(spark, rows), its).collect()
+    assert sorted((str(r.doc_id), r.item_id) for r in got) == [("5", 1), ("5", 2), ("6", 1), ("None", 1)]
+    assert sorted((str(r.doc_id), r.text) for r in decontaminate(docs(spark, rows), its).collect()) == [("5", c), ("None", c)]
+
+
 def test_empty_tables(spark):
     none, some = docs(spark, []), docs(spark, [(1, "a text of some words")])
     assert contaminated(none, items(spark, [(1, "a text")])).count() == 0
