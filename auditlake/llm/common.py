@@ -30,7 +30,7 @@ def hash64(word: str) -> int:
 class WordHashes:
     """Word -> 64-bit hash with a bounded cache; the bound limits memory only, never results."""
 
-    def __init__(self, bound: int = 400_000):
+    def __init__(self, bound: int = 120_000):
         self.bound, self.known = bound, {}
 
     def __call__(self, toks: list[str]) -> np.ndarray:
@@ -92,9 +92,27 @@ def delete_path(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def tidy(fn: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same function of batches, which gives the memory of its caches back to the system when its task ends: a worker lives on for other tasks."""
+
+    def run(batches):
+        yield from fn(batches)
+        import ctypes
+
+        import pyarrow as pa
+
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except AttributeError:  # not every C library has it
+            pass
+
+    return run
+
+
 def per_doc(docs: DataFrame, fn: Callable[[Iterator], Iterator], schema: str, *columns: str) -> DataFrame:
     """mapInPandas over the named columns only, so that extra columns never travel or clash."""
-    return docs.select(*columns).mapInPandas(fn, schema)
+    return docs.select(*columns).mapInPandas(tidy(fn), schema)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -120,12 +138,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
 
 def held(df: DataFrame, key: Column, of: DataFrame, of_key: Column, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
-    """(rows whose key may be among those of `of`, rows whose key is certainly not), by a bitmap of fixed size: so that few rows need a shuffle to meet `of`."""
+    """(rows whose key may be among those of `of`, rows whose key is certainly not), by a bitmap of fixed size, sent to all tasks 64 bits a row: so that few rows need a shuffle to meet `of`."""
     place = lambda k: F.pmod(F.xxhash64(k), F.lit(bits))
-    maps = of.select(place(of_key).alias("__bit")).groupBy(F.bitmap_bucket_number("__bit").alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("__bit")).alias("__bits"))
-    d = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), place(key).alias("__bit")).withColumn("__bucket", F.bitmap_bucket_number("__bit")).join(F.broadcast(maps), "__bucket", "left")
-    byte = F.conv(F.hex(F.expr("substring(__bits, cast(bitmap_bit_position(__bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    there = F.coalesce(F.expr("shiftleft(1, cast(bitmap_bit_position(__bit) % 8 as int))").bitwiseAND(byte) != 0, F.lit(False))
+    bit = of.select(place(of_key).alias("__at"))
+    maps = bit.groupBy(F.shiftright("__at", 6).alias("__word")).agg(F.expr("bit_or(shiftleft(1L, cast(__at & 63 as int)))").alias("__bits"))
+    d = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), place(key).alias("__at")).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(maps), "__word", "left")
+    there = F.coalesce(F.expr("(shiftright(__bits, cast(__at & 63 as int)) & 1) != 0"), F.lit(False))
     return d.where(there).select("__row.*"), d.where(~there).select("__row.*")
 
 

@@ -15,12 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from auditlake.llm.common import WORD, WordHashes, components, cut, mix, per_doc, shingle_hashes, words
+from auditlake.llm.common import WORD, Identity, WordHashes, components, cut, held, mix, per_doc, shingle_hashes, tidy, words
 
 LEAST_WORDS, SHINGLE, BANDS, ROWS, JACCARD, CHUNK_WORDS = 20, 3, 12, 4, 0.7, 100_000
 RUN, WINDOW = 20, 31
 PASSAGE = RUN + WINDOW - 1  # a shared run of so many words, 50, holds a mark for certain
-FILTER_BITS = 1 << 24
 MARK = np.dtype([("at", "<u4"), ("line", "<u4"), ("upto", "<u4"), ("run", "<u8")])
 PART = np.dtype([("line", "<u4"), ("first", "<u4"), ("words", "<u4")])
 KEY_BITS = 40
@@ -147,12 +146,8 @@ def paragraph_signatures(docs: DataFrame, least: int = LEAST_WORDS, bands: int =
 
 def _texts(docs: DataFrame, per: DataFrame) -> DataFrame:
     """The texts of the documents of `per`, with its columns; most others go by a filter of fixed size, before the shuffle."""
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_BITS))
-    bits = per.select(bit.alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("bits"))
-    some = docs.select("doc_id", "text").where("doc_id is not null and text is not null").withColumn("bit", bit).withColumn("bucket", F.bitmap_bucket_number("bit")).join(F.broadcast(bits), "bucket")
-    byte = F.conv(F.hex(F.expr("substring(bits, cast(bitmap_bit_position(bit) div 8 as int) + 1, 1)")), 16, 10).cast("int")
-    there = F.expr("shiftleft(1, cast(bitmap_bit_position(bit) % 8 as int))").bitwiseAND(byte) != 0
-    return some.where(there).select("doc_id", "text").join(per, "doc_id")
+    some, _ = held(docs.select("doc_id", "text").where("text is not null"), F.col("doc_id"), per, F.col("doc_id"))
+    return some.join(per, "doc_id")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -171,7 +166,7 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pd.DataFrame({"id": np.array(ids, np.int64), "sh": sets})
 
     per = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("para", "id")).alias("want"))
-    return _texts(docs, cut(per)).select("text", "want").mapInPandas(run, "id long, sh array<long>").dropDuplicates(["id"])
+    return _texts(docs, cut(per)).select("text", "want").mapInPandas(tidy(run), "id long, sh array<long>").dropDuplicates(["id"])
 
 
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: float = JACCARD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -182,21 +177,26 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: floa
     similarity, found by bands (recall 0.96 at 0.7, 0.99 at 0.76) and verified exactly. The cluster's first
     paragraph by (doc_id, para) names it and is kept; words is null. Of the lines that stay, every word in a run of 50 words that occurs
     earlier too, in another document or from another line on, is in the row of a passage, whatever line breaks and short lines
-    the run goes over: `words` words of the line from word `first` on, and the line where its first run begins for the first time; these aren't kept. Rows without doc_id or text have no paragraphs; repeated rows
-    of a document count once. Other columns are never read. An empty table gives an empty result.
+    the run goes over: `words` words of the line from word `first` on, and the line where its first run begins for the first time; these aren't kept. A null text has no paragraphs; equal rows count once. Rows without doc_id, and those that share one
+    with another text, are documents of their own, which come after all others. Other columns are never read. An empty table gives an empty result.
 
     Pairs are verified in two steps, with the same components as if all were: first each paragraph with the least of those it
     shares a band with; then only the pairs that these edges have not joined yet. So thousands of near copies make
     about as many pairs as there are copies.
     """
+    who = Identity(docs)
+    return who.back(_repeated(who.add(docs.select("doc_id", "text"), "id").select(F.col("id").alias("doc_id"), "text"), least, jaccard, bands, rows), "doc_id", "cluster_doc")
+
+
+def _repeated(docs: DataFrame, least: int, jaccard: float, bands: int, rows: int) -> DataFrame:
     all_ = cut(paragraph_signatures(docs, least, bands, rows))
     place = F.struct("doc_id", "para")
     paras = all_.where("para >= 0")
     distinct = cut(paras.groupBy("p1", "p2").agg(F.min(F.struct("doc_id", "para", "bands")).alias("at")).select(F.monotonically_increasing_id().alias("id"), "p1", "p2", "at.*"))
     key = lambda i: F.conv(F.hex(F.substring("bands", 5 * i + 1, 5)), 16, 10).cast("long") + F.lit(i << KEY_BITS)
     keyed = distinct.select("id", F.explode(F.array(*[key(i) for i in range(bands)])).alias("key"))
-    bucket = W.partitionBy("key")
-    shared = cut(keyed.withColumn("hub", F.min("id").over(bucket)).withColumn("last", F.max("id").over(bucket)).where("hub < last").select("key", "id", "hub"))
+    hubs = cut(keyed.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("last")).where("hub < last").select("key", "hub"))
+    shared = cut(held(keyed, F.col("key"), hubs, F.col("key"))[0].join(hubs, "key").select("key", "id", "hub"))
     wanted = distinct.join(shared.select("id").distinct(), "id", "left_semi").select("id", "doc_id", "para")
     sets = cut(_shingle_sets(docs, wanted))
     both = F.size(F.array_intersect("x.sh", "y.sh"))
@@ -279,11 +279,13 @@ def _passages(docs: DataFrame, marks: DataFrame, dropped: DataFrame) -> DataFram
     """Rows for the words of runs of PASSAGE words that occur earlier in lines that stay, too; marks say where such runs can be."""
     gone = cut(dropped.groupBy("doc_id").agg(F.collect_list("para").alias("gone")))
     lasting = marks.join(gone, "doc_id", "left").mapInPandas(_lasting, "doc_id long, at int, run long")
-    run, place = W.partitionBy("run"), F.struct("doc_id", "at")
-    shared = lasting.withColumn("lo", F.min(place).over(run)).withColumn("hi", F.max(place).over(run)).where("lo < hi").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
+    place = F.struct("doc_id", "at")
+    again = cut(lasting.groupBy("run").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("run"))
+    shared = held(lasting, F.col("run"), again, F.col("run"))[0].join(again, "run", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
     wanted = cut(shared.join(gone, "doc_id", "left"))
-    around = _texts(docs, wanted).mapInPandas(_around, "doc_id long, at int, line int, first int, r1 long, r2 long, parts binary")
-    heads = around.withColumn("head", F.min(F.struct("doc_id", "at", "line")).over(W.partitionBy("r1", "r2")))
+    around = _texts(docs, wanted).mapInPandas(tidy(_around), "doc_id long, at int, line int, first int, r1 long, r2 long, parts binary")
+    around = cut(around)
+    heads = around.join(around.groupBy("r1", "r2").agg(F.min(F.struct("doc_id", "at", "line")).alias("head"), F.count("*").alias("n")).where("n > 1").drop("n"), ["r1", "r2"])
     again = heads.where(f"doc_id != head.doc_id or line != head.line and at >= head.at + {PASSAGE}")
     pieces = again.select("doc_id", "at", "line", "first", "parts", F.col("head.doc_id").alias("head_doc"), F.col("head.line").alias("head_line")).mapInPandas(_parted, "doc_id long, at int, head_doc long, head_line int, para int, first int, words int")
     line = W.partitionBy("doc_id", "para").orderBy("first", "at")
@@ -323,21 +325,29 @@ def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def drop_repeated_paragraphs(docs: DataFrame, **options) -> DataFrame:
+_without = _without.asNondeterministic()
+
+
+def drop_repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard: float = JACCARD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """The documents without the paragraphs and passages that repeated_paragraphs doesn't keep; n_chars, where there is one, follows the text.
 
-    A document of which nothing but white space is left goes; one that lost nothing stays as it is. Rows that
-    repeat a doc_id lose the same lines. Columns of any name stay.
+    A document of which nothing but white space is left goes; one that lost nothing stays as it is. Equal rows
+    lose the same lines. Columns of any name stay. Only the documents that may lose something are shuffled.
     """
-    gone = repeated_paragraphs(docs, **options).where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("para", "first", "words")).alias("gone")).select(F.col("doc_id").alias("of"), "gone")
-    joined = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")).join(gone, F.col("doc_id") == F.col("of"), "left")
-    hit = joined.where("gone is not null and text is not null").select("row", _without("text", "gone").alias("left")).where(F.col("left").rlike(r"\S"))
-    other = joined.where("gone is null or text is null")
-
-    def columns(text, lost: bool) -> list:
-        new = {"text": text}
+    who = Identity(docs)
+    packed = who.add(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "id").select("id", "text", "row")
+    found = _repeated(packed.select(F.col("id").alias("doc_id"), "text"), least, jaccard, bands, rows)
+    gone = cut(found.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("para", "first", "words")).alias("gone")).select(F.col("doc_id").alias("of"), "gone"))
+    some, others = held(packed, F.col("id"), gone, F.col("of"))
+    joined = some.join(gone, F.expr("id = of and text is not null"), "left")
+    # not deterministic by name only: else the filter would be pushed below, and the texts cut twice
+    hit = joined.where("gone is not null").select("row", _without("text", "gone").alias("left")).where(F.col("left").rlike(r"\S"))
+    other = joined.where("gone is null").select("row").union(others.select("row"))
+
+    def columns(lost: bool) -> list:
+        new = {"text": F.col("left")} if lost else {}
         if lost and "n_chars" in docs.columns:
-            new["n_chars"] = F.length(text).cast(docs.schema["n_chars"].dataType)
+            new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
         return [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
 
-    return hit.select(*columns(F.col("left"), True)).union(other.select(*columns(F.col("text"), False)))
+    return hit.select(*columns(True)).union(other.select(*columns(False)))

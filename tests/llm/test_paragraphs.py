@@ -115,6 +115,21 @@ def test_awkward_rows(spark):
     assert left.columns == d.columns and left.count() == len(awkward()) - 1
 
 
+def test_one_id_with_two_texts_and_rows_without_id(spark):
+    p, q, r = prose(1, 50), prose(2, 50), prose(3, 50)
+    left = lambda rows: sorted((str(x.doc_id), x.text) for x in drop_repeated_paragraphs(docs(spark, rows)).collect())
+    assert left([(1, p), (2, p), (2, q)]) == [("1", p), ("2", q)]
+    assert left([(1, p + "\n" + q), (None, p + "\n" + r)]) == [("1", p + "\n" + q), ("None", r)]
+    got = repeated_paragraphs(docs(spark, [(3, p), (3, q + "\n" + p), (None, p + " x")])).collect()
+    assert len(got) == 3 and sum(x.kept for x in got) == 1 and {x.doc_id for x in got} == {3, None}
+
+
+def test_words_between_shared_runs_stay(spark):
+    a, b = prose(1, 20), prose(2, 20)
+    rows = [(i, prose(1000 + i, 60) + " " + a + " " + prose(3000 + i, 11) + " " + b + " " + prose(5000 + i, 60)) for i in range(130)]
+    assert {(r.doc_id, r.text) for r in drop_repeated_paragraphs(docs(spark, rows)).collect()} == set(rows)
+
+
 def test_empty_table(spark):
     assert repeated_paragraphs(docs(spark, [])).count() == 0 and drop_repeated_paragraphs(docs(spark, [])).count() == 0
 
