@@ -6,14 +6,15 @@ import uuid
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from auditlake.llm.common import cut, mix, scratch_path
 from auditlake.llm.pieces import MODEL, PieceCoder
 
-GAMMA, BUCKET_KEYS, MAX_LEVELS = 2.0, 200_000, 64
-INDEX_SCHEMA = "bucket int, n long, levels array<binary>, seeds array<long>, shard array<string>, shard_of binary, offsets binary, lengths binary, prints binary"
+GAMMA, BUCKET_KEYS, MAX_LEVELS = 2.0, 16_384, 64
+INDEX_SCHEMA = "bucket int, buckets int, n long, levels array<binary>, seeds array<long>, shard array<string>, shard_of binary, offsets binary, lengths binary, prints binary"
 
 
 def _filesystem(uri: str):
@@ -68,7 +69,7 @@ def fingerprint(keys: np.ndarray) -> np.ndarray:
 
 
 def write_shards(docs: DataFrame, folder: str, model: str = MODEL) -> DataFrame:
-    """Writes each task's texts as ids into a raw little-endian file of the shared folder, and returns (doc_id, shard, offset, n_ids); offset in ids.
+    """Writes each task's texts as ids into a raw little-endian file of the shared folder, and returns (doc_id, shard, offset, n_ids, content); offset in ids, content a hash of them.
 
     No text or id is shuffled. Ids are of 2 bytes where the vocabulary allows, else of 4. A task's file gets its final name
     only in the rows returned by that attempt, so a lost or repeated attempt leaves an unnamed file and no wrong place.
@@ -88,26 +89,31 @@ def write_shards(docs: DataFrame, folder: str, model: str = MODEL) -> DataFrame:
                 n = np.array([len(x) for x in ids], np.int64)
                 sink = sink or fs.open_output_stream(f"{base}/{name}")
                 sink.write(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(dtype).tobytes())
-                rows.append((part.column(0), n, at + np.cumsum(n) - n))
+                content = np.array([xxhash.xxh3_64_intdigest(x.astype("<i4").tobytes()) for x in ids], np.uint64).view(np.int64)
+                rows.append((part.column(0), n, at + np.cumsum(n) - n, content))
                 at += int(n.sum())
         if sink:
             sink.close()
         import pyarrow as pa
 
-        for keys, n, offset in rows:
-            yield pa.RecordBatch.from_arrays([keys, pa.array([name] * len(n)), pa.array(offset), pa.array(n)], ["doc_id", "shard", "offset", "n_ids"])
+        for keys, n, offset, content in rows:
+            yield pa.RecordBatch.from_arrays([keys, pa.array([name] * len(n)), pa.array(offset), pa.array(n), pa.array(content)], ["doc_id", "shard", "offset", "n_ids", "content"])
 
     d = docs.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return cut(d.mapInArrow(run, "doc_id long, shard string, offset long, n_ids long"))
+    return cut(d.mapInArrow(run, "doc_id long, shard string, offset long, n_ids long, content long"))
+
+
+def _bucket(buckets: int):
+    return F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
 
 
 def build_index(places: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
     """A row for each bucket of keys: its perfect hash and, by the keys' numbers, shard, offset, length and fingerprint.
 
-    The number of buckets follows that of the keys, so a bucket fits in memory at any size. A repeated key keeps its first
-    place by (shard, offset, n_ids).
+    The number of buckets follows that of the keys, so a bucket is of one size at any number of them; each row says how many there are. A
+    repeated key keeps one place: that of the ids that are first by (hash, number), so the same ids in every run, wherever they lie.
     """
-    one = places.groupBy("doc_id").agg(F.min(F.struct("shard", "offset", "n_ids")).alias("p")).select("doc_id", "p.*")
+    one = places.groupBy("doc_id").agg(F.min(F.struct("content", "n_ids", "shard", "offset")).alias("p")).select("doc_id", "p.*")
     buckets = max(1, -(-places.count() // bucket_keys))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -117,12 +123,22 @@ def build_index(places: DataFrame, bucket_keys: int = BUCKET_KEYS) -> DataFrame:
         at[h(keys)] = np.arange(len(keys))
         names, which = np.unique(pdf.shard.to_numpy(str), return_inverse=True)
         row = {
-            "bucket": int(pdf.bucket.iloc[0]), "n": len(keys), "levels": [np.concatenate([np.frombuffer(np.int64(len(v)).tobytes(), np.uint8), np.packbits(v)]).tobytes() for v in h.levels], "seeds": h.seeds,
+            "bucket": int(pdf.bucket.iloc[0]), "buckets": buckets, "n": len(keys), "levels": [np.concatenate([np.frombuffer(np.int64(len(v)).tobytes(), np.uint8), np.packbits(v)]).tobytes() for v in h.levels], "seeds": h.seeds,
             "shard": names.tolist(), "shard_of": which[at].astype("<i4").tobytes(), "offsets": pdf.offset.to_numpy(np.int64)[at].tobytes(), "lengths": pdf.n_ids.to_numpy(np.int64)[at].tobytes(), "prints": fingerprint(keys)[at].tobytes(),
         }
         return pd.DataFrame([row])
 
-    return one.withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).groupBy("bucket").applyInPandas(run, INDEX_SCHEMA)
+    return one.withColumn("bucket", _bucket(buckets)).groupBy("bucket").applyInPandas(run, INDEX_SCHEMA)
+
+
+def write_index(index: DataFrame, folder: str) -> DataFrame:
+    """Writes the index beside its shards, in the order of its buckets, and returns it as read from there."""
+    index.repartitionByRange(F.col("bucket")).sortWithinPartitions("bucket").write.mode("overwrite").parquet(f"{folder}/index")
+    return open_index(index.sparkSession, folder)
+
+
+def open_index(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(INDEX_SCHEMA).parquet(f"{folder}/index")
 
 
 class Bucket:
@@ -149,13 +165,13 @@ class Bucket:
         return np.frombuffer(f.read(int(self.lengths[slot]) * dtype.itemsize), dtype)
 
 
-def lookup(spark: SparkSession, index: DataFrame, folder: str, keys: list[int]) -> dict[int, np.ndarray]:
-    """Ids of a few keys, through the index: one bucket row and one seek for each. Absent keys are left out."""
-    buckets = index.agg(F.max("bucket")).first()[0]
-    if buckets is None:
+def lookup(spark: SparkSession, folder: str, keys: list[int]) -> dict[int, np.ndarray]:
+    """Ids of a few keys, through the index beside the shards: one bucket row, which the scan finds by its number, and one seek for each. Absent keys are left out."""
+    index = open_index(spark, folder)
+    any_ = index.select("buckets").first()
+    if any_ is None or not keys:
         return {}
-    total = index.select(F.max("bucket") + 1).first()[0]
-    where = {r.k: r.b for r in spark.createDataFrame([(int(k),) for k in keys], "k long").selectExpr("k", f"cast(pmod(xxhash64(k), {total}L) as int) as b").collect()}
+    where = {r.doc_id: r.b for r in spark.createDataFrame([(int(k),) for k in keys], "doc_id long").select("doc_id", _bucket(any_[0]).alias("b")).collect()}
     out: dict[int, np.ndarray] = {}
     for row in index.where(F.col("bucket").isin(sorted(set(where.values())))).toLocalIterator():
         mine = np.array([k for k, b in where.items() if b == row.bucket], np.int64)
@@ -168,14 +184,14 @@ def lookup(spark: SparkSession, index: DataFrame, folder: str, keys: list[int])
 def token_index(docs: DataFrame, model: str = MODEL, folder: str | None = None) -> DataFrame:
     """(doc_id, bucket, slot, shard, offset, n_ids, fingerprint, id_sum) for every distinct doc_id, read back through the index.
 
-    Shards are written to `folder`, by default a new one in the shared scratch space; every key is then looked up in its
+    Shards and index are written to `folder`, by default a new one in the shared scratch space; every key is then looked up in its
     bucket's perfect hash, its fingerprint compared, and its ids read from the shard and summed. Null and empty texts have 0 ids.
-    A repeated doc_id keeps its first place; rows without doc_id are left out. Other columns are never read. An empty table
+    A repeated doc_id keeps one place, of the same ids in every run; rows without doc_id have no key and are left out. Other columns are never read. An empty table
     gives an empty result.
     """
     folder = folder or scratch_path(docs.sparkSession, "shards")
     places = write_shards(docs, folder, model)
-    index = cut(build_index(places))
+    index = write_index(build_index(places), folder)
 
     def run(batches):
         for b in batches:
@@ -192,5 +208,5 @@ def token_index(docs: DataFrame, model: str = MODEL, folder: str | None = None)
                 yield pd.DataFrame({"doc_id": keys, "bucket": row["bucket"], "slot": slots, "shard": names, "offset": bucket.offsets[slots], "n_ids": bucket.lengths[slots], "fingerprint": bucket.prints[slots].astype(np.int64), "id_sum": sums})
 
     buckets = max(1, -(-places.count() // BUCKET_KEYS))
-    keys = places.select("doc_id").distinct().withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")).groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("keys"))
+    keys = places.select("doc_id").distinct().withColumn("bucket", _bucket(buckets)).groupBy("bucket").agg(F.sort_array(F.collect_list("doc_id")).alias("keys"))
     return index.join(keys, "bucket").mapInPandas(run, "doc_id long, bucket int, slot long, shard string, offset long, n_ids long, fingerprint long, id_sum long")

@@ -1,7 +1,7 @@
 import numpy as np
 
 from auditlake.llm.pieces import PieceCoder
-from auditlake.llm.shards import PerfectHash, build_index, fingerprint, lookup, token_index, write_shards
+from auditlake.llm.shards import PerfectHash, build_index, fingerprint, lookup, token_index, write_index, write_shards
 
 from .tables import awkward, docs, prose
 
@@ -16,13 +16,30 @@ def test_the_hash_is_minimal_and_perfect():
 def test_lookup_reads_what_the_encoder_makes(spark, tmp_path):
     rows = [(i * 7919 - 300, prose(i, 5 + i)) for i in range(200)]
     folder, coder = f"file://{tmp_path}/ids", PieceCoder()
-    index = build_index(write_shards(docs(spark, rows), folder), bucket_keys=30)
-    assert index.count() == 7
+    index = write_index(build_index(write_shards(docs(spark, rows), folder), bucket_keys=30), folder)
+    assert index.count() == 7 and {r.buckets for r in index.collect()} == {7}
     want = {i: coder.encode(t).tolist() for i, t in rows}
-    got = lookup(spark, index, folder, [*want, 5, -77, 10**15])
+    got = lookup(spark, folder, [*want, 5, -77, 10**15])
     assert {k: v.tolist() for k, v in got.items()} == want
 
 
+def test_lookup_where_buckets_are_empty(spark, tmp_path):
+    for seed in range(3):
+        rows = [(i + 1000 * seed, prose(i, 5)) for i in range(12)]
+        folder = f"file://{tmp_path}/{seed}"
+        write_index(build_index(write_shards(docs(spark, rows), folder), bucket_keys=1), folder)
+        assert sorted(lookup(spark, folder, [i for i, _ in rows])) == [i for i, _ in rows]
+    folder = f"file://{tmp_path}/none"
+    write_index(build_index(write_shards(docs(spark, []), folder)), folder)
+    assert lookup(spark, folder, [1]) == {}
+
+
+def test_a_repeated_id_keeps_the_same_ids_in_every_run(spark):
+    rows = [(1, prose(i, 20 + i)) for i in range(9)] + [(2, prose(50, 10))]
+    runs = {tuple(sorted((r.doc_id, r.n_ids, r.id_sum) for r in token_index(docs(spark, rows).repartition(5)).collect())) for _ in range(3)}
+    assert len(runs) == 1 and [x[0] for x in next(iter(runs))] == [1, 2]
+
+
 def test_index_rows_against_brute_force(spark):
     rows = [(i, prose(i, i)) for i in range(120)]
     coder = PieceCoder()
