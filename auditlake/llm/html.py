@@ -13,8 +13,9 @@ from pyspark.sql import functions as F
 
 from auditlake.llm.common import cut, per_doc
 
-LEAST_PAGES, LEAST_SHARE, BROADCAST_ROWS = 5, 0.005, 1_000_000
-TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*?)(?:>|\Z)", re.S)
+LEAST_PAGES, LEAST_SHARE, MANY_PAGES, SHORT, SHORT_SHARE, BROADCAST_ROWS = 5, 0.005, 50, 12, 0.05, 1_000_000
+NAME = re.compile(r"[a-zA-Z][^\s/>]*")
+PLAIN = re.compile(r"[^>\"'=]*")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template textarea iframe svg".split())
 BLOCK = frozenset("address article aside blockquote body br center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol option p pre section table tbody td tfoot th thead title tr ul".split())
@@ -22,62 +23,113 @@ CLOSES_P = BLOCK - {"br", "option", "td", "th", "title", "body", "html", "head"}
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}, "option": {"select"}}
 NEVER_REMOVED = frozenset(("html", "body"))
+MARKUP = frozenset("a button form img input nav script select style svg iframe".split())
 SPACE = re.compile(r"[ \t\r\f\v]+")
 _ENDS = {t: re.compile(rf"</{t}\s*>", re.I) for t in RAW}
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "parts", "hash")
+    __slots__ = ("tag", "attrs", "parts", "hash", "size", "linked")
 
     def __init__(self, tag: str, attrs: str):
-        self.tag, self.attrs, self.parts, self.hash = tag, attrs, [], 0
+        self.tag, self.attrs, self.parts, self.hash, self.size, self.linked = tag, attrs, [], 0, 0, False
+
+
+def _tag_end(html: str, pos: int, last: dict[str, int]) -> tuple[int, int]:
+    """(end of the attributes, place after the tag) of a tag whose attributes begin at pos. A quote counts after an equals sign, and where it is closed later on: else the tag ends
+    at the next >. Every character is looked at once."""
+    n = len(html)
+    while pos < n:
+        pos = PLAIN.match(html, pos).end()
+        if pos >= n:
+            break
+        c = html[pos]
+        if c == ">":
+            return pos, pos + 1
+        if c == "=":
+            at = pos + 1
+            while at < n and html[at].isspace():
+                at += 1
+            if at < n and html[at] in "\"'" and last[html[at]] > at:
+                at = html.index(html[at], at + 1) + 1
+            pos = at if at > pos + 1 else pos + 1
+        else:
+            pos += 1
+    return n, n
+
+
+def _until(html: str, mark: str, pos: int) -> int:
+    """The place after the next mark, or the end."""
+    at = html.find(mark, pos)
+    return len(html) if at < 0 else at + len(mark)
 
 
 def parse(html: str) -> Node:
-    """The element tree; unclosed elements end with their parent, li, td and the like with the next of their kind, p before any block."""
+    """The element tree, in one pass; unclosed elements end with their parent, li, td and the like with the next of their kind, p before any block."""
     root = Node("", "")
     stack, pos, n = [root], 0, len(html)
+    open_: dict[str, int] = {}
+    last = {q: html.rfind(q) for q in "\"'"}
+
+    def close(i: int) -> None:
+        for x in stack[i:]:
+            open_[x.tag] -= 1
+        del stack[i:]
+
     while pos < n:
-        m = TAG.search(html, pos)
-        if not m:
+        at = html.find("<", pos)
+        if at < 0:
             stack[-1].parts.append(html[pos:])
             break
-        if m.start() > pos:
-            stack[-1].parts.append(html[pos : m.start()])
-        pos = m.end()
-        if m.end() == m.start():
-            pos += 1
-        if m.group(2) is None:
+        if at > pos:
+            stack[-1].parts.append(html[pos:at])
+        if html.startswith("<!--", at):
+            pos = _until(html, "-->", at + 4)
             continue
-        tag = m.group(2).lower()
-        if m.group(1):
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    del stack[i:]
-                    break
+        if html.startswith("<![CDATA[", at):
+            pos = _until(html, "]]>", at + 9)
+            continue
+        if html[at + 1 : at + 2] in ("!", "?"):
+            pos = _until(html, ">", at + 2)
+            continue
+        closing = html[at + 1 : at + 2] == "/"
+        name = NAME.match(html, at + 1 + closing)
+        if not name:
+            stack[-1].parts.append("<")
+            pos = at + 1
             continue
-        if tag in CLOSES_P:
+        tag = name.group().lower()
+        end, pos = _tag_end(html, name.end(), last)
+        if closing:
+            if open_.get(tag):
+                i = len(stack) - 1
+                while stack[i].tag != tag:
+                    i -= 1
+                close(i)
+            continue
+        if tag in CLOSES_P and open_.get("p"):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == "p":
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in BLOCK:
                     break
-        if tag in SIBLINGS:
+        if tag in SIBLINGS and any(open_.get(t) for t in SIBLINGS[tag]):
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag in SIBLINGS[tag]:
-                    del stack[i:]
+                    close(i)
                     break
                 if stack[i].tag in SCOPE[tag]:
                     break
-        node = Node(tag, m.group(3).strip())
+        node = Node(tag, html[name.end() : end].strip())
         stack[-1].parts.append(node)
         if tag in RAW:
-            end = _ENDS[tag].search(html, pos)
-            node.parts.append(html[pos : end.start() if end else n])
-            pos = end.end() if end else n
+            stop = _ENDS[tag].search(html, pos)
+            node.parts.append(html[pos : stop.start() if stop else n])
+            pos = stop.end() if stop else n
         elif tag not in VOID and not node.attrs.endswith("/"):
             stack.append(node)
+            open_[tag] = open_.get(tag, 0) + 1
     return root
 
 
@@ -92,13 +144,15 @@ def subtrees(root: Node) -> list[Node]:
     for x in order:
         inner = [f"<{x.tag} {' '.join(sorted(x.attrs.split()))}>"]
         inner += [f"\0{c.hash:x}\0" if type(c) is Node else " ".join(c.split()) for c in x.parts]
+        x.size = sum(c.size if type(c) is Node else len(c.strip()) for c in x.parts)
+        x.linked = x.tag in MARKUP or any(c.linked for c in x.parts if type(c) is Node)
         x.hash = xxhash.xxh3_64_intdigest("\1".join(inner).encode("utf-8", "surrogatepass"))
     return order
 
 
-def removable(order: list[Node]) -> set[int]:
-    """Hashes of the subtrees that can be a template: elements that hold anything, but for html and body."""
-    return {x.hash for x in order if x.tag and x.tag not in NEVER_REMOVED and x.parts}
+def removable(order: list[Node]) -> dict[int, bool]:
+    """Hashes of the subtrees that can be a template: elements that hold anything, but for html and body. True for those of a few letters without any link or control, as a cell's "yes"."""
+    return {x.hash: x.size < SHORT and not x.linked for x in order if x.tag and x.tag not in NEVER_REMOVED and x.parts}
 
 
 def text_of(root: Node, gone: set[int]) -> tuple[str, int]:
@@ -129,52 +183,77 @@ def with_host(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html", F.lower(F.expr("try_parse_url(url, 'HOST')")).alias("host"))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hash, pages): the subtrees that recur on at least `least_pages` pages, and this share, of a host. Pages without a host have none."""
+def _hashes(keyed: DataFrame, key: str) -> DataFrame:
+    """(key, hash, short) of each page's removable subtrees."""
 
     def run(batches):
         for b in batches:
-            hosts, hashes = [], []
-            for host, html in zip(b.host, b.html):
-                got = removable(subtrees(parse(html))) if html else ()
+            keys, hashes, short = [], [], []
+            for k, html in zip(b[key], b["html"]):
+                got = removable(subtrees(parse(html))) if html else {}
                 hashes += [_signed(h) for h in got]
-                hosts += [host] * len(got)
-            yield pd.DataFrame({"host": np.array(hosts, object), "hash": np.array(hashes, np.int64)})
+                short += got.values()
+                keys += [k] * len(got)
+            yield pd.DataFrame({key: np.array(keys, object), "hash": np.array(hashes, np.int64), "short": np.array(short, bool)})
 
+    return keyed.select(key, "html").mapInPandas(run, f"{key} {dict(keyed.dtypes)[key]}, hash long, short boolean")
+
+
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+    """(host, hash, pages): the subtrees that recur across a host. Pages without a host have none.
+
+    Five pages are enough, and on larger hosts 0.5 % of them, but never more than 50: what recurs on so many is a template on a host of any size. Of a few letters without a link, as
+    a cell of a table, only what 5 % of the pages have is one.
+    """
     hosted = with_host(pages).where("host is not null")
     totals = hosted.groupBy("host").agg(F.count("*").alias("all_pages"))
-    counts = hosted.select("host", "html").mapInPandas(run, "host string, hash long").groupBy("host", "hash").agg(F.count("*").alias("pages")).where(F.col("pages") >= least_pages)
-    return counts.join(totals, "host").where(F.col("pages") >= least_share * F.col("all_pages")).select("host", "hash", "pages")
+    counts = _hashes(hosted, "host").groupBy("host", "hash").agg(F.count("*").alias("pages"), F.bool_and("short").alias("short")).where(F.col("pages") >= least_pages)
+    many = F.least(least_share * F.col("all_pages"), F.lit(MANY_PAGES))
+    return counts.join(totals, "host").where((F.col("pages") >= many) & (~F.col("short") | (F.col("pages") >= SHORT_SHARE * F.col("all_pages")))).select("host", "hash", "pages")
 
 
 def extract(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(page_id, host, text, removed) of every page: its visible text without the host's templates, and how many subtrees went.
 
-    The templates' number is counted first: up to `broadcast_rows` of them are sent to all tasks, more are joined by host.
+    The templates' number is counted first: up to `broadcast_rows` of them are sent to all tasks, host by host; beyond that each page's own subtrees meet
+    them by (host, hash), and come back to the page: a page is never sent with more than it holds.
     Null html gives null text, empty html empty text; a page without a host loses nothing; repeated rows give a row each and
-    count as pages; rows without page_id too. Scripts, styles and comments aren't text. Other columns are never
+    count as pages; rows without page_id too. Scripts, styles and comments aren't text; a quote that is never closed ends at its tag's end. Other columns are never
     read. An empty table gives an empty result.
     """
     found = cut(templates(pages, least_pages, least_share))
-    small = found.count() <= broadcast_rows
-    per = found.groupBy("host").agg(F.collect_list("hash").alias("gone"))
-    joined = with_host(pages).join(F.broadcast(per) if small else per, "host", "left").select("page_id", "host", "html", "gone")
+    if found.count() <= broadcast_rows:
+        per = found.groupBy("host").agg(F.collect_list("hash").alias("gone"))
+        joined = with_host(pages).join(F.broadcast(per), "host", "left").select("page_id", "host", "html", "gone")
+    else:
+        # pages of equal host and html lose the same, so their hash names them
+        keyed = with_host(pages).withColumn("page_key", F.xxhash64("host", "html"))
+        own = keyed.where("host is not null and html is not null")
+        hosts = own.select("page_key", "host").distinct()
+        met = _hashes(own.dropDuplicates(["page_key"]), "page_key").join(hosts, "page_key").join(found.select("host", "hash"), ["host", "hash"], "left_semi")
+        per = met.groupBy("page_key").agg(F.collect_set("hash").alias("gone"))
+        joined = keyed.join(per, "page_key", "left").select("page_id", "host", "html", "gone")
 
     def run(batches):
-        sets: dict[str, set] = {}
+        held: tuple = (None, set())
         for b in batches:
             rows = []
             for page, host, html, gone in zip(b.page_id, b.host, b.html, b.gone):
                 if html is None:
                     rows.append((page, host, None, 0))
                     continue
-                if gone is not None and host not in sets:
-                    if len(sets) > 2000:
-                        sets.clear()
-                    sets[host] = {int(h) & ((1 << 64) - 1) for h in gone}
                 root = parse(html)
-                subtrees(root)
-                rows.append((page, host, *text_of(root, sets[host] if gone is not None else set())))
+                order = subtrees(root)
+                if gone is None:
+                    lost = set()
+                else:
+                    own = removable(order)
+                    if held[0] is not gone:
+                        held = (gone, np.sort(np.asarray(gone, np.int64)))
+                    mine = np.array([_signed(h) for h in own], np.int64)
+                    at = np.minimum(np.searchsorted(held[1], mine), len(held[1]) - 1)
+                    lost = {h for h, yes in zip(own, held[1][at] == mine) if yes} if len(mine) else set()
+                rows.append((page, host, *text_of(root, lost)))
             out = pd.DataFrame(rows, columns=["page_id", "host", "text", "removed"])
             out["page_id"] = out["page_id"].astype("Int64")
             yield out

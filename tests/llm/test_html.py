@@ -24,6 +24,70 @@ def test_parser():
     assert text("<table><tr><td>x<td>y<tr><td>z</table>").split("\n") == ["x", "y", "z"]
 
 
+def test_odd_markup():
+    def text(s):
+        r = parse(s)
+        subtrees(r)
+        return text_of(r, set())[0]
+
+    assert text('<a href="x>text</a> more') == "text more"
+    assert text("""<a title='a > b' href="c>d">in</a> it's <b>"so"</b>""") == "in it's \"so\""
+    assert text('<p class=x data-y = "1>2">one</p>') == "one" and text("<b x=y") == "" and text("<div a='b>c") == "c"
+
+
+def test_time_follows_length():
+    import time
+
+    def took(s):
+        t = time.perf_counter()
+        subtrees(parse(s))
+        return time.perf_counter() - t
+
+    for unit in ("<b x=y ", '<a href="', "<b>" * 3 + "</i>", "<p><b>", "<b><option></option>", "<!-- ", "='"):
+        took(unit * 200)
+        assert took(unit * 16_000) < 40 * max(took(unit * 1000), 0.002)
+
+
+def test_text_against_the_standard_parser():
+    from html.parser import HTMLParser
+    import random
+
+    class Plain(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.out, self.raw = [], 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style")
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.out.append(data)
+
+    r = random.Random(3)
+    for _ in range(200):
+        s = "".join(r.choice(["<div class='a'>", "</div>", "<b>", "</b>", "word ", "x &lt; y ", "<br/>", "<!-- c -->", "<script>if (a<b) {}</script>", '<a href="u?a=1&b=2">', "</a>", "<p>", "tail\n"]) for _ in range(40))
+        p = Plain()
+        p.feed(s)
+        p.close()
+        root = parse(s)
+        subtrees(root)
+        assert text_of(root, set())[0].split() == "".join(p.out).split() or "".join(text_of(root, set())[0].split()) == "".join("".join(p.out).split())
+
+
+def test_large_hosts(spark):
+    note = "<p>Printed on paper from our own mill</p>"
+    rows = [(i, f"https://big.example/{i}", f"<html><body>{note if i < 60 else ''}<table><td>yes</td></table><p>Own words of page {i}</p>{'<i>rare</i>' if i < 20 else ''}</body></html>") for i in range(13_000)]
+    rows += [(20_000 + i, f"https://small.example/{i}", f"<body><td>{'yes' if i % 2 else 'no'}</td><p>Words of {i}</p><i>{'once' if i < 6 else i}</i></body>") for i in range(200)]
+    got = {r.page_id: r.text for r in extract(pages(spark, rows)).collect()}
+    assert got[5].startswith("rare") is False and "mill" not in got[5] and "Own words of page 5" in got[5]  # 60 of 13 000 pages
+    assert "rare" in got[5]  # on 20 pages only
+    assert "yes" not in got[20_001] and "once" in got[20_001]
+
+
 def test_templates_go_and_own_text_stays(spark):
     rows = [page(i) for i in range(12)] + [page(100 + i, "b.example") for i in range(3)]
     got = {r.page_id: r for r in extract(pages(spark, rows)).collect()}
