@@ -4,6 +4,9 @@ The restaurants of all contexts of one word share a parent, the restaurant of no
 measure of 2^-64 for every possible word. Text is cut into chunks; a chunk's word pairs, with the documents that they occur in, are
 packed by context into parts, and shuffled once: the same exchange serves both the counts and the scores. What is gathered is every
 word pair of the corpus, and all words' tables, so it grows with the corpus, and nothing that grows is ever broadcast.
+
+Parent and children are sampled in turn: the tables of all contexts are the parent's customers, and the parent's probabilities the base by which all contexts are seated again. Every draw is a
+hash of context, word, sweep and step, so the seating is the same however contexts are spread over tasks.
 """
 
 from __future__ import annotations
@@ -14,9 +17,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import WordHashes, mix, words
+from auditlake.llm.common import MASK, WordHashes, mix, words
 
-DISCOUNT, STRENGTH, BURN_IN, SAMPLES, CHUNK_WORDS, CHUNK_ROWS = 0.7, 1.0, 2, 3, 2_000_000, 60_000
+DISCOUNT, STRENGTH, BURN_IN, SAMPLES, ROUNDS, CHUNK_WORDS, CHUNK_ROWS = 0.7, 1.0, 2, 3, 2, 2_000_000, 60_000
 BASE = 2.0**-64
 BLOB = "part int, chunk long, ctx binary, per binary, word binary, times binary, at binary, docs binary"
 _DOC = np.dtype([("at", "<u2"), ("known", "?"), ("id", "<i8"), ("words", "<i8")])
@@ -102,39 +105,68 @@ class Part:
         self.contexts, self.of = np.unique(c[keys], return_inverse=True)
         self.c = np.bincount(self.pair, np.concatenate([*self.times, np.zeros(0)]), len(keys)).astype(np.int64)
         self.t = np.minimum(self.c, 1).astype(np.float64)
+        self.key = mix(self.contexts[self.of] * np.uint64(0x9E3779B97F4A7C15) + mix(self.word + np.uint64(1))) if len(keys) else np.zeros(0, np.uint64)
 
     def sums(self, x: np.ndarray) -> np.ndarray:
         """Of each pair's context."""
         return np.bincount(self.of, x, len(self.contexts))[self.of]
 
-    def sweep(self, base: np.ndarray, d: float, theta: float, rng: np.random.Generator) -> None:
-        """Seats all customers again, given the parent's predictive probabilities."""
-        self.t = seat(self.c, base, self.sums(self.t) - self.t, d, theta, rng)
+    def sweep(self, base: np.ndarray, d: float, theta: float, turn: int) -> None:
+        """Seats all customers again, given the parent's predictive probabilities; turn tells one sweep's draws from another's."""
+        self.t = seat(self.c, base, self.sums(self.t) - self.t, d, theta, mix(self.key + np.uint64(turn * 0xD1342543DE82EF95 & MASK)))
 
     def predictive(self, base: np.ndarray, d: float, theta: float) -> np.ndarray:
         return (self.c - d * self.t + (theta + d * self.sums(self.t)) * base) / (theta + self.sums(self.c.astype(float)))
 
 
-def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, rng: np.random.Generator, exact: int = 32) -> np.ndarray:
+def uniform(key: np.ndarray, step: int) -> np.ndarray:
+    """A number in (0, 1) for each key, by hash."""
+    return ((mix(key + np.uint64(step * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def lgamma(x: np.ndarray) -> np.ndarray:
+    """The logarithm of the gamma function for numbers of 5 or more, by Stirling's series."""
+    y = 1 / x
+    z = y * y
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + y * (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680)))
+
+
+def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, steps: int = 32) -> np.ndarray:
     """Tables of each dish after its c customers are seated anew, one after the other, given the other dishes' tables.
 
     The first customer opens a table; the next joins one of the dish's t tables with weight (seated - d t), or
-    opens one with weight (theta + d (t + others)) base. Beyond `exact` customers they come in blocks of a
-    quarter more, whose chance of a new table is that of the block's first customer.
+    opens one with weight (theta + d (t + others)) base. The first `steps` customers are drawn one by one. Of the rest, the next one to open a table is drawn at once: that m in a row
+    join has a chance that is a ratio of gamma functions. Both follow the same law exactly; the second takes as many draws as there are tables, not customers.
     """
     t = np.minimum(c, 1).astype(np.float64)
-    done, block = 1, 1
     live = np.nonzero(c > 1)[0]
-    while len(live):
-        k = np.minimum(c[live] - done, block)
+    for done in range(1, steps):
+        if not len(live):
+            return t
         tl = t[live]
         new = (theta + d * (tl + others[live])) * base[live]
-        p = new / (np.maximum(done - d * tl, 1e-9) + new)
-        t[live] = tl + (rng.random(len(live)) < p if block == 1 else rng.binomial(k, np.minimum(p, 1.0)))
-        done += block
-        if done >= exact:
-            block = max(1, done // 4)
-        live = live[c[live] > done]
+        t[live] = tl + (uniform(key[live], done) < new / (np.maximum(done - d * tl, 1e-9) + new))
+        live = live[c[live] > done + 1]
+    n, turn = np.full(len(live), float(steps)), steps
+    live_n = n
+    while len(live):
+        tl = t[live]
+        a = (theta + d * (tl + others[live])) * base[live]
+        x = live_n - d * tl
+        limit = np.log(uniform(key[live], turn)) - lgamma(x + a) + lgamma(x)
+        stay = lambda m: lgamma(x + m) - lgamma(x + m + a)  # noqa: B023, E731
+        left = c[live] - live_n
+        opens = stay(left) < limit
+        live, live_n, x, a, limit, left = live[opens], live_n[opens], x[opens], a[opens], limit[opens], left[opens]
+        lo, hi = np.zeros(len(live)), left.copy()  # none opens within lo, one does within hi
+        while len(live) and (hi - lo).max() > 1:
+            mid = np.floor((lo + hi) / 2)
+            yes = (stay(mid) < limit) & (mid > lo)
+            hi, lo = np.where(yes, mid, hi), np.where(yes | (hi - lo <= 1), lo, mid)
+        t[live] += 1
+        live_n = live_n + hi
+        more = c[live] > live_n
+        live, live_n, turn = live[more], live_n[more], turn + 1
     return t
 
 
@@ -151,40 +183,55 @@ def word_probabilities(tables: DataFrame, d: float, theta: float) -> DataFrame:
     return spread.select("part", "word").join(totals.crossJoin(whole).select("word", p.alias("p")), "word").select("part", "word", "p")
 
 
-def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, burn_in: int = BURN_IN, samples: int = SAMPLES, seed: int = 7, parts: int | None = None) -> DataFrame:
+def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, burn_in: int = BURN_IN, samples: int = SAMPLES, rounds: int = ROUNDS, seed: int = 7, parts: int | None = None) -> DataFrame:
     """(doc_id, n_words, bits_per_word, perplexity) of every row: the corpus fits the model, and the model scores each of its texts, whole.
 
-    A word's probability after the word before it is averaged over `samples` seatings by Gibbs sampling, after `burn_in`
+    The parent is sampled `rounds` times from the contexts' tables, the first time by seatings under a base that is the same for all words, then by seatings under itself. A word's probability after the word before it is averaged over `samples` seatings by Gibbs sampling, after `burn_in`
     others; perplexity is per word. Words are lower-case runs of letters, digits and underscores. A text without any, or null, counts nothing
     and scores null; repeated rows count and score each time, also those without doc_id. Other columns are
-    never read. An empty table gives an empty result. A context's pairs are in one part, so one context must fit in a task's memory.
+    never read. An empty table gives an empty result. The number of parts changes nothing but the order of sums. A context's pairs are in one part, so one context must fit in a task's memory.
     """
     spark = docs.sparkSession
     parts = parts or 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     packed = blobs(docs, parts)
+    turns = burn_in + samples
+
+    def tables(part: Part, number: int) -> pd.DataFrame:
+        own, at = np.unique(part.word, return_inverse=True)
+        return pd.DataFrame({"part": np.int32(number), "word": own.view(np.int64), "t": np.bincount(at, part.t, len(own)).astype(np.int64)})
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         part = Part(pdf)
         guess = np.full(len(part.c), 1e-6)
-        rng = np.random.default_rng(seed + int(pdf.part.iloc[0]))
-        for _ in range(burn_in):
-            part.sweep(guess, d, theta, rng)
-        own, at = np.unique(part.word, return_inverse=True)
-        return pd.DataFrame({"part": np.int32(pdf.part.iloc[0]), "word": own.view(np.int64), "t": np.bincount(at, part.t, len(own)).astype(np.int64)})
+        for k in range(burn_in):
+            part.sweep(guess, d, theta, seed * 1000 + k)
+        return tables(part, pdf.part.iloc[0])
+
+    def based(part: Part, base: pd.DataFrame) -> np.ndarray:
+        known = base.sort_values("word")
+        return known.p.to_numpy()[np.searchsorted(known.word.to_numpy(), part.word.view(np.int64))] if len(part.c) else np.zeros(0)
+
+    table = "part int, word long, t long"
+    probabilities = word_probabilities(packed.groupBy("part").applyInPandas(first, table), d, theta)
+    for r in range(1, rounds):
 
-    probabilities = word_probabilities(packed.groupBy("part").applyInPandas(first, "part int, word long, t long"), d, theta)
+        def again(pdf: pd.DataFrame, base: pd.DataFrame, r: int = r) -> pd.DataFrame:
+            part = Part(pdf)
+            p = based(part, base)
+            for k in range(burn_in):
+                part.sweep(p, d, theta, seed * 1000 + r * turns + k)
+            return tables(part, pdf.part.iloc[0])
 
-    def second(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
+        probabilities = word_probabilities(packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(again, table), d, theta)
+
+    def last(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         part = Part(pdf)
-        known = base.sort_values("word")
-        p = known.p.to_numpy()[np.searchsorted(known.word.to_numpy(), part.word.view(np.int64))] if len(part.c) else np.zeros(0)
-        rng = np.random.default_rng(seed + 1_000_003 + int(pdf.part.iloc[0]) if len(pdf) else seed)
-        for _ in range(burn_in):
-            part.sweep(p, d, theta, rng)
+        p = based(part, base)
         mean = np.zeros(len(p))
-        for _ in range(samples):
-            part.sweep(p, d, theta, rng)
-            mean += part.predictive(p, d, theta) / samples
+        for k in range(turns):
+            part.sweep(p, d, theta, seed * 1000 + rounds * turns + k)
+            if k >= burn_in:
+                mean += part.predictive(p, d, theta) / samples
         bits = -np.log2(mean)
         rows, start = [], 0
         for chunk, times, at, own in zip(pdf.chunk, part.times, pdf["at"], pdf.docs):
@@ -195,7 +242,7 @@ def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, bur
             rows.append((chunk, there.astype("<u2").tobytes(), sums[there].astype("<f4").tobytes(), own))
         return pd.DataFrame(rows, columns=["chunk", "at", "bits", "docs"])
 
-    scored = packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(second, "chunk long, at binary, bits binary, docs binary")
+    scored = packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(last, "chunk long, at binary, bits binary, docs binary")
 
     def together(pdf: pd.DataFrame) -> pd.DataFrame:
         docs = np.sort(np.concatenate([np.frombuffer(x, _DOC) for x in pdf.docs]), order="at")
