@@ -1,13 +1,13 @@
 """Operator 2: toxicity by a support vector machine on a gapped-subsequence kernel with Nyström landmarks.
 
 The kernel of two words is that of their common subsequences of three letters, each weighted by decay to the power of
-the letters it spans, gaps included, and normalized. A sentence is as toxic as its most toxic word (multiple-instance
-learning); a machine trained on the landmarks' kernel columns is a weighted sum of kernels, and since the kernel is
+the letters it spans, gaps included, and normalized. Labels say whether a text is toxic, so its sentences are the examples by multiple-instance
+learning: all of a clean text's are clean, and at least one of a toxic text's is toxic, by its witness words, which the kernel reads. A machine trained on the landmarks' kernel columns is a weighted sum of kernels, and since the kernel is
 linear in its features, that sum is one table of letter triples, which scores any word at the same cost.
 
-Two machines of the same kernel read each word. The strict one pays dearly for words of clean texts: a single word
-above its threshold makes a text toxic. The loose one finds words that clean texts hold too, now and then; a text is
-toxic when it has more of them than its length explains.
+Two machines of the same kernel read each word. The strict one pays dearly for words of clean sentences: a single word
+above its threshold makes a text toxic. The loose one finds words that clean sentences hold too, now and then: a text is
+toxic when it has more of them than its length explains, and also when one of its sentences has as many as no clean sentence, however long the text is.
 """
 
 from __future__ import annotations
@@ -31,18 +31,27 @@ KEEP = {c: c for c in range(97, 123)} | {c: c + 32 for c in range(65, 91)}
 LEET = {ord(a): ord(b) for a, b in zip("013457@$", "oieastas")}
 
 
+#: Letters a to z, and 32 classes for those of all other scripts: neighbours in an alphabet are of different classes.
+LETTERS_N = 58
+
+
 class _Letters(dict):
-    """Translation table: a letter without its accent, in lower case; a few look-alike digits and signs; nothing for the rest."""
+    """Translation table: a letter without its accent, in lower case; a few look-alike digits and signs; other scripts' letters by class; nothing for the rest."""
 
     def __missing__(self, c: int):
-        base = unicodedata.normalize("NFD", chr(c))[0].lower()
-        self[c] = v = ord(base) if "a" <= base <= "z" else None
+        base = unicodedata.normalize("NFKD", chr(c).casefold())
+        self[c] = v = "".join(x if "a" <= x <= "z" else chr(123 + ord(x) % 32) for x in base if "a" <= x <= "z" or x.isalpha() and ord(x) > 127)
         return v
 
 
 LETTERS = _Letters(KEEP | LEET)
 
 
+def sentences(text: str) -> list[str]:
+    """Between ends of sentences or lines."""
+    return [x for x in SPLIT.split(text) if x]
+
+
 def tokens(sentence: str) -> list[str]:
     """Words reduced to letters, and runs of single characters ("i d i o t") as one word each."""
     out = sentence.split()
@@ -64,37 +73,49 @@ _PLACES = {n: np.array(list(combinations(range(n), 3)), np.int64) for n in range
 
 def triples(ws: list[str], decay: float = DECAY) -> tuple[np.ndarray, np.ndarray]:
     """For words of one length: (codes, weights) of all their letter triples."""
-    a = np.frombuffer("".join(ws).encode("ascii"), np.uint8).reshape(len(ws), -1).astype(np.int32) - 97
+    a = np.frombuffer("".join(ws).encode("latin-1"), np.uint8).reshape(len(ws), -1).astype(np.int32) - 97
     at = _PLACES[a.shape[1]]
-    code = (a[:, at[:, 0]] * 26 + a[:, at[:, 1]]) * 26 + a[:, at[:, 2]]
+    code = (a[:, at[:, 0]] * LETTERS_N + a[:, at[:, 1]]) * LETTERS_N + a[:, at[:, 2]]
     return code, (decay ** (at[:, 2] - at[:, 0] + 1)).astype(np.float32)
 
 
-def features(ws: list[str], decay: float = DECAY) -> np.ndarray:
-    """Explicit normalized features of a few words, one row each, for training."""
-    out = np.zeros((len(ws), 26**3), np.float32)
+def columns(ws: list[str]) -> np.ndarray:
+    """The codes of all triples of some words."""
+    return np.unique(np.concatenate([triples([w])[0][0] for w in ws] or [np.zeros(0, np.int32)]))
+
+
+def features(ws: list[str], decay: float = DECAY, cols: np.ndarray | None = None) -> np.ndarray:
+    """Explicit normalized features of a few words, one row each, for training: the columns are those of `cols`, by default of the words' own triples. What lies outside counts in the norm."""
+    cols = columns(ws) if cols is None else cols
+    out = np.zeros((len(ws), len(cols)), np.float32)
     for i, w in enumerate(ws):
         code, weight = triples([w], decay)
-        np.add.at(out[i], code[0], weight)
-    return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)
+        own, at = np.unique(code[0], return_inverse=True)
+        sums = np.bincount(at, weight)
+        sums /= max(np.linalg.norm(sums), 1e-9)
+        where = np.minimum(np.searchsorted(cols, own), max(len(cols) - 1, 0))
+        there = cols[where] == own if len(cols) else np.zeros(len(own), bool)
+        out[i, where[there]] = sums[there]
+    return out
 
 
 def kernel(a: list[str], b: list[str], decay: float = DECAY) -> np.ndarray:
-    return features(a, decay) @ features(b, decay).T
+    cols = columns(b)
+    return features(a, decay, cols) @ features(b, decay, cols).T
 
 
 class Model:
-    """Two tables of triple weights (strict, loose), their biases, and the words by which the loose one's hits must exceed `rate` a word; caches words within a bound."""
+    """Two tables of triple weights (strict, loose), their biases, the words by which the loose one's hits in a text must exceed `rate` a word, and the hits that make a sentence toxic; caches words within a bound."""
 
-    def __init__(self, tables: np.ndarray, biases: np.ndarray, rate: float = 0.0, need: float = np.inf, decay: float = DECAY, bound: int = 400_000):
-        self.tables, self.biases, self.rate, self.need = tables.astype(np.float32), np.asarray(biases, float), rate, need
+    def __init__(self, tables: np.ndarray, biases: np.ndarray, rate: float = 0.0, need: float = np.inf, sentence: float = np.inf, decay: float = DECAY, bound: int = 120_000):
+        self.tables, self.biases, self.rate, self.need, self.sentence = tables.astype(np.float32), np.asarray(biases, float), rate, need, sentence
         self.decay, self.bound, self.known = decay, bound, {}
 
     def __getstate__(self):
-        return (self.tables, self.biases, self.rate, self.need, self.decay, self.bound)
+        return (self.tables, self.biases, self.rate, self.need, self.sentence, self.decay, self.bound)
 
     def __setstate__(self, s):
-        self.tables, self.biases, self.rate, self.need, self.decay, self.bound = s
+        self.tables, self.biases, self.rate, self.need, self.sentence, self.decay, self.bound = s
         self.known = {}
 
     def _score(self, ws: list[str]) -> np.ndarray:
@@ -135,20 +156,24 @@ class Model:
                 i += len(v)
         return known
 
-    def counts(self, toks: list[str]) -> tuple[float, int]:
-        """(best strict score, number of loose hits) of a text's words."""
+    def read(self, text: str) -> tuple[float, int, int, int]:
+        """(best strict score of any word, loose hits, words, loose hits of the sentence that has most)."""
+        toks = tokens(text)
         distinct = set(toks)
         known = self.learn(distinct)
+        best = max((known[w][0] for w in distinct), default=-np.inf)
         loose = {w for w in distinct if known[w][1] > 0}
-        return max((known[w][0] for w in distinct), default=-np.inf), sum(t in loose for t in toks) if loose else 0
+        if not loose:
+            return best, 0, len(toks), 0
+        hits = sum(t in loose for t in toks)
+        return best, hits, len(toks), hits if hits < 2 else max(sum(t in loose for t in tokens(x)) for x in sentences(text))
 
     def text_score(self, text: str | None) -> float:
         """Above 0 for toxic texts; minus infinity where there is no word."""
-        toks = tokens(text) if text else []
-        if not toks:
+        if not text:
             return -np.inf
-        strict, hits = self.counts(toks)
-        return max(strict, hits - self.rate * len(toks) - self.need) if strict > -np.inf else strict
+        strict, hits, n, most = self.read(text)
+        return max(strict, hits - self.rate * n - self.need, most - self.sentence) if strict > -np.inf else strict
 
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
@@ -188,11 +213,16 @@ def without_copies(bags: list[tuple[list[str], bool]], hashes: int = 16) -> list
     return [(ws, y) for ws, y in out]
 
 
-def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay: float = DECAY, rounds: int = 4) -> Model:
-    """A model of labelled texts. Their sentences are the examples: those of clean texts are clean, and of a toxic text at least one is toxic, by its witness words."""
-    nothing = Model(np.zeros((2, 26**3)), [-1.0, -1.0], decay=decay)
-    tokened = [(tokens(t or ""), bool(y)) for t, y in zip(texts, toxic)]
-    bags = without_copies([(sorted({w for x in toks for w in windows(x)}), y) for toks, y in tokened])
+def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay: float = DECAY, rounds: int = 4, negatives: int = NEGATIVES) -> Model:
+    """A model of labelled texts, whose sentences are the examples: those of clean texts are clean, and of a toxic text at least one is toxic, by its witness words.
+
+    Witnesses are words that toxic texts hold far oftener. `negatives` bounds the clean words that a machine is first trained with: so many of the most frequent, and as many of the
+    others, drawn evenly; then all words of clean sentences are scored, and those that a machine takes for toxic are added, round by round.
+    """
+    nothing = Model(np.zeros((2, LETTERS_N**3)), [-1.0, -1.0], decay=decay)
+    texts = [t or "" for t in texts]
+    truth = np.array([bool(y) for y in toxic])
+    bags = without_copies([(sorted({w for x in sentences(t) for y in tokens(x) for w in windows(y)}), bool(y)) for t, y in zip(texts, truth)])
     n_tox, n_clean = max(1, sum(y for _, y in bags)), max(1, sum(not y for _, y in bags))
     seen = {True: {}, False: {}}
     for ws, y in bags:
@@ -213,45 +243,49 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay:
     top = strong[: landmarks // 2]
     rng = np.random.default_rng(5)
     every = sorted((w for w in seen[False] if w not in set(strong)), key=lambda w: (-seen[False][w], w))
-    tail = every[NEGATIVES:]
-    clean = every[:NEGATIVES] + [tail[i] for i in sorted(rng.choice(len(tail), min(len(tail), NEGATIVES), replace=False))]
+    tail = every[negatives:]
+    clean = every[:negatives] + [tail[i] for i in sorted(rng.choice(len(tail), min(len(tail), negatives), replace=False))]
     marks = top + [clean[i] for i in rng.permutation(len(clean))[: landmarks - len(top)]]
-    fm = features(marks, decay)
+    cols = columns(marks)
+    fm = features(marks, decay, cols)
     val, vec = np.linalg.eigh(fm @ fm.T)
     good = val > 1e-3
     root = vec[:, good] / np.sqrt(val[good])  # the Nyström map is k(x, marks) @ root
 
     def mapped(ws: list[str]) -> np.ndarray:
-        return np.vstack([features(ws[i : i + 500], decay) @ fm.T for i in range(0, len(ws), 500)] or [np.zeros((0, len(marks)))]) @ root
+        return np.vstack([features(ws[i : i + 300], decay, cols) @ fm.T for i in range(0, len(ws), 300)] or [np.zeros((0, len(marks)))]) @ root
 
-    positive, negatives = mapped(strong), mapped(clean)
+    positive, negative = mapped(strong), mapped(clean)
     hits = np.array([min(seen[True][w], 50) for w in strong], float)
     for _ in range(rounds):
-        x, y = np.vstack([positive, negatives]), np.concatenate([np.ones(len(strong)), -np.ones(len(negatives))])
-        machines = []
-        for dear in (30.0, 1.0):
-            cost = np.concatenate([10.0 + 10.0 * hits / hits.mean(), np.full(len(negatives), dear)])
+        x, y = np.vstack([positive, negative]), np.concatenate([np.ones(len(strong)), -np.ones(len(negative))])
+        tables, biases = np.zeros((2, LETTERS_N**3), np.float32), []
+        for k, dear in enumerate((30.0, 1.0)):
+            cost = np.concatenate([10.0 + 10.0 * hits / hits.mean(), np.full(len(negative), dear)])
             w = svm(x, y, cost)
-            machines.append((fm.T @ (root @ w[:-1]), w[-1]))
-        model = Model(np.array([t for t, _ in machines]), [b for _, b in machines], decay=decay)
+            tables[k, cols] = fm.T @ (root @ w[:-1])
+            biases.append(w[-1])
+        model = Model(tables, biases, decay=decay)
         known = set(clean)
         hard = [w for w, s in zip(every, model._score(every)) if s.max() > 0 and w not in known] if every else []
         if not hard:
             break
-        clean, negatives = clean + hard, np.vstack([negatives, mapped(hard)])
-    truth = np.array([y for _, y in tokened])
-    found = [model.counts(toks) for toks, _ in tokened]
+        clean, negative = clean + hard, np.vstack([negative, mapped(hard)])
+    found = [model.read(t) for t in texts]
     # the strict threshold lies above all but one in a thousand of the clean texts' best words
     best = np.array([f[0] for f in found])
     limit = np.sort(best[~truth])[::-1][int(0.001 * (~truth).sum())] if (~truth).any() else -1.0
     top_score = float(np.median(best[truth & (best > limit)])) if (truth & (best > limit)).any() else limit + 1
     model.biases[0] -= max(limit, 0.0) + 0.3 * max(0.0, top_score - max(limit, 0.0))
     # the loose hits that a text must have, as a part of its words and beyond: the fewest errors on the sample
-    k, size = np.array([f[1] for f in found], float), np.array([len(toks) for toks, _ in tokened], float)
-    sure_already = best + (model.biases[0] - machines[0][1]) > 0
+    k, size = np.array([f[1] for f in found], float), np.array([f[2] for f in found], float)
+    sure_already = best + (model.biases[0] - biases[0]) > 0
     choices = [(((k - r * size - b > 0) | sure_already) != truth).sum() for r in RATES for b in NEEDS]
     at = int(np.argmin(choices))
     model.rate, model.need = RATES[at // len(NEEDS)], NEEDS[at % len(NEEDS)]
+    # and the hits that no sentence of a clean text has, or of no more of them than one in a thousand
+    most = np.sort(np.array([f[3] for f in found], float)[~truth])[::-1]
+    model.sentence = float(most[int(0.001 * len(most))] if len(most) else 0.0) + 0.5
     model.known.clear()
     return model
 
