@@ -8,6 +8,7 @@ whose states are pieces placed on the text, and a chunk of text is a matrix over
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from auditlake.llm.common import cut
+from auditlake.llm.common import cut, tidy
 
 MODEL, CHUNK = "/opt/tokenizers/piece_bpe_32k.model", 32_768
 BLANK = "▁"
@@ -27,7 +28,7 @@ NEVER = -np.inf
 class PieceCoder:
     """Encoder and decoder of one model file; caches are bounded."""
 
-    def __init__(self, model: str = MODEL, bound: int = 300_000):
+    def __init__(self, model: str = MODEL, bound: int = 100_000):
         import sentencepiece
 
         self.sp, self.bound, self.known = sentencepiece.SentencePieceProcessor(model_file=model), bound, {}
@@ -84,6 +85,8 @@ class PieceCoder:
         return parts
 
     def alone(self, p: str) -> bool:
+        if len(self.made) > 200_000:
+            self.made.clear()
         if p not in self.made:
             self.made[p] = len(p) == 1 or (p in self.id and self.merges(p) == [p])
         return self.made[p]
@@ -91,7 +94,7 @@ class PieceCoder:
     def fits(self, a: str, b: str) -> bool:
         if b[0] == BLANK and a[-1] != BLANK:
             return True
-        if len(self.pair) > 1_000_000:
+        if len(self.pair) > 200_000:
             self.pair.clear()
         k = (a, b)
         if k not in self.pair:
@@ -156,7 +159,7 @@ class PieceCoder:
         table, final = self.paths(s, entry, a)
         head = np.array([table[st][0] for st in final if st[1] == a]).reshape(-1, len(entry))
         start = head.max(axis=0, initial=NEVER)
-        middle = float(sum(self.weight(p) for p in ())) + self._weight(s[a:b])
+        middle = self._weight(s[a:b])
         tail, final = self.paths(s, [(b, b)], hi)
         out = [st for st in final if not last or st[1] == hi]
         end = np.array([tail[st][0][0] for st in out])
@@ -234,17 +237,32 @@ def encode_documents(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK) ->
                 n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), n, _ids_column(ids), pa.array(exact, pa.bool_())], ["doc_id", "n_ids", "ids", "exact"])
 
-    return d.where(~long_).mapInArrow(short, _RESULT).unionByName(_giants(d.where(long_), model, chunk))
+    return d.where(~long_).mapInArrow(tidy(short), _RESULT).unionByName(_giants(d.where(long_), model, chunk))
 
 
 def _giants(d: DataFrame, model: str, chunk: int) -> DataFrame:
     reach = 64  # more than any piece is long
-    escaped = F.concat(F.lit(BLANK), F.replace("text", F.lit(" "), F.lit(BLANK)))
-    rows = d.withColumn("rid", F.monotonically_increasing_id()).withColumn("s", escaped).drop("text")
-    parts = rows.select("rid", "doc_id", F.length("s").alias("n"), "s", F.explode(F.sequence(F.lit(0), ((F.length("s") - 1) / chunk).cast("int"))).alias("k"))
-    lo = F.col("k") * chunk
-    start = F.greatest(lo - reach, F.lit(0))
-    parts = cut(parts.select("rid", "doc_id", "k", F.substring("s", start + 1, lo + chunk + reach - start).alias("s"), (lo - start).alias("lo"), (F.least(lo + chunk, "n") - start).alias("hi"), (lo + chunk >= F.col("n")).alias("last"), start.alias("at")))
+
+    def chunks(batches):
+        """Each text's chunks with what is around them, cut out in one pass."""
+        for b in batches:
+            for rid, doc, none, text in zip(b["rid"], b["doc_id"], b["none"], b["text"]):
+                s = BLANK + text.replace(" ", BLANK)
+                n, rows = len(s), []
+                for k, lo in enumerate(range(0, n, chunk)):
+                    start, hi = max(lo - reach, 0), min(lo + chunk, n)
+                    rows.append((rid, None if none else doc, k, s[start : lo + chunk + reach], lo - start, hi - start, lo + chunk >= n, start))
+                    if len(rows) >= 64:
+                        yield frame(rows)
+                        rows = []
+                if rows:
+                    yield frame(rows)
+
+    def frame(rows: list) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=["rid", "doc_id", "k", "s", "lo", "hi", "last", "at"]).astype({"doc_id": "Int64"})
+
+    numbered = d.select(F.monotonically_increasing_id().alias("rid"), F.coalesce("doc_id", F.lit(0)).alias("doc_id"), F.col("doc_id").isNull().alias("none"), "text")
+    parts = cut(numbered.mapInPandas(tidy(chunks), "rid long, doc_id long, k int, s string, lo int, hi int, last boolean, at int"))
 
     def key(states, at):
         return [f"{x + at}:{y + at}" for x, y in states]
@@ -271,7 +289,7 @@ def _giants(d: DataFrame, model: str, chunk: int) -> DataFrame:
         ends = [j[q][int(np.argmax(before[q] + (after[q + 1] if q + 1 < len(ms) else 0)))] for q in range(len(ms))]
         return pd.DataFrame({"rid": pdf.rid, "k": pdf.k, "entry": [i[0][0], *ends[:-1]], "leave": ends})
 
-    found = parts.mapInPandas(matrices, "rid long, k int, i array<string>, j array<string>, m array<double>")
+    found = parts.mapInPandas(tidy(matrices), "rid long, k int, i array<string>, j array<string>, m array<double>")
     states = cut(found.groupBy("rid").applyInPandas(borders, "rid long, k int, entry string, leave string"))
 
     def traced(batches):
@@ -280,10 +298,10 @@ def _giants(d: DataFrame, model: str, chunk: int) -> DataFrame:
             out = []
             for r in b.itertuples():
                 entry, leave = (tuple(int(v) - r.at for v in x.split(":")) for x in (r.entry, r.leave))
-                out.append((r.rid, r.doc_id, r.k, coder.trace(r.s, r.lo, r.hi, entry, leave), r.s[r.lo : r.hi]))
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "k", "ids", "s"])
+                out.append((r.rid, None if pd.isna(r.doc_id) else r.doc_id, r.k, coder.trace(r.s, r.lo, r.hi, entry, leave), r.s[r.lo : r.hi]))
+            yield pd.DataFrame(out, columns=["rid", "doc_id", "k", "ids", "s"]).astype({"doc_id": "Int64"})
 
-    done = parts.join(states, ["rid", "k"]).mapInPandas(traced, "rid long, doc_id long, k int, ids array<int>, s string")
+    done = parts.join(states, ["rid", "k"]).mapInPandas(tidy(traced), "rid long, doc_id long, k int, ids array<int>, s string")
     whole = done.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "s"))).alias("parts"))
     joined = whole.select("doc_id", F.flatten(F.transform("parts", lambda p: p["ids"])).alias("ids"), F.array_join(F.transform("parts", lambda p: p["s"]), "").alias("s"))
     return joined.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", (decode_column(model)("ids") == F.replace(F.expr("substring(s, 2)"), F.lit(BLANK), F.lit(" "))).alias("exact"))
@@ -292,9 +310,13 @@ def _giants(d: DataFrame, model: str, chunk: int) -> DataFrame:
 def decode_column(model: str = MODEL):
     """A column function from ids to text; null for null, and empty for no ids."""
 
-    @F.pandas_udf("string")
-    def decode(ids: pd.Series) -> pd.Series:
+    def each(batches):
         coder = PieceCoder(model)
-        return pd.Series([None if x is None else coder.decode(np.asarray(x).tolist()) for x in ids], dtype=object)
+        for ids in batches:
+            yield pd.Series([None if x is None else coder.decode(np.asarray(x).tolist()) for x in ids], dtype=object)
+
+    @F.pandas_udf("string")
+    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(each)(batches)
 
     return decode

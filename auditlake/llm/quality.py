@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from auditlake.llm.common import WordHashes, per_doc
+from auditlake.llm.common import WordHashes, per_doc, tidy
 
 LEAST, MOST_COVERED, MOST_LONG = 5, 0.3, 50
 SCHEMA = "doc_id long, n_words long, covered_fraction double, longest_repeat long, n_repeats long, kept boolean"
@@ -23,12 +25,12 @@ def suffix_array(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if n == 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     rank = np.unique(ids, return_inverse=True)[1].astype(np.int64)
-    levels, k = [rank], 1
+    levels, k = [rank.astype(np.int32)], 1
     while rank.max() < n - 1:
         key = rank * (n + 1)
         key[: n - k] += rank[k:] + 1
         rank = np.unique(key, return_inverse=True)[1].astype(np.int64)
-        levels.append(rank)
+        levels.append(rank.astype(np.int32))
         k *= 2
     sa = np.argsort(rank)
     i, j = sa[:-1].copy(), sa[1:].copy()
@@ -121,13 +123,17 @@ def keep_by_rules(docs: DataFrame, **rules) -> DataFrame:
     """The documents that quality_rules keeps, decided row by row without a join; all columns stay as they are."""
     least, covered, longest = (rules.get(k, d) for k, d in (("least", LEAST), ("most_covered", MOST_COVERED), ("most_long", MOST_LONG)))
 
-    @F.pandas_udf("boolean")
-    def kept(texts: pd.Series) -> pd.Series:
+    def each(batches):
         hashes = WordHashes()
-        out = []
-        for text in texts:
-            c, n, _ = repetition(hashes((text or "").split()), least)
-            out.append(c <= covered and n <= longest)
-        return pd.Series(out, dtype=bool)
+        for texts in batches:
+            out = []
+            for text in texts:
+                c, n, _ = repetition(hashes((text or "").split()), least)
+                out.append(c <= covered and n <= longest)
+            yield pd.Series(out, dtype=bool)
+
+    @F.pandas_udf("boolean")
+    def kept(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from tidy(each)(batches)
 
     return docs.where(kept("text"))

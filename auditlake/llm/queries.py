@@ -11,7 +11,7 @@ from auditlake.llm.html import extract
 from auditlake.llm.langid import languages
 from auditlake.llm.lm import lm_scores
 from auditlake.llm.paragraphs import repeated_paragraphs
-from auditlake.llm.pieces import encode_documents
+from auditlake.llm.pieces import MODEL, encode_documents
 from auditlake.llm.quality import quality_rules
 from auditlake.llm.shards import token_index
 from auditlake.llm.simhash import near_duplicate_groups
@@ -22,18 +22,19 @@ def _t(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries(model: str = MODEL) -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    """The queries; model is the path of the SentencePiece model that two of them use."""
     return {
         "op1_simhash_near_dedup": lambda s, d: near_duplicate_groups(_t(s, d, "documents")),
         "op2_toxicity": lambda s, d: toxic_documents(_t(s, d, "documents"), _t(s, d, "labels")),
         "op3_benchmark_decontamination": lambda s, d: contaminated(_t(s, d, "documents"), _t(s, d, "benchmark")),
         "op4_substring_dedup": lambda s, d: repeated_paragraphs(_t(s, d, "documents")),
         "op5_lm_scoring": lambda s, d: lm_scores(_t(s, d, "documents")),
-        "op6_sentencepiece": lambda s, d: encode_documents(_t(s, d, "documents")),
+        "op6_sentencepiece": lambda s, d: encode_documents(_t(s, d, "documents"), model),
         "op7_quality_rules": lambda s, d: quality_rules(_t(s, d, "documents")),
         "op8_language_id": lambda s, d: languages(_t(s, d, "documents")),
         "op9_html_extraction": lambda s, d: extract(_t(s, d, "pages")),
-        "op10_token_index": lambda s, d: token_index(_t(s, d, "documents")),
+        "op10_token_index": lambda s, d: token_index(_t(s, d, "documents"), model),
     }
 
 
