@@ -1,4 +1,4 @@
-"""Search hits: merging of providers, scores of index entry and page, rank; page checks; metrics."""
+"""States of fetched pages, and metrics of a rule that says whose they are."""
 
 from __future__ import annotations
 
@@ -6,54 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from auditlake.functions import text as T
-from auditlake.functions import urls as U
-from auditlake.operators.ordering import cap
-
-
-def merged(hits: DataFrame) -> DataFrame:
-    """A row for each subject and page: the longest title and snippet of any provider, the providers, and the bonus for their consensus."""
-    longest = lambda c: F.max_by(c, F.struct(F.length(c), F.col(c))).alias(c)
-    g = hits.withColumn("key", U.canonical_key(F.col("url"))).groupBy("subject_id", "key").agg(longest("title"), longest("snippet"), F.array_join(F.array_sort(F.collect_set("provider")), "+").alias("sources"), F.count_distinct("provider").alias("providers"))
-    return g.withColumn("bonus", F.least((F.col("providers") - 1) * 0.04, F.lit(0.12)))
-
-
-def _has(body: str, c: str) -> Column:
-    return F.contains(F.lower(body), F.lower(c))
-
-
-def index_score(found: DataFrame, subjects: DataFrame) -> DataFrame:
-    """Adds index: additive evidence in title, snippet and URL, between 0 and 0.95; hits without any lose 0.2."""
-    d = found.join(subjects.where("authorized"), "subject_id").withColumn("body", F.concat_ws(" ", "title", "snippet"))
-    rules = [(_has("body", "full_name"), 0.30), (_has("body", "handle"), 0.20), (F.contains("key", F.col("handle")), 0.18), (_has("body", "email"), 0.25), (F.contains(T.digits(F.col("body")), T.digits(F.col("phone"))), 0.20)]
-    score = sum((F.when(rule, w).otherwise(0.0) for rule, w in rules), F.lit(0.08)) + F.col("bonus")
-    none = ~rules[0][0]
-    for rule, _ in rules[1:]:
-        none = none & ~rule
-    return d.withColumn("index", F.greatest(F.lit(0.0), F.least(F.lit(0.95), score - F.when(none, 0.20).otherwise(0.0))))
-
-
-def direct_score(scored: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds direct and ceiling by what the page itself says; null where there is no page."""
-    own = pages.select(F.col("doc_id").alias("subject_id"), U.canonical_key(F.col("url")).alias("key"), F.col("text").alias("page"))
-    d = scored.join(own, ["subject_id", "key"], "left")
-    path, name, mail = F.contains("key", F.col("handle")), _has("page", "full_name"), _has("page", "email")
-    phone = F.contains(T.digits(F.col("page")), T.digits(F.col("phone")))
-    parts = [(path, 0.50), (T.contains_token(F.col("page"), F.col("handle")), 0.14), (mail, 0.72), (phone, 0.70), (name, 0.34), (_has("page", "organization"), 0.12), (_has("page", "location"), 0.08)]
-    strong = path.cast("int") + mail.cast("int") + phone.cast("int") + name.cast("int")
-    ceiling = F.when(mail | phone, 0.97).when(path & (strong >= 2), 0.95).when(path, 0.82).when(name, 0.60).otherwise(0.48)
-    there = F.col("page").isNotNull()
-    return d.withColumn("direct", F.when(there, F.least(F.lit(1.0), sum((F.when(r, w).otherwise(0.0) for r, w in parts), F.lit(0.0))))).withColumn("ceiling", F.when(there, ceiling))
-
-
-def blended(scored: DataFrame) -> DataFrame:
-    """Adds score and verified: index and page together up to the ceiling; index alone up to 0.58."""
-    both = F.least(F.col("ceiling"), 0.42 * F.col("index") + 0.68 * F.col("direct") + F.col("bonus"))
-    return scored.withColumn("verified", F.col("direct").isNotNull()).withColumn("score", F.coalesce(both, F.least(F.col("index"), F.lit(0.58))))
-
-
-def ranked(found: DataFrame, most: int = 34) -> DataFrame:
-    """A subject's best hits: verified ones first, then by score, providers, title and key."""
-    return cap(found, ["subject_id"], [F.desc("verified"), F.desc("score"), F.desc("providers"), "title", "key"], most)
 
 
 def page_state(html: Column) -> Column:
@@ -63,16 +15,20 @@ def page_state(html: Column) -> Column:
     return F.when(html.isNull(), F.lit(None)).when(low.rlike("|".join(T.CHALLENGES)), "blocked").when(low.rlike("|".join(T.MISSING)), "not_found").when(F.length(visible) < 60, "thin").otherwise("ok")
 
 
-def belongs(d: DataFrame) -> Column:
-    """Whether a page is the subject's, of rows with the columns of subjects, url and text: by handle, name, address or number."""
-    words = F.split(F.lower("full_name"), " ")
-    first, last = T.contains_token(F.col("text"), words[0]), T.contains_token(F.col("text"), F.element_at(words, -1))
-    return F.lower(F.regexp_extract("url", "([^/]+)/?$", 1)).eqNullSafe(F.lower("handle")) | _has("text", "full_name") | (first & last) | _has("text", "email") | F.contains(T.digits(F.col("text")), T.digits(F.col("phone")))
-
-
 def confusion(d: DataFrame, said: str, truth: str, by: list[str] | None = None) -> DataFrame:
     """Precision, recall, specificity and F1 of a rule; 1 where nothing is divided by nothing."""
     n = {"tp": f"{said} and {truth}", "fp": f"{said} and not {truth}", "fn": f"not {said} and {truth}", "tn": f"not {said} and not {truth}"}
     g = d.groupBy(*(by or [])).agg(*[F.count_if(F.expr(x)).alias(k) for k, x in n.items()])
     ratio = lambda a, b: F.expr(f"round(if({b} = 0, 1.0, {a} / ({b})), 6)")
     return g.withColumns({"precision": ratio("tp", "tp + fp"), "recall": ratio("tp", "tp + fn"), "specificity": ratio("tn", "tn + fp"), "f1": ratio("2 * tp", "2 * tp + fp + fn")})
+
+
+def outcomes(d: DataFrame, expected: str, actual: str, by: list[str] | None = None) -> DataFrame:
+    """(tp, fp, fn, tn, unverifiable, total, accuracy) of rows whose expected is belongs, other or unverifiable, and actual verified, plausible, not_found or unverifiable.
+
+    What can't be verified counts in no cell but total and its own, unless it is said to be verified, which is false; accuracy is the part of all rows that are rightly said to be unverifiable.
+    """
+    e, a = F.col(expected), F.col(actual)
+    n = {"tp": (e == "belongs") & (a == "verified"), "fp": (e != "belongs") & (a == "verified"), "fn": (e == "belongs") & (a != "verified"), "tn": (e == "other") & (a != "verified"), "unverifiable": (e == "unverifiable") & (a == "unverifiable")}
+    g = d.groupBy(*(by or [])).agg(*[F.count_if(x).alias(k) for k, x in n.items()], F.count("*").alias("total"))
+    return g.withColumn("accuracy", F.round(F.when(F.col("total") == 0, 1.0).otherwise(F.col("unverifiable") / F.col("total")), 6))

@@ -53,17 +53,6 @@ def attributed_emails(docs: DataFrame, subjects: DataFrame) -> DataFrame:
     return rated(found.select("doc_id", "value", "subject_id", F.lit("Email").alias("type"), F.when(F.col("subject_id").isNull(), 2).otherwise(0).alias("tier"))).select("doc_id", "value", "subject_id", F.round(F.col("confidence").cast("double"), 6).alias("confidence"), "risk")
 
 
-def named(docs: DataFrame, subjects: DataFrame) -> DataFrame:
-    """(doc_id, subject_id, signals): texts with a consenting subject's whole name. Names meet texts by their last word, and only then is the text searched."""
-    toks = docs.select("doc_id", "text", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}0-9]+"))).alias("tok"))
-    s = subjects.where("authorized").select("subject_id", "full_name", "email", "phone", "organization", "location", "handle", F.element_at(F.split(F.lower("full_name"), r"[^\p{L}0-9]+"), -1).alias("tok"))
-    hit = toks.join(s, "tok").where(T.contains_token(F.col("text"), F.col("full_name")))
-    low = F.lower("text")
-    has = lambda c: F.contains(low, F.lower(c)).cast("int")
-    signals = 2 * has("email") + 2 * F.contains(T.digits(F.col("text")), T.digits(F.col("phone"))).cast("int") + has("organization") + has("location") + 1
-    return hit.select("doc_id", "subject_id", signals.cast("long").alias("signals"), F.when(signals >= 3, "High").otherwise("Medium").alias("risk"))
-
-
 def findings(pages: DataFrame, subjects: DataFrame) -> DataFrame:
     """(case_id, ord, type, value, url, confidence float, risk) of the consenting subjects' own pages."""
     ours = pages.join(subjects.where("authorized").select(F.col("subject_id").alias("doc_id")), "doc_id", "left_semi")

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from auditlake.functions import text as T
 from auditlake.functions import urls as U
 from auditlake.functions import vectors as V
-from auditlake.operators import calibration, cases, discovery, exposure, graph, identity, pii
+from auditlake.operators import discovery, pii
 from auditlake.operators.ordering import keep_first
-from auditlake.plans import oracle
+from auditlake.plans import audit, graphs, oracle, packages, rules  # noqa: F401
 from auditlake.sources import tables as S
 from auditlake.streaming import breaker
 
@@ -29,14 +29,6 @@ def _findings(s: SparkSession, d: str) -> DataFrame:
     return pii.findings(S.subject_pages(s, d), S.subjects(s, d))
 
 
-def _cases(s: SparkSession, d: str) -> DataFrame:
-    return S.subjects(s, d).where("authorized").select(F.col("subject_id").alias("case_id"))
-
-
-def _evidence(s: SparkSession, d: str) -> DataFrame:
-    return graph.evidence(_findings(s, d), S.subjects(s, d), S.subject_pages(s, d))
-
-
 def _r(c: str):
     return F.round(F.col(c).cast("double"), 6).alias(c)
 
@@ -70,11 +62,6 @@ def pii_location_org(s, d):
     return pii.places(S.subject_pages(s, d)).select("doc_id", "type", "value", F.col("ord").cast("long").alias("ord"))
 
 
-@query
-def named_exposure(s, d):
-    return pii.named(S.subject_pages(s, d), S.subjects(s, d))
-
-
 @query
 def findings(s, d):
     return _findings(s, d).select("case_id", "ord", "type", "value", "url", _r("confidence"), "risk")
@@ -105,15 +92,6 @@ def url_redirect_unwrap(s, d):
     return p.select("page_id", U.unwrap_redirect(href).alias("target"))
 
 
-@query
-def profile_resolve(s, d):
-    p = F.broadcast(S.platforms(s))
-    links = S.subjects(s, d).where("authorized").crossJoin(p.select("pattern")).select("subject_id", F.replace("pattern", F.lit("{u}"), F.col("handle")).alias("url"))
-    joined = links.join(p.select("platform", "host", "prefix", "ord"), U.host(F.col("url")) == F.col("host"))
-    found = joined.withColumn("handle", U.profile_handle(F.col("url"), F.col("prefix"))).where("handle is not null")
-    return keep_first(found.select("subject_id", "url", "platform", "handle", "ord"), ["subject_id", "url"], ["ord"]).select("subject_id", "url", "platform", "handle")
-
-
 @query
 def html_title_links(s, d):
     return S.table(s, d, "pages").select("page_id", F.trim(F.regexp_extract("html", "<title>([^<]*)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a [^>]*href="), F.lit(0))).cast("long").alias("links"))
@@ -124,53 +102,9 @@ def page_states(s, d):
     return S.table(s, d, "pages").select("page_id", discovery.page_state(F.col("html")).alias("state"))
 
 
-@query
-def url_extract_mentions(s, d):
-    t = S.subject_pages(s, d).select("doc_id", F.explode(F.regexp_extract_all(F.concat("text", F.lit(" see "), "url", F.lit(", thanks")), F.lit(T.URL), F.lit(0))).alias("raw"))
-    return t.select("doc_id", F.regexp_replace("raw", r"[.,;:!)\]}]+$", "").alias("url"))
-
-
-@query
-def mention_handles(s, d):
-    return S.subject_pages(s, d).select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"(?i)\b(?:github|reddit|twitter|instagram)\s*(?:as|:|->|is|id)?\s*@([a-z0-9_.-]{2,40})"), F.lit(1))).alias("handle"))
-
-
 # discovery
 
 
-def _scored(s, d):
-    subjects = S.subjects(s, d)
-    m = discovery.index_score(discovery.merged(S.search_hits(s, d)), subjects)
-    return discovery.blended(discovery.direct_score(m, S.subject_pages(s, d).where("doc_id % 4 != 0")))
-
-
-@query
-def provider_consensus(s, d):
-    return discovery.merged(S.search_hits(s, d)).select("subject_id", "key", F.length("snippet").cast("long").alias("longest"), "sources", "providers", _r("bonus"))
-
-
-@query
-def index_score(s, d):
-    return discovery.index_score(discovery.merged(S.search_hits(s, d)), S.subjects(s, d)).select("subject_id", "key", _r("index"))
-
-
-@query
-def direct_score(s, d):
-    return _scored(s, d).select("subject_id", "key", _r("direct"), _r("ceiling"))
-
-
-@query
-def blended_rank(s, d):
-    return discovery.ranked(_scored(s, d)).select("subject_id", "key", "verified", _r("score"), "providers")
-
-
-@query
-def belongs_to_subject(s, d):
-    by = S.subject_pages(s, d).select("url", "text", F.col("doc_id").alias("page_of"), F.explode(F.array(F.col("doc_id"), F.col("doc_id") + 2)).alias("subject_id"))
-    j = by.join(S.subjects(s, d).where("authorized"), "subject_id")
-    return j.select("subject_id", "page_of", discovery.belongs(j).alias("belongs"))
-
-
 @query
 def discovery_metrics(s, d):
     one = S.table(s, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
@@ -181,102 +115,6 @@ def discovery_metrics(s, d):
 # identity
 
 
-@query
-def username_variants(s, d):
-    return identity.variants(S.subjects(s, d).where("authorized")).select("subject_id", F.col("ord").cast("long").alias("ord"), "username", "match")
-
-
-@query
-def candidate_fanout(s, d):
-    c = identity.candidates(identity.variants(S.subjects(s, d).where("authorized")), S.platforms(s))
-    return c.groupBy("subject_id", "platform").agg(F.count("*").alias("candidates"), F.round(F.max("confidence"), 6).alias("best"))
-
-
-@query
-def candidate_cap(s, d):
-    c = identity.candidates(identity.variants(S.subjects(s, d).where("authorized")), S.platforms(s))
-    return identity.capped(c).select("subject_id", "platform", "url", _r("confidence"), "ord")
-
-
-@query
-def pivot_budget(s, d):
-    c = identity.candidates(identity.variants(S.subjects(s, d).where("authorized")), S.platforms(s))
-    pivots = c.select("subject_id", (F.col("ord") % 2).alias("hop"), "url", "ord")
-    return identity.budgeted(pivots, c.where("ord % 7 = 0").select("subject_id", "url")).select("subject_id", "hop", "url", "ord")
-
-
-# graph
-
-
-@query
-def evidence_union(s, d):
-    return _evidence(s, d).select("case_id", F.col("phase").cast("long").alias("phase"), "ord", "type", "value", "url", _r("confidence"))
-
-
-@query
-def graph_vertices(s, d):
-    return graph.vertices(_evidence(s, d)).select("case_id", "id", "type", "label", _r("confidence"), F.array_join("urls", ",").alias("urls"))
-
-
-@query
-def graph_edges(s, d):
-    return graph.edges(_evidence(s, d)).select("case_id", "src", "dst", "relation", "ord")
-
-
-@query
-def edge_confidence(s, d):
-    e = _evidence(s, d)
-    return graph.edge_confidence(graph.edges(e), graph.vertices(e)).select("case_id", "src", "dst", "relation", _r("score"), "reasons")
-
-
-@query
-def vertex_degree(s, d):
-    e = graph.edges(_evidence(s, d))
-    return e.select("case_id", F.explode(F.array("src", "dst")).alias("id")).groupBy("case_id", "id").agg(F.count("*").alias("degree"))
-
-
-@query
-def attack_paths(s, d):
-    v = graph.vertices(_evidence(s, d))
-    leak = v.where("type = 'Email' and case_id % 3 = 0").select("case_id", F.col("id").alias("src"), F.concat(F.lit("breach:"), F.col("case_id") % 5).alias("dst"))
-    more = leak.select("case_id", F.col("dst").alias("src"), F.concat("dst", F.lit(":dump")).alias("dst"))
-    e = graph.edges(_evidence(s, d)).where("relation != 'mentions'").select("case_id", "src", "dst").unionByName(leak).unionByName(more)
-    return graph.paths(e, v.where("type = 'Person'"), leak.select("case_id", F.col("dst").alias("id")).unionByName(more.select("case_id", F.col("dst").alias("id"))))
-
-
-# exposure
-
-
-@query
-def risk_overall(s, d):
-    return exposure.overall(_findings(s, d).where("case_id % 4 != 0 or type != 'Phone'"), _cases(s, d))
-
-
-@query
-def exposure_dimensions(s, d):
-    return exposure.dimensions(_findings(s, d), _cases(s, d))
-
-
-@query
-def top_findings(s, d):
-    return exposure.top(_findings(s, d)).select("case_id", "key", "ord", "type", "value")
-
-
-@query
-def remediation_tips(s, d):
-    return exposure.tips(_findings(s, d))
-
-
-@query
-def remediation_items(s, d):
-    return exposure.items(_findings(s, d))
-
-
-@query
-def finding_cap(s, d):
-    return exposure.retained(_findings(s, d), 3)
-
-
 # breaches and cases
 
 
@@ -287,64 +125,9 @@ def breach_prefix_join(s, d):
     return mine.join(S.breach_ranges(s, d), ["prefix", "suffix"], "left").select("subject_id", "prefix", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
 
 
-@query
-def breach_catalog_join(s, d):
-    known = F.broadcast(s.createDataFrame([("alpha", "Emails"), ("beta", "Passwords"), ("gamma", "Names")], "k string, classes string"))
-    hits = S.subjects(s, d).where("authorized and subject_id % 3 = 0").select("subject_id", F.element_at(F.array(*map(F.lit, ["Alpha", "BETA", "Other"])), (F.col("subject_id") % 3 + F.col("subject_id") % 2 + 1).cast("int")).alias("breach"))
-    return hits.join(known, F.lower("breach") == F.col("k"), "left").select("subject_id", "breach", F.coalesce("classes", F.lit("unknown")).alias("classes"))
-
-
-def _snapshots(s, d):
-    f = _findings(s, d)
-    return f.where("not (case_id % 7 = 0 and type = 'Email')"), f.where("not (case_id % 5 = 0 and type = 'Phone')").withColumn("risk", F.when((F.col("type") == "Location") & (F.col("case_id") % 3 == 0), "High").otherwise(F.col("risk")))
-
-
-@query
-def case_diff(s, d):
-    return cases.diff(*_snapshots(s, d))
-
-
-@query
-def case_set_deltas(s, d):
-    return cases.deltas(*_snapshots(s, d), "value")
-
-
-@query
-def evidence_manifest(s, d):
-    return cases.manifest(_findings(s, d))
-
-
 # vectors, hashes, calibration
 
 
-def _pairs(s, d):
-    e = S.table(s, d, "embeddings")
-    a = e.select("vec_id", "embedding", "label", F.explode(F.sequence(F.lit(1), F.lit(16))).alias("k")).withColumn("other", F.col("vec_id") + F.col("k"))
-    b = e.select(F.col("vec_id").alias("other"), F.col("embedding").alias("e2"), F.col("label").alias("l2"))
-    return a.join(b, "other").select("vec_id", "other", F.col("label").cast("long").alias("label"), (F.col("label") == F.col("l2")).alias("same"), F.round(V.cosine(F.col("embedding"), F.col("e2")), 6).alias("score"))
-
-
-@query
-def embedding_cosine_pairs(s, d):
-    return _pairs(s, d)
-
-
-@query
-def embedding_threshold(s, d):
-    return calibration.threshold(_pairs(s, d), 0.05).select("negatives", "allowed", "threshold")
-
-
-@query
-def embedding_rates_by_group(s, d):
-    p = _pairs(s, d)
-    return calibration.rates(p, calibration.threshold(p, 0.05), "label")
-
-
-@query
-def similarity_bands(s, d):
-    return _pairs(s, d).groupBy(V.decision(F.col("score"), F.lit(0.1), F.lit(0.2)).alias("band")).agg(F.count("*").alias("pairs"))
-
-
 def _hashes(s, d):
     h = lambda k: F.expr(f"((vec_id * {k}) % 1000003) * 4294967 + (vec_id * {k + 2}) % 65537")
     return S.table(s, d, "embeddings").select("vec_id", h(7919).alias("p"), h(104729).alias("q"))
@@ -361,14 +144,6 @@ def duplicate_class(s, d):
     return _hashes(s, d).select("vec_id", V.duplicate_class(F.round(sim + 0.35, 6), F.col("vec_id") % 50 == 0).alias("class"))
 
 
-@query
-def histogram_intersection(s, d):
-    norm = lambda c: F.transform(c, lambda x: F.abs(x.cast("double")) / F.aggregate(c, F.lit(0.0), lambda t, y: t + F.abs(y.cast("double"))))
-    e = S.table(s, d, "embeddings").select("vec_id", norm(F.col("embedding")).alias("h"))
-    j = e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("h").alias("h2")), "vec_id")
-    return j.select("vec_id", F.round(V.histogram_intersection(F.col("h"), F.col("h2")), 6).alias("overlap"))
-
-
 # frames, events
 
 
@@ -401,19 +176,9 @@ def frame_timestamps(s, d):
     return c.select("conv_id", F.explode(F.array_distinct(F.expr("transform(sequence(1, cast(least(turns, 5) as int)), i -> cast(floor(turns * 1000 * i / (least(turns, 5) + 1)) as bigint))"))).alias("at_ms"))
 
 
-@query
-def circuit_breaker_states(s, d):
-    return breaker.streaks(S.table(s, d, "events"), F.col("event_type") == "error").select("event_id", "user_id", "streak", "state")
-
-
-@query
-def retry_delays(s, d):
-    return S.table(s, d, "events").select("event_id", breaker.retry_delay(F.col("event_id") % 7).alias("delay"))
-
-
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return QUERIES | audit.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: v for k, v in oracle.SQL.items() if k in QUERIES}
+    return {k: v for k, v in oracle.SQL.items() if k in QUERIES} | audit.SQL

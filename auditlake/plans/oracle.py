@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from auditlake.functions import text as T
 from auditlake.functions.urls import TRACKING
-from auditlake.operators.exposure import BRIDGE, DIMENSIONS, FIX
-from auditlake.operators.graph import RELATION
 from auditlake.sources.tables import FIRST_NAMES, PLATFORMS
 
 
@@ -46,42 +44,6 @@ def key(u: str) -> str:
 
 
 HOST = lambda u: rf"regexp_replace(lower(regexp_extract({u}, '^[a-zA-Z]+://([^/?#:]+)', 1)), '^www\.', '')"
-HITS = f"""{SUBJ}, {PAGE},
-  hits AS (SELECT doc_id AS subject_id, url || tail AS url, 'provider' || p AS provider, substr(text, 1, 40) AS title, CASE WHEN tail = '' THEN text ELSE substr(text, 1, 60) END AS snippet
-    FROM (SELECT *, doc_id % 6 AS p, '' AS tail FROM page UNION ALL SELECT *, doc_id % 5, '/?utm_source=Mail&ref=x#top' FROM page)),
-  merged AS (SELECT subject_id, key, arg_max(title, (len(title), title)) AS title, arg_max(snippet, (len(snippet), snippet)) AS snippet, string_agg(DISTINCT provider, '+' ORDER BY provider) AS sources, count(DISTINCT provider) AS providers, least((count(DISTINCT provider) - 1) * 0.04::DOUBLE, 0.12::DOUBLE) AS bonus
-    FROM (SELECT *, {key('url')} AS key FROM hits) GROUP BY ALL),
-  body AS (SELECT merged.*, subj.* EXCLUDE (subject_id), title || ' ' || snippet AS body FROM merged JOIN subj USING (subject_id) WHERE authorized),
-  flags AS (SELECT *, contains(lower(body), full_name) AS r1, contains(lower(body), handle) AS r2, contains(key, handle) AS r3, contains(lower(body), email) AS r4, contains(regexp_replace(body, '[^0-9]', '', 'g'), regexp_replace(phone, '[^0-9]', '', 'g')) AS r5 FROM body),
-  idx AS (SELECT *, greatest(0, least(0.95::DOUBLE, 0.08::DOUBLE + 0.30::DOUBLE * r1::INT + 0.20::DOUBLE * r2::INT + 0.18::DOUBLE * r3::INT + 0.25::DOUBLE * r4::INT + 0.20::DOUBLE * r5::INT + bonus - 0.2::DOUBLE * (NOT (r1 OR r2 OR r3 OR r4 OR r5))::INT)) AS "index" FROM flags),
-  dir AS (SELECT idx.*, p.text AS page, r3 AS path, contains(lower(p.text), full_name) AS d_name, contains(lower(p.text), email) AS d_mail, contains(regexp_replace(p.text, '[^0-9]', '', 'g'), regexp_replace(phone, '[^0-9]', '', 'g')) AS d_phone
-    FROM idx LEFT JOIN (SELECT doc_id, text, {key('url')} AS key FROM page WHERE doc_id % 4 != 0) p ON p.doc_id = idx.subject_id AND p.key = idx.key),
-  dir2 AS (SELECT *, CASE WHEN page IS NOT NULL THEN least(1.0::DOUBLE, 0.5::DOUBLE * path::INT + 0.14::DOUBLE * (subject_id % 3 = 0 OR contains(page, 'write to ' || handle || '@'))::INT + 0.72::DOUBLE * d_mail::INT + 0.7::DOUBLE * d_phone::INT + 0.34::DOUBLE * d_name::INT + 0.12::DOUBLE + 0.08::DOUBLE) END AS direct,
-    CASE WHEN page IS NULL THEN NULL WHEN d_mail OR d_phone THEN 0.97::DOUBLE WHEN path THEN 0.82::DOUBLE ELSE 0.6::DOUBLE END AS ceiling FROM dir),
-  blend AS (SELECT *, direct IS NOT NULL AS verified, coalesce(least(ceiling, 0.42::DOUBLE * "index" + 0.68::DOUBLE * direct + bonus), least("index", 0.58::DOUBLE)) AS score FROM dir2)"""
-FORMS = [("handle", "Exact"), ("f || l", "Exact"), ("f || '.' || l", "Dot"), ("f || '_' || l", "Underscore"), ("f || '-' || l", "Hyphen"), ("l || '.' || f", "Dot"), ("l || '_' || f", "Underscore"), ("l || f", "Fuzzy"), ("f", "Fuzzy"), ("l", "Fuzzy"), ("left(f, 1) || l", "Fuzzy"), ("left(f, 1) || '.' || l", "Dot"), ("l || left(f, 1)", "Fuzzy"), ("f || left(l, 1)", "Fuzzy"), ("f || m || l", "Fuzzy"), ("f || '.' || m || '.' || l", "Dot")]
-VAR = f"""{SUBJ}, {PLAT},
-  w AS (SELECT subject_id, handle, split_part(full_name, ' ', 1) AS f, split_part(full_name, ' ', -1) AS l, CASE WHEN len(string_split(full_name, ' ')) > 2 THEN split_part(full_name, ' ', 2) END AS m FROM subj WHERE authorized),
-  var AS (SELECT * FROM ({' UNION ALL '.join(f"SELECT subject_id, {i} AS ord, {x} AS username, {q(k)} AS match FROM w" for i, (x, k) in enumerate(FORMS))}) WHERE len(username) >= 2 QUALIFY row_number() OVER (PARTITION BY subject_id, lower(username) ORDER BY ord) = 1),
-  cand AS (SELECT subject_id, platform, replace(pattern, '{{u}}', username) AS url, CASE WHEN var.ord = 0 THEN 1.0 ELSE CASE match WHEN 'Exact' THEN 0.9 WHEN 'Dot' THEN 0.85 WHEN 'Underscore' THEN 0.85 WHEN 'Hyphen' THEN 0.8 ELSE 0.65 END END::DOUBLE AS confidence, var.ord * 100 + plat.ord AS ord FROM var, plat WHERE by_default)"""
-GRAPH = f"""{FIND},
-  ev0 AS (SELECT subject_id AS case_id, 0 AS phase, i AS ord, ['Person', 'Username', 'Email', 'Phone', 'Organization', 'Location'][i + 1] AS type, [full_name, handle, email, phone, organization, location][i + 1] AS value, CAST(NULL AS VARCHAR) AS url, CAST(CASE WHEN i < 4 THEN 1.0 ELSE 0.9 END AS FLOAT) AS confidence FROM subj, range(6) r(i) WHERE authorized
-    UNION ALL SELECT doc_id, 1, 0, 'Website', url, url, CAST(0.95 AS FLOAT) FROM page JOIN subj ON doc_id = subject_id WHERE authorized
-    UNION ALL SELECT case_id, 2, ord, type, value, url, confidence FROM find),
-  ev AS (SELECT *, lower(type) || ':' || lower(trim(value)) AS id, phase * 10000000 + ord AS o FROM ev0 QUALIFY row_number() OVER (PARTITION BY case_id, type, lower(trim(value)), coalesce(url, '') ORDER BY phase, ord) = 1),
-  vert AS (SELECT case_id, id, type, arg_min(value, (-len(value), phase, ord)) AS label, max(confidence) AS confidence, coalesce(string_agg(DISTINCT url, ',' ORDER BY url), '') AS urls FROM ev GROUP BY ALL),
-  person AS (SELECT case_id, id AS src FROM ev WHERE type = 'Person'),
-  edge AS (SELECT case_id, src, dst, relation, o AS ord FROM (
-      SELECT case_id, src, id AS dst, CASE type {' '.join(f"WHEN {q(k)} THEN {q(v)}" for k, v in RELATION.items())} END AS relation, o FROM ev JOIN person USING (case_id) WHERE type != 'Person'
-      UNION ALL SELECT case_id, 'website:' || lower(url), id, 'mentions', o FROM ev WHERE phase = 2 AND url IS NOT NULL) WHERE src != dst QUALIFY row_number() OVER (PARTITION BY case_id, src, dst, relation ORDER BY o) = 1)"""
-SNAP = f"""{FIND},
-  a AS (SELECT * FROM weighed WHERE NOT (case_id % 7 = 0 AND type = 'Email')),
-  b AS (SELECT case_id, ord, type, value, url, confidence, CASE WHEN type = 'Location' AND case_id % 3 = 0 THEN 80 ELSE w END AS w FROM weighed WHERE NOT (case_id % 5 = 0 AND type = 'Phone'))"""
-PAIRS = """pairs AS (SELECT a.vec_id, b.vec_id AS other, CAST(a.label AS BIGINT) AS label, a.label = b.label AS same,
-    round(greatest(-1, least(1, list_sum(list_transform(range(1, len(a.embedding) + 1), lambda i: a.embedding[i]::DOUBLE * b.embedding[i]::DOUBLE)) / (sqrt(list_sum(list_transform(a.embedding, lambda x: x::DOUBLE * x::DOUBLE))) * sqrt(list_sum(list_transform(b.embedding, lambda x: x::DOUBLE * x::DOUBLE)))))), 6) AS score
-  FROM embeddings a JOIN embeddings b ON b.vec_id > a.vec_id AND b.vec_id <= a.vec_id + 16),
-  lim AS (SELECT * FROM (SELECT score, (SELECT count(*) FROM pairs WHERE NOT same) AS negatives, count(*) OVER (ORDER BY score DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - count(*) OVER (PARTITION BY score) AS above FROM pairs WHERE NOT same) WHERE above <= floor(0.05 * negatives)),
-  thr AS (SELECT negatives, min(score) AS threshold FROM lim GROUP BY negatives)"""
 H = lambda k: f"(((vec_id * {k}) % 1000003) * 4294967 + (vec_id * {k + 2}) % 65537)"
 CLASS = " ".join(f"WHEN s >= {x} THEN {q(k)}" for x, k in ((0.94, "near_exact"), (0.87, "strong"), (0.8, "possible")))
 
@@ -92,69 +54,22 @@ SQL = {
   SELECT doc_id, value, subject_id, CASE WHEN subject_id IS NULL THEN 0.42 ELSE 0.99 END::DOUBLE AS confidence, CASE WHEN subject_id IS NULL THEN 'Low' ELSE 'High' END AS risk FROM e LEFT JOIN (SELECT * FROM subj WHERE authorized) s ON lower(e.value) = lower(s.email)""",
     "pii_phone_candidates": f"WITH {SUBJ}, {PAGE} SELECT doc_id, strpos(text, phone) AS start, phone AS raw, regexp_replace(phone, '[^0-9]', '', 'g') AS digits, true AS context FROM page JOIN subj ON doc_id = subject_id",
     "pii_location_org": f"WITH {SUBJ}, {PAGE}, {PLACES} SELECT doc_id, type, value, ord FROM places",
-    "named_exposure": f"WITH {SUBJ}, {PAGE} SELECT doc_id, subject_id, 7 AS signals, 'High' AS risk FROM page JOIN subj ON contains(text, full_name || ' lives') AND starts_with(text, full_name) WHERE authorized",
     "findings": f"WITH {FIND} SELECT case_id, ord, type, value, url, round(confidence::DOUBLE, 6) AS confidence, risk FROM find",
     "url_https": "SELECT page_id, 'https:' || regexp_replace(url, '^https?:', '') AS url FROM pages",
     "url_canonical": rf"""WITH p AS (SELECT page_id, url, url || CASE WHEN contains(url, '?') THEN '&' ELSE '?' END || 'utm_source=A&q=1#x' AS u FROM pages) SELECT page_id, {key('u')} AS key, {HOST('url')} || regexp_replace(regexp_extract(url, '^[a-zA-Z]+://[^/?#]+([^?#]*)', 1), '/+$', '') AS place FROM p""",
     "url_registrable_domain": f"WITH h AS (SELECT string_split({HOST('url')}, '.') AS l FROM pages) SELECT array_to_string(l[greatest(len(l) - 1, 1):], '.') AS domain, count(*) AS pages FROM h GROUP BY 1",
     "url_redirect_unwrap": "SELECT page_id, split_part(split_part(url, '?', 1), '#', 1) AS target FROM pages",
-    "profile_resolve": f"WITH {SUBJ}, {PLAT} SELECT subject_id, replace(pattern, '{{u}}', handle) AS url, platform, handle FROM subj, plat WHERE authorized",
     "html_title_links": "SELECT page_id, trim(regexp_extract(html, '<title>([^<]*)</title>', 1)) AS title, len(regexp_extract_all(html, '<a [^>]*href=')) AS links FROM pages",
     "page_states": rf"""SELECT page_id, CASE WHEN html IS NULL THEN NULL WHEN regexp_matches(lower(html), {q('|'.join(T.CHALLENGES))}) THEN 'blocked' WHEN regexp_matches(lower(html), {q('|'.join(T.MISSING))}) THEN 'not_found'
   WHEN len(trim(regexp_replace(regexp_replace(html, '<(script|style|noscript)\b.*?</(script|style|noscript)>', ' ', 'gis'), '<[^>]*>|\s+', ' ', 'g'))) < 60 THEN 'thin' ELSE 'ok' END AS state FROM pages""",
-    "url_extract_mentions": f"WITH {SUBJ} SELECT subject_id AS doc_id, 'https://people.example/' || handle AS url FROM subj",
-    "mention_handles": f"WITH {SUBJ} SELECT subject_id AS doc_id, handle FROM subj WHERE subject_id % 3 = 0",
-    "provider_consensus": f"WITH {HITS} SELECT subject_id, key, len(snippet) AS longest, sources, providers, round(bonus, 6) AS bonus FROM merged",
-    "index_score": f"""WITH {HITS} SELECT subject_id, key, round("index", 6) AS "index" FROM idx""",
-    "direct_score": f"WITH {HITS} SELECT subject_id, key, round(direct, 6) AS direct, round(ceiling, 6) AS ceiling FROM dir2",
-    "blended_rank": f"WITH {HITS} SELECT subject_id, key, verified, round(score, 6) AS score, providers FROM blend QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY verified DESC, score DESC, providers DESC, title, key) <= 34",
-    "belongs_to_subject": f"WITH {SUBJ} SELECT s.subject_id, p.subject_id AS page_of, s.subject_id = p.subject_id AS belongs FROM subj p JOIN subj s ON s.subject_id IN (p.subject_id, p.subject_id + 2) WHERE s.authorized",
     "discovery_metrics": """WITH t AS (SELECT lang, length(text) >= 400 AS said, quality = 1 AS truth FROM documents JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
   n AS (SELECT lang, count_if(said AND truth) AS tp, count_if(said AND NOT truth) AS fp, count_if(NOT said AND truth) AS fn, count_if(NOT said AND NOT truth) AS tn FROM t GROUP BY 1)
   SELECT *, round(CASE WHEN tp + fp = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fp)::DOUBLE END, 6) AS precision, round(CASE WHEN tp + fn = 0 THEN 1.0::DOUBLE ELSE tp / (tp + fn)::DOUBLE END, 6) AS recall, round(CASE WHEN tn + fp = 0 THEN 1.0::DOUBLE ELSE tn / (tn + fp)::DOUBLE END, 6) AS specificity, round(CASE WHEN 2 * tp + fp + fn = 0 THEN 1.0::DOUBLE ELSE 2 * tp / (2 * tp + fp + fn)::DOUBLE END, 6) AS f1 FROM n""",
-    "username_variants": f"WITH {VAR} SELECT subject_id, ord, username, match FROM var",
-    "candidate_fanout": f"WITH {VAR} SELECT subject_id, platform, count(*) AS candidates, round(max(confidence), 6) AS best FROM cand GROUP BY ALL",
-    "candidate_cap": f"WITH {VAR} SELECT subject_id, platform, url, round(confidence, 6) AS confidence, ord FROM cand QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY confidence DESC, ord) <= 80",
-    "pivot_budget": f"""WITH {VAR}, fresh AS (SELECT subject_id, ord % 2 AS hop, url, ord FROM cand QUALIFY row_number() OVER (PARTITION BY subject_id, lower(url) ORDER BY ord % 2, ord) = 1)
-  SELECT subject_id, hop, url, ord FROM fresh f WHERE NOT EXISTS (SELECT 1 FROM cand c WHERE c.subject_id = f.subject_id AND c.ord % 7 = 0 AND lower(c.url) = lower(f.url)) QUALIFY row_number() OVER (PARTITION BY subject_id ORDER BY hop, ord) <= 30""",
-    "evidence_union": f"WITH {GRAPH} SELECT case_id, phase, ord, type, value, url, round(confidence::DOUBLE, 6) AS confidence FROM ev",
-    "graph_vertices": f"WITH {GRAPH} SELECT case_id, id, type, label, round(confidence::DOUBLE, 6) AS confidence, urls FROM vert",
-    "graph_edges": f"WITH {GRAPH} SELECT case_id, src, dst, relation, ord FROM edge",
-    "edge_confidence": f"""WITH {GRAPH}, j AS (SELECT e.*, lower(a.label) AS la, lower(b.label) AS lb, CASE a.type WHEN 'Person' THEN 'Username' ELSE a.type END AS ka, CASE b.type WHEN 'Person' THEN 'Username' ELSE b.type END AS kb FROM edge e JOIN vert a ON a.case_id = e.case_id AND a.id = src JOIN vert b ON b.case_id = e.case_id AND b.id = dst)
-  SELECT case_id, src, dst, relation, 0.65::DOUBLE AS score, 'page named like the address' AS reasons FROM j WHERE ka = 'Website' AND kb = 'Email' AND split_part(la, '/', -1) = split_part(lb, '@', 1)
-  UNION ALL SELECT case_id, src, dst, relation, 0.65::DOUBLE, 'value holds the username' FROM j WHERE (ka = 'Username') != (kb = 'Username') AND CASE WHEN ka = 'Username' THEN contains(lb, la) ELSE contains(la, lb) END
-  UNION ALL SELECT case_id, src, dst, relation, 0.6::DOUBLE, 'one username holds the other' FROM j WHERE ka = 'Username' AND kb = 'Username' AND la != lb AND (contains(la, lb) OR contains(lb, la))""",
-    "vertex_degree": f"WITH {GRAPH} SELECT case_id, id, count(*) AS degree FROM (SELECT case_id, src AS id FROM edge UNION ALL SELECT case_id, dst FROM edge) GROUP BY ALL",
-    "attack_paths": f"""WITH RECURSIVE {GRAPH}, leak AS (SELECT case_id, id AS src, 'breach:' || case_id % 5 AS dst FROM vert WHERE type = 'Email' AND case_id % 3 = 0),
-  more AS (SELECT case_id, dst AS src, dst || ':dump' AS dst FROM leak), e AS (SELECT case_id, src, dst FROM edge WHERE relation != 'mentions' UNION ALL FROM leak UNION ALL FROM more),
-  adj AS (SELECT DISTINCT * FROM (SELECT case_id, src, dst FROM e UNION ALL SELECT case_id, dst, src FROM e)),
-  walk AS (SELECT case_id, id, [id] AS path FROM vert WHERE type = 'Person' UNION ALL SELECT w.case_id, a.dst, list_append(w.path, a.dst) FROM walk w JOIN adj a ON a.case_id = w.case_id AND a.src = w.id AND NOT list_contains(w.path, a.dst) WHERE len(w.path) < 5)
-  SELECT case_id, id, array_to_string(arg_min(path, (len(path), path)), ' > ') AS path, min(len(path)) - 1 AS length FROM walk WHERE starts_with(id, 'breach:') GROUP BY ALL""",
-    "risk_overall": f"WITH {FIND} SELECT subject_id AS case_id, coalesce(max(w), 25) AS weight, CASE coalesce(max(w), 25) WHEN 25 THEN 'Low' WHEN 50 THEN 'Medium' WHEN 80 THEN 'High' ELSE 'Critical' END AS risk FROM subj LEFT JOIN (SELECT * FROM weighed WHERE case_id % 4 != 0 OR type != 'Phone') f ON case_id = subject_id WHERE authorized GROUP BY subject_id",
-    "exposure_dimensions": f"""WITH {FIND}, bridge AS (SELECT * FROM (VALUES {values(BRIDGE)}) v(type, dimension)), d AS (SELECT unnest([{', '.join(map(q, DIMENSIONS))}]) AS dimension)
-  SELECT c.subject_id AS case_id, d.dimension, coalesce(max(w), 0) AS score, count(DISTINCT f.type) AS types FROM (SELECT * FROM subj WHERE authorized) c CROSS JOIN d LEFT JOIN (SELECT * FROM weighed JOIN bridge USING (type)) f ON f.case_id = c.subject_id AND f.dimension = d.dimension GROUP BY ALL""",
-    "top_findings": f"WITH {FIND} SELECT case_id, w * 100 + trunc(confidence * 100::FLOAT)::INT AS key, ord, type, value FROM weighed QUALIFY row_number() OVER (PARTITION BY case_id ORDER BY w * 100 + trunc(confidence * 100::FLOAT)::INT DESC, ord) <= 10",
-    "remediation_tips": f"WITH {FIND}, r AS (SELECT case_id, CASE WHEN type IN ('Email', 'Phone') THEN 'contact' WHEN type IN ('Location', 'Address') THEN 'place' WHEN type = 'Organization' THEN 'work' END AS tip FROM find UNION ALL SELECT case_id, 'critical' FROM find WHERE risk = 'Critical') SELECT DISTINCT case_id, tip FROM r WHERE tip IS NOT NULL",
-    "remediation_items": f"WITH {FIND} SELECT case_id, row_number() OVER (PARTITION BY case_id ORDER BY w DESC, ord) AS rank, type, value, fix FROM weighed LEFT JOIN (VALUES {values(FIX)}) v(type, fix) USING (type)",
-    "finding_cap": f"WITH {FIND} SELECT case_id, least(count(*), 3) AS kept, greatest(count(*) - 3, 0) AS dropped FROM (SELECT DISTINCT case_id, type, value, url FROM find) GROUP BY 1",
     "breach_prefix_join": f"WITH {SUBJ}, h AS (SELECT *, upper(sha1(lower(trim(email)))) AS h FROM subj) SELECT m.subject_id, left(m.h, 5) AS prefix, coalesce(r.subject_id % 100 + 1, 0) AS count FROM h m LEFT JOIN (SELECT * FROM h WHERE subject_id % 3 = 0) r ON left(m.h, 5) = left(r.h, 5) AND substr(m.h, 6) = substr(r.h, 6) WHERE m.authorized",
-    "breach_catalog_join": f"WITH {SUBJ} SELECT subject_id, 'Alpha' AS breach, 'Emails' AS classes FROM subj WHERE authorized AND subject_id % 3 = 0",
-    "case_diff": f"""WITH {SNAP} SELECT coalesce(a.case_id, b.case_id) AS case_id, coalesce(a.type, b.type) AS type, coalesce(a.value, b.value) AS value, CASE WHEN a.w IS NULL THEN 'added' WHEN b.w IS NULL THEN 'removed' ELSE 'changed' END AS change, coalesce(b.w, 0) - coalesce(a.w, 0) AS delta
-  FROM a FULL JOIN b ON a.case_id = b.case_id AND a.type = b.type AND a.value = b.value AND a.url = b.url WHERE a.w IS DISTINCT FROM b.w""",
-    "case_set_deltas": f"WITH {SNAP} SELECT (SELECT count(*) FROM (SELECT value FROM b EXCEPT SELECT value FROM a)) AS added, (SELECT count(*) FROM (SELECT value FROM a EXCEPT SELECT value FROM b)) AS removed",
-    "embedding_cosine_pairs": f"WITH {PAIRS} SELECT * FROM pairs",
-    "embedding_threshold": f"WITH {PAIRS} SELECT negatives, CAST(floor(0.05 * negatives) AS BIGINT) AS allowed, threshold FROM thr",
-    "embedding_rates_by_group": f"""WITH {PAIRS} SELECT label AS "group", count_if(same) AS positives, count_if(NOT same) AS negatives, round(avg(CASE WHEN same THEN (score > threshold)::INT::DOUBLE END), 6) AS true_accept, round(avg(CASE WHEN NOT same THEN (score > threshold)::INT::DOUBLE END), 6) AS false_accept FROM pairs, thr GROUP BY label""",
-    "similarity_bands": f"WITH {PAIRS} SELECT CASE WHEN score >= 0.2 THEN 'high' WHEN score >= 0.1 THEN 'review' ELSE 'none' END AS band, count(*) AS pairs FROM pairs GROUP BY 1",
     "hash_similarity": f"SELECT vec_id, round(1 - bit_count(xor({H(7919)}, {H(104729)})) / 64.0::DOUBLE, 6) AS similarity FROM embeddings",
     "duplicate_class": f"SELECT vec_id, CASE WHEN vec_id % 50 = 0 THEN 'exact' {CLASS} ELSE 'different' END AS class FROM (SELECT vec_id, round(1 - bit_count(xor({H(7919)}, {H(104729)})) / 64.0::DOUBLE + 0.35::DOUBLE, 6) AS s FROM embeddings)",
-    "histogram_intersection": """WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: abs(x::DOUBLE) / list_sum(list_transform(embedding, lambda y: abs(y::DOUBLE)))) AS h FROM embeddings)
-  SELECT a.vec_id, round(list_sum(list_transform(range(1, len(a.h) + 1), lambda i: least(a.h[i], b.h[i]))), 6) AS overlap FROM h a JOIN h b ON b.vec_id = a.vec_id + 1""",
     "label_mode": "SELECT user_id, arg_max(event_type, (n, -first)) AS mode, max(n) AS n FROM (SELECT user_id, event_type, count(*) AS n, min(event_id) AS first FROM events GROUP BY ALL) GROUP BY 1",
     "frame_label_merge": "SELECT user_id, lower(event_type) AS label, round(max(value), 6) AS confidence FROM events GROUP BY user_id, lower(event_type) QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY max(value) DESC, lower(event_type)) <= 8",
     "frame_text_merge": r"""WITH t AS (SELECT conv_id, turn, trim(regexp_replace(text, '\s+', ' ', 'g')) AS clean FROM conversations), o AS (SELECT * FROM t WHERE clean != '' QUALIFY row_number() OVER (PARTITION BY conv_id, lower(clean) ORDER BY turn, clean) = 1) SELECT conv_id, left(string_agg(clean, ' ' ORDER BY turn, clean), 1500) AS text FROM o GROUP BY 1""",
     "frame_timestamps": "WITH c AS (SELECT conv_id, count(*) AS turns FROM conversations GROUP BY 1) SELECT DISTINCT conv_id, CAST(floor(turns * 1000 * i / (least(turns, 5) + 1)) AS BIGINT) AS at_ms FROM c, range(1, 6) r(i) WHERE i <= least(turns, 5)",
-    "circuit_breaker_states": """WITH i AS (SELECT *, sum((event_type != 'error')::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events), s AS (SELECT event_id, user_id, sum((event_type = 'error')::INT) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM i)
-  SELECT event_id, user_id, CAST(streak AS BIGINT) AS streak, CASE WHEN streak >= 3 THEN 'open' ELSE 'closed' END AS state FROM s""",
-    "retry_delays": "SELECT event_id, least(6000, CAST(250 * pow(2, event_id % 7) AS BIGINT) + ((event_id % 7 + 1) * 137) % 311) AS delay FROM events",
 }

@@ -54,3 +54,15 @@ def save_case(df: DataFrame, folder: str, table: str) -> None:
 
 def save_findings(findings: DataFrame, path: str) -> None:
     findings.write.mode("overwrite").json(path)
+
+
+def delete_case(spark: SparkSession, folder: str, table: str, case_id: int | None = None) -> bool:
+    """Takes a case's rows of a snapshot table away, or, without a case, all of it; whether anything was there."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder}/{table}" + ("" if case_id is None else f"/case_id={case_id}"))
+    return path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def save_json(df: DataFrame, path: str) -> None:
+    """One JSON object a line: resume states, packages."""
+    df.write.mode("overwrite").json(path)
