@@ -184,7 +184,7 @@ def test_threshold_against_brute_force(spark):
     d = spark.createDataFrame([(s, False) for s in scores] + [(0.9, True)], "score double, same boolean")
     for rate in (0.0, 0.01, 0.1, 0.5, 1.0):
         allowed = int(rate * len(scores))
-        want = min(s for s in scores if sum(x > s for x in scores) <= allowed)
+        want = -1.0 if allowed == len(scores) else min(s for s in scores if sum(x > s for x in scores) <= allowed)
         r = calibration.threshold(d, rate).first()
         assert (r.allowed, r.threshold) == (allowed, want)
     assert calibration.threshold(d.where("same"), 0.1).count() == 0
