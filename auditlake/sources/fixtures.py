@@ -81,7 +81,8 @@ def fixture(spark: SparkSession, folder: str, name: str) -> DataFrame:
     key = (spark.sparkContext.applicationId, folder, name)
     if key not in _MADE:
         tables = {n: fixture(spark, folder, n) for n in NEEDS[name]} if name in NEEDS else {t: table(spark, folder, t) for t in BASE}
-        _MADE[key] = cut(spark.sql(FIXTURES[name], **tables))
+        # a union has the partitions of all its parts: brought back to one for each core
+        _MADE[key] = cut(spark.sql(FIXTURES[name], **tables).coalesce(spark.sparkContext.defaultParallelism))
     return _MADE[key]
 
 
