@@ -28,7 +28,7 @@ NEVER = -np.inf
 class PieceCoder:
     """Encoder and decoder of one model file; caches are bounded."""
 
-    def __init__(self, model: str = MODEL, bound: int = 100_000):
+    def __init__(self, model: str = MODEL, bound: int = 60_000):
         import sentencepiece
 
         self.sp, self.bound, self.known = sentencepiece.SentencePieceProcessor(model_file=model), bound, {}
@@ -85,7 +85,7 @@ class PieceCoder:
         return parts
 
     def alone(self, p: str) -> bool:
-        if len(self.made) > 200_000:
+        if len(self.made) > 100_000:
             self.made.clear()
         if p not in self.made:
             self.made[p] = len(p) == 1 or (p in self.id and self.merges(p) == [p])
@@ -94,7 +94,7 @@ class PieceCoder:
     def fits(self, a: str, b: str) -> bool:
         if b[0] == BLANK and a[-1] != BLANK:
             return True
-        if len(self.pair) > 200_000:
+        if len(self.pair) > 50_000:
             self.pair.clear()
         k = (a, b)
         if k not in self.pair:
@@ -295,11 +295,10 @@ def _giants(d: DataFrame, model: str, chunk: int) -> DataFrame:
     def traced(batches):
         coder = PieceCoder(model)
         for b in batches:
-            out = []
             for r in b.itertuples():
                 entry, leave = (tuple(int(v) - r.at for v in x.split(":")) for x in (r.entry, r.leave))
-                out.append((r.rid, None if pd.isna(r.doc_id) else r.doc_id, r.k, coder.trace(r.s, r.lo, r.hi, entry, leave), r.s[r.lo : r.hi]))
-            yield pd.DataFrame(out, columns=["rid", "doc_id", "k", "ids", "s"]).astype({"doc_id": "Int64"})
+                # a row at a time: a chunk's ids and text are large
+                yield pd.DataFrame([(r.rid, None if pd.isna(r.doc_id) else r.doc_id, r.k, coder.trace(r.s, r.lo, r.hi, entry, leave), r.s[r.lo : r.hi])], columns=["rid", "doc_id", "k", "ids", "s"]).astype({"doc_id": "Int64"})
 
     done = parts.join(states, ["rid", "k"]).mapInPandas(tidy(traced), "rid long, doc_id long, k int, ids array<int>, s string")
     whole = done.groupBy("rid").agg(F.first("doc_id").alias("doc_id"), F.array_sort(F.collect_list(F.struct("k", "ids", "s"))).alias("parts"))
