@@ -213,16 +213,19 @@ def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, bur
 
     table = "part int, word long, t long"
     probabilities = word_probabilities(packed.groupBy("part").applyInPandas(first, table), d, theta)
-    for r in range(1, rounds):
 
-        def again(pdf: pd.DataFrame, base: pd.DataFrame, r: int = r) -> pd.DataFrame:
+    def resampled(r: int):
+        def again(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
             part = Part(pdf)
             p = based(part, base)
             for k in range(burn_in):
                 part.sweep(p, d, theta, seed * 1000 + r * turns + k)
             return tables(part, pdf.part.iloc[0])
 
-        probabilities = word_probabilities(packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(again, table), d, theta)
+        return again
+
+    for r in range(1, rounds):
+        probabilities = word_probabilities(packed.groupBy("part").cogroup(probabilities.groupBy("part")).applyInPandas(resampled(r), table), d, theta)
 
     def last(pdf: pd.DataFrame, base: pd.DataFrame) -> pd.DataFrame:
         part = Part(pdf)
