@@ -1,4 +1,4 @@
-"""Operator 1: near-duplicate groups by SimHash with pigeonhole blocks."""
+"""Operator 1: near-duplicate groups by SimHash; no pair within the limit is left out, by pigeonhole blocks of small radius."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import hashlib
 import math
 from collections import Counter
 from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import components, cut, held, per_doc, words
 
 BITS, LIMIT, RECALL, HUB_ROUNDS = 256, 36, 0.93, 2
+PARTS, GROUPS, GROUP, AT_ONCE = 13, 8, 1 << 18, 1 << 17
 
 
 class _Prints:
@@ -71,10 +73,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def block_plan(n: int, limit: int = LIMIT, recall: float = RECALL) -> tuple[int, int]:
-    """(bits of a block, permutations of the bits) for n prints.
+    """(bits of a block, permutations of the bits) for n prints, of blocks that are looked up as they are: linked_prints takes its hubs from such.
 
     A block has about log2(n) - 4 bits, 16 at least, so chance partners stay a few dozen at any n. Wider blocks are shared by fewer
-    close pairs, so there are more permutations: as many as give pairs exactly `limit` bits apart the same recall at every size.
+    close pairs; with so many permutations, pairs exactly `limit` bits apart would have the same recall at every size. Pairs don't depend on it: see similar_prints.
     """
     width = min(40, max(16, math.ceil(math.log2(max(2, n))) - 4))
     shared = math.comb(BITS - limit, width) / math.comb(BITS, width)
@@ -113,19 +115,84 @@ def _apart(a: str, b: str) -> str:
     return "+".join(f"bit_count({a}.f{i} ^ {b}.f{i})" for i in range(4))
 
 
-def similar_prints(prints: DataFrame, limit: int = LIMIT, recall: float = RECALL) -> DataFrame:
-    """Pairs (a, b), a < b, of the roots of distinct prints (id, fp, f0..f3, root or else their own id) within `limit` bits that share a block; those of one root make none.
+def ball_plan(limit: int = LIMIT) -> list[tuple[int, int, int]]:
+    """(first bit, end, radius) of blocks such that two prints within `limit` bits differ in at most `radius` bits of one block at least, for certain: radii plus one add up to limit + 1."""
+    edges = [BITS * k // PARTS for k in range(PARTS + 1)]
+    more, rest = divmod(limit + 1, PARTS)
+    return [(lo, hi, r) for k, (lo, hi) in enumerate(zip(edges, edges[1:])) if (r := more - (k >= rest)) >= 0]
 
-    Each permutation of the bits cuts a print into blocks of `width` bits. Two prints that differ in fewer
-    bits than one permutation has blocks share a block for certain. Of pairs exactly at the limit, at least `recall`
-    share one of the blocks at any number of prints, and nearly all closer pairs do.
+
+def _key(f: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Bits lo to hi, fewer than 64, of prints of four 64-bit numbers."""
+    i, j = lo // 64, (hi - 1) // 64
+    end = np.uint64(hi - 64 * j)
+    key = f[:, j] >> (np.uint64(64) - end)
+    if i != j:
+        key |= f[:, i] << end
+    return (key & np.uint64((1 << (hi - lo)) - 1)).astype(np.int64)
+
+
+def close_pairs(a: np.ndarray, b: np.ndarray, limit: int):
+    """Arrays (places in a, places in b) of the prints, rows of four uint64, within `limit` bits: all such pairs, some more than once.
+
+    Prints are sorted by a block's bits; for each way to change up to `radius` of these, the changed ones of a meet the equal ones of b.
+    """
+    for lo, hi, radius in ball_plan(limit):
+        ka, kb = _key(a, lo, hi), _key(b, lo, hi)
+        oa, ob = np.argsort(ka, kind="stable"), np.argsort(kb, kind="stable")
+        ka, sa, sb = ka[oa], a[oa], b[ob]
+        a0, a1, b0, b1 = (np.ascontiguousarray(x[:, i]) for x in (sa, sb) for i in (0, 1))
+        size = np.bincount(kb, minlength=1 << (hi - lo)).astype(np.int32)
+        start = (np.cumsum(size) - size).astype(np.int32)
+        for flips in (f for r in range(radius + 1) for f in combinations(range(hi - lo), r)):
+            key = ka ^ sum(1 << f for f in flips)
+            there = np.flatnonzero(size[key])
+            n = size[key[there]].astype(np.int64)
+            ends, at = np.cumsum(n), start[key[there]]
+            begin = 0
+            while begin < len(there):  # bounds memory where many prints share a block
+                done = ends[begin - 1] if begin else 0
+                end = max(begin + 1, int(np.searchsorted(ends, done + AT_ONCE, "right")))
+                own = n[begin:end]
+                x = np.repeat(there[begin:end], own)
+                y = np.repeat(at[begin:end] - (ends[begin:end] - own - done), own)
+                y += np.arange(len(x))
+                begin = end
+                near = np.flatnonzero(np.bitwise_count(a0.take(x) ^ b0.take(y)) + np.bitwise_count(a1.take(x) ^ b1.take(y)) <= limit)  # of half the bits
+                x, y = x[near], y[near]
+                near = np.bitwise_count(sa[x] ^ sb[y]).sum(axis=1, dtype=np.int64) <= limit
+                if near.any():
+                    yield oa[x[near]], ob[y[near]]
+
+
+def similar_prints(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """Pairs (a, b), a < b, of the roots of distinct prints (id, f0..f3, root or else their own id) within `limit` bits, every one of them; those of one root make none.
+
+    Prints are dealt into groups, and each two groups meet in one task, so a print is sent once for each group. That every print meets every other costs
+    time by the square of their number, of which close_pairs looks at few: one in 30 on prose, whose prints are alike.
     """
     if "root" not in prints.columns:
         prints = prints.withColumn("root", F.col("id"))
-    width, permutations = block_plan(prints.count(), limit, recall)
-    blocks = _block_rows(prints, width, permutations)
-    left, right = blocks.alias("l"), blocks.alias("r")
-    return left.join(right, F.expr(f"l.block = r.block and l.root < r.root and {_apart('l', 'r')} <= {limit}")).select(F.col("l.root").alias("a"), F.col("r.root").alias("b")).distinct()
+    n = prints.count()
+    groups = max(1, min(GROUPS, n // 1000), -(-n // GROUP))
+    mine, other = F.pmod(F.xxhash64("id"), F.lit(groups)), F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
+    words = [f"f{i}" for i in range(4)]
+    dealt = prints.select("root", *words, mine.cast("int").alias("mine"), other.alias("other")).withColumn("cell", F.least("mine", "other") * F.lit(groups).cast("long") + F.greatest("mine", "other"))
+
+    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
+        low, high = divmod(int(pdf.cell.iloc[0]), groups)
+        sides = [pdf[pdf.mine == g] for g in (low, high)]
+        (a, b), (ra, rb) = [x[words].to_numpy(np.int64).view(np.uint64) for x in sides], [x.root.to_numpy() for x in sides]
+        found, held_ = np.zeros((0, 2), np.int64), []
+        for x, y in close_pairs(a, b, limit):
+            p = np.stack([np.minimum(ra[x], rb[y]), np.maximum(ra[x], rb[y])], 1)
+            held_.append(p[p[:, 0] < p[:, 1]])
+            if sum(map(len, held_)) > AT_ONCE:
+                found, held_ = np.unique(np.concatenate([found, *held_]), axis=0), []
+        return pd.DataFrame(np.unique(np.concatenate([found, *held_]), axis=0), columns=["a", "b"])
+
+    cells = dealt.repartition(groups * (groups + 1), "cell")
+    return cells.groupBy("cell").applyInPandas(meet, "a long, b long").distinct()
 
 
 def linked_prints(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
@@ -135,7 +202,7 @@ def linked_prints(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
     the least root, and takes its root if they are close; then again by other blocks. Only prints of different roots are paired last. What
     has one root is linked through it, so the components are those of all pairs.
     """
-    width, permutations = block_plan(prints.count(), limit)
+    width, _ = block_plan(prints.count(), limit)
     each = max(1, BITS // width // HUB_ROUNDS)
     rooted, edges = prints.withColumn("root", F.col("id")), []
     for k in range(HUB_ROUNDS):
@@ -145,7 +212,7 @@ def linked_prints(prints: DataFrame, limit: int = LIMIT) -> DataFrame:
         edges.append(cut(links.select(F.col("h.root").alias("a"), F.col("l.root").alias("b")).distinct()))
         up = edges[-1].groupBy(F.col("b").alias("root")).agg(F.min("a").alias("up"))
         rooted = cut(rooted.join(up, "root", "left").select("id", "fp", "f0", "f1", "f2", "f3", F.coalesce("up", "root").alias("root")))
-    edges.append(similar_prints(rooted, limit))
+    edges.append(cut(similar_prints(rooted, limit)))
     return components(reduce(DataFrame.unionByName, edges)).select(F.col("node").alias("id"), "root")
 
 

@@ -1,6 +1,6 @@
 import numpy as np
 
-from auditlake.llm.simhash import LIMIT, RECALL, _Prints, block_plan, drop_near_duplicates, fingerprints, near_duplicate_groups, similar_prints
+from auditlake.llm.simhash import LIMIT, RECALL, _Prints, ball_plan, block_plan, drop_near_duplicates, fingerprints, near_duplicate_groups, similar_prints
 from pyspark.sql import functions as F
 
 from .tables import awkward, docs, prose
@@ -97,3 +97,39 @@ def test_many_near_copies_are_linked_through_few(spark):
 def test_empty_table(spark):
     d = docs(spark, [])
     assert near_duplicate_groups(d).count() == 0 and drop_near_duplicates(d).count() == 0
+
+
+def _rows(bits):
+    f = np.packbits(bits, axis=1).view(">u8").astype(np.uint64).view(np.int64)
+    return [(i, *map(int, r)) for i, r in enumerate(f)]
+
+
+def test_no_pair_at_the_limit_is_left_out(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2, (1500, 256), np.uint8)
+    far = base.copy()
+    for i, row in enumerate(far):
+        row[r.choice(256, LIMIT + i % 2, replace=False)] ^= 1  # every other one lies beyond the limit
+    prints = spark.createDataFrame(_rows(np.vstack([base, far])), "id long, f0 long, f1 long, f2 long, f3 long")
+    got = sorted((p.a, p.b) for p in similar_prints(prints).collect())
+    assert got == [(i, 1500 + i) for i in range(0, 1500, 2)]
+
+
+def test_every_pair_of_brute_force_and_every_group(spark):
+    rows = _corpus()
+    p = _Prints()
+    prints = spark.createDataFrame(_rows(np.stack([np.unpackbits(np.frombuffer(p(t), np.uint8)) for _, t in rows])), "n long, f0 long, f1 long, f2 long, f3 long")
+    ids = spark.createDataFrame([(n, i) for n, (i, _) in enumerate(rows)], "n long, id long")
+    want = _brute(rows)
+    assert {(r.a, r.b) for r in similar_prints(prints.join(ids, "n")).collect()} == want
+    root = {i: i for i, _ in rows}
+    for _ in rows:
+        for a, b in want:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {r.doc_id: r.group_id for r in near_duplicate_groups(docs(spark, rows)).collect()} == root
+
+
+def test_radii_leave_no_way_out():
+    for limit in (0, 3, 36, 60):
+        plan = ball_plan(limit)
+        assert sum(r + 1 for _, _, r in plan) == limit + 1 and all(a[1] <= b[0] for a, b in zip(plan, plan[1:]))
