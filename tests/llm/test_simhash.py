@@ -133,3 +133,12 @@ def test_radii_leave_no_way_out():
     for limit in (0, 3, 36, 60):
         plan = ball_plan(limit)
         assert sum(r + 1 for _, _, r in plan) == limit + 1 and all(a[1] <= b[0] for a, b in zip(plan, plan[1:]))
+
+
+def test_pipeline_stage_drops_copies_that_share_no_plain_block(spark):
+    from corpus_pipeline import near_duplicates
+
+    seeds = (3, 137, 685, 1359, 1793, 1938, 2710, 2796)  # 31 to 36 bits apart
+    rows = [(i, prose(i, 120)) for i in seeds]
+    rows += [(10_000 + i, _copies(i, t, 0.13)) for i, t in rows]
+    assert {r.doc_id for r in near_duplicates(spark, docs(spark, rows), "").collect()} == set(seeds)
