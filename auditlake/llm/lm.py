@@ -21,6 +21,7 @@ from auditlake.llm.common import MASK, WordHashes, mix, words
 
 DISCOUNT, STRENGTH, BURN_IN, SAMPLES, ROUNDS, CHUNK_WORDS, CHUNK_ROWS = 0.7, 1.0, 2, 3, 2, 2_000_000, 60_000
 BASE = 2.0**-64
+MANY, CROWD = 32, 1 << 16
 BLOB = "part int, chunk long, ctx binary, per binary, word binary, times binary, at binary, docs binary"
 _DOC = np.dtype([("at", "<u2"), ("known", "?"), ("id", "<i8"), ("words", "<i8")])
 
@@ -121,7 +122,11 @@ class Part:
 
 def uniform(key: np.ndarray, step: int) -> np.ndarray:
     """A number in (0, 1) for each key, by hash."""
-    return ((mix(key + np.uint64(step * 0x9E3779B97F4A7C15 & MASK)) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+    return uniforms(key, np.uint64(step * 0x9E3779B97F4A7C15 & MASK))
+
+
+def uniforms(key: np.ndarray, by: np.ndarray | np.uint64) -> np.ndarray:
+    return ((mix(key + by) >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
 
 
 def lgamma(x: np.ndarray) -> np.ndarray:
@@ -131,12 +136,69 @@ def lgamma(x: np.ndarray) -> np.ndarray:
     return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + y * (1 / 12 - z * (1 / 360 - z * (1 / 1260 - z / 1680)))
 
 
+def first_to_open(x: np.ndarray, a: np.ndarray, limit: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """The least m from 1 to `left` with lgamma(x + m) - lgamma(x + m + a) below the limit, where `left` is known to have it.
+
+    That difference is nearly -a log(x + m + (a - 1) / 2), whose root, mended once, is mostly m itself; what it misses is found by halving.
+    """
+
+    def stay(m: np.ndarray, i: np.ndarray | slice = slice(None)) -> np.ndarray:
+        low, high = lgamma(np.concatenate([x[i] + m, x[i] + m + a[i]])).reshape(2, -1)
+        return low - high
+
+    shift = x + (a - 1) / 2
+    root = np.clip(np.exp(np.minimum(-limit / a, 700.0)) - shift, 1, left)
+    guess = np.clip(np.ceil((root + shift) * np.exp(np.clip((stay(root) - limit) / a, -700.0, 700.0)) - shift), 1, left)
+    low, high = lgamma(np.concatenate([x + guess, x + guess - 1, x + guess + a, x + guess - 1 + a])).reshape(2, -1)
+    yes, before = (low - high).reshape(2, -1) < limit
+    before &= guess > 1
+    lo, hi = np.where(before, 0.0, np.where(yes, guess - 1, guess)), np.where(before, guess - 1, np.where(yes, guess, left))
+    wide = np.flatnonzero(hi - lo > 1)
+    while len(wide):  # none opens within lo, one does within hi
+        mid = np.floor((lo[wide] + hi[wide]) / 2)
+        yes = stay(mid, wide) < limit[wide]
+        hi[wide], lo[wide] = np.where(yes, mid, hi[wide]), np.where(yes, lo[wide], mid)
+        wide = wide[hi[wide] - lo[wide] > 1]
+    return hi
+
+
+def seat_crowds(c: np.ndarray, t: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, done: int) -> np.ndarray:
+    """Tables after all c customers, of dishes that have t tables after the first `done`: what seating one after the other by the same numbers gives.
+
+    A block of customers is seated at once, given who opened a table before each of them, again and again until nobody changes. Each time at least one more of the first is
+    right, and mostly nearly all are, for a block is small beside those who sit.
+    """
+    t, live = t.copy(), np.arange(len(c))
+    while len(live):
+        k = int(min(max(32, done // 4), CROWD, c[live].max() - done))
+        n = done + np.arange(k)
+        step = n.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        for lo in range(0, len(live), max(1, CROWD // k)):
+            some = live[lo : lo + max(1, CROWD // k)]
+            u = uniforms(key[some, None], step)
+            u[n >= c[some, None]] = 2.0  # nobody sits there
+            scale, rest = base[some, None], others[some, None]
+            opened = np.zeros(u.shape, bool)
+            while True:
+                tl = t[some, None] + (np.cumsum(opened, axis=1) - opened)
+                new = (theta + d * (tl + rest)) * scale
+                now = u < new / (np.maximum(n - d * tl, 1e-9) + new)
+                if (now == opened).all():
+                    break
+                opened = now
+            t[some] += opened.sum(axis=1)
+        done += k
+        live = live[c[live] > done]
+    return t
+
+
 def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: float, key: np.ndarray, steps: int = 32) -> np.ndarray:
     """Tables of each dish after its c customers are seated anew, one after the other, given the other dishes' tables.
 
     The first customer opens a table; the next joins one of the dish's t tables with weight (seated - d t), or
     opens one with weight (theta + d (t + others)) base. The first `steps` customers are drawn one by one. Of the rest, the next one to open a table is drawn at once: that m in a row
     join has a chance that is a ratio of gamma functions. Both follow the same law exactly; the second takes as many draws as there are tables, not customers.
+    Dishes that will open many more tables are seated one by one to the end, but block by block at once: the time of both grows with the text, not faster.
     """
     t = np.minimum(c, 1).astype(np.float64)
     live = np.nonzero(c > 1)[0]
@@ -147,24 +209,22 @@ def seat(c: np.ndarray, base: np.ndarray, others: np.ndarray, d: float, theta: f
         new = (theta + d * (tl + others[live])) * base[live]
         t[live] = tl + (uniform(key[live], done) < new / (np.maximum(done - d * tl, 1e-9) + new))
         live = live[c[live] > done + 1]
-    n, turn = np.full(len(live), float(steps)), steps
-    live_n = n
+    many = (theta + d * (t[live] + others[live])) * base[live] * np.log(c[live] / steps) > MANY
+    crowd, live = live[many], live[~many]
+    t[crowd] = seat_crowds(c[crowd], t[crowd], base[crowd], others[crowd], d, theta, key[crowd], steps)
+    live_n, turn = np.full(len(live), float(steps)), steps
     while len(live):
         tl = t[live]
         a = (theta + d * (tl + others[live])) * base[live]
-        x = live_n - d * tl
-        limit = np.log(uniform(key[live], turn)) - lgamma(x + a) + lgamma(x)
-        stay = lambda m: lgamma(x + m) - lgamma(x + m + a)  # noqa: B023, E731
-        left = c[live] - live_n
-        opens = stay(left) < limit
+        x, left = live_n - d * tl, c[live] - live_n
+        now, then, after, at_end = lgamma(np.concatenate([x, x + a, x + left, x + left + a])).reshape(4, -1)
+        limit = np.log(uniform(key[live], turn)) - then + now
+        opens = after - at_end < limit
         live, live_n, x, a, limit, left = live[opens], live_n[opens], x[opens], a[opens], limit[opens], left[opens]
-        lo, hi = np.zeros(len(live)), left.copy()  # none opens within lo, one does within hi
-        while len(live) and (hi - lo).max() > 1:
-            mid = np.floor((lo + hi) / 2)
-            yes = (stay(mid) < limit) & (mid > lo)
-            hi, lo = np.where(yes, mid, hi), np.where(yes | (hi - lo <= 1), lo, mid)
+        if not len(live):
+            return t
+        live_n = live_n + first_to_open(x, a, limit, left)
         t[live] += 1
-        live_n = live_n + hi
         more = c[live] > live_n
         live, live_n, turn = live[more], live_n[more], turn + 1
     return t

@@ -144,3 +144,33 @@ def test_awkward_rows(spark):
 
 def test_empty_table(spark):
     assert lm.lm_scores(docs(spark, [])).count() == 0
+
+
+def test_crowds_are_seated_as_one_by_one():
+    r = np.random.default_rng(4)
+    n = 300
+    c, base, others = np.append(r.integers(33, 3000, n), 40), np.append(10.0 ** r.uniform(-4, -0.5, n), 0.2), np.append(10.0 ** r.uniform(0, 4, n), 50.0)
+    key = lm.mix(np.arange(n + 1, dtype=np.uint64))
+    one_by_one = lm.seat(c, base, others, 0.7, 1.0, key, steps=3000)
+    start = lm.seat(np.minimum(c, 32), base, others, 0.7, 1.0, key)
+    assert (lm.seat_crowds(c, start, base, others, 0.7, 1.0, key, 32) == one_by_one).all() and one_by_one.max() > 500
+
+
+def test_a_dish_of_many_tables_takes_few_steps(monkeypatch):
+    calls = []
+    monkeypatch.setattr(lm, "uniform", lambda key, step, f=lm.uniform: calls.append(step) or f(key, step))
+    t = lm.seat(np.array([600_000]), np.array([0.05]), np.array([2e4]), 0.7, 1.0, lm.mix(np.arange(1, dtype=np.uint64)))
+    assert 5000 < t[0] < 8000 and len(calls) < 100
+
+
+def test_the_next_to_open_is_found_exactly():
+    r = np.random.default_rng(5)
+    n = 2000
+    x, a, left = r.uniform(10, 1e4, n), 10.0 ** r.uniform(-4, 2, n), r.integers(1, 20_000, n).astype(float)
+    limit = np.log(r.uniform(size=n)) - lm.lgamma(x + a) + lm.lgamma(x)
+    some = lm.lgamma(x + left) - lm.lgamma(x + left + a) < limit
+    x, a, left, limit = x[some], a[some], left[some], limit[some]
+    got = lm.first_to_open(x, a, limit, left)
+    for i, m in enumerate(got):
+        every = np.arange(0, left[i] + 1)
+        assert m == np.flatnonzero(lm.lgamma(x[i] + every) - lm.lgamma(x[i] + every + a[i]) < limit[i])[0]
