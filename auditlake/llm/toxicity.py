@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from auditlake.llm.common import WordHashes, bounded_sample, mix, per_doc
 
 SAMPLE, LANDMARKS, DECAY, LONGEST, EVIDENCE, NEGATIVES = 4000, 256, 0.6, 24, 8.0, 2500
+TEXTS, LONG_TEXT = 64, 1 << 18  # longer texts are read alone
 RATES, NEEDS = (0.0, 0.001, 0.002, 0.004, 0.006, 0.01), (0.5, 1.5, 2.5, 3.5, 4.5)
 SPLIT = re.compile(r"(?<=[.!?])\s+|\n+")
 SPACED = re.compile(r"(?<!\w)\w(?:[\W_]{1,3}\w(?!\w)){3,}")
@@ -105,18 +106,18 @@ def kernel(a: list[str], b: list[str], decay: float = DECAY) -> np.ndarray:
 
 
 class Model:
-    """Two tables of triple weights (strict, loose), their biases, the words by which the loose one's hits in a text must exceed `rate` a word, and the hits that make a sentence toxic; caches words within a bound."""
+    """Two tables of triple weights (strict, loose), their biases, the words by which the loose one's hits in a text must exceed `rate` a word, and the hits that make a sentence toxic; caches words, and letters of words, within a bound."""
 
     def __init__(self, tables: np.ndarray, biases: np.ndarray, rate: float = 0.0, need: float = np.inf, sentence: float = np.inf, decay: float = DECAY, bound: int = 120_000):
         self.tables, self.biases, self.rate, self.need, self.sentence = tables.astype(np.float32), np.asarray(biases, float), rate, need, sentence
-        self.decay, self.bound, self.known = decay, bound, {}
+        self.decay, self.bound, self.known, self.scored = decay, bound, {}, {}
 
     def __getstate__(self):
         return (self.tables, self.biases, self.rate, self.need, self.sentence, self.decay, self.bound)
 
     def __setstate__(self, s):
         self.tables, self.biases, self.rate, self.need, self.sentence, self.decay, self.bound = s
-        self.known = {}
+        self.known, self.scored = {}, {}
 
     def _score(self, ws: list[str]) -> np.ndarray:
         """A row for each word: its scores by the two machines. Words of one length are scored together."""
@@ -142,23 +143,28 @@ class Model:
 
     def learn(self, words: set[str]) -> dict[str, tuple[float, float]]:
         """The cache, with scores of these words in it: the greatest over a word's windows, minus infinity if it hasn't three letters."""
-        known = self.known
-        if len(known) > self.bound:
-            known.clear()
+        known, scored = self.known, self.scored
         new = words.difference(known)
+        if new and len(known) + len(new) > self.bound:
+            known.clear()
+            new = words
         if new:
             wins = {w: windows(w) for w in new}
-            flat = [x for v in wins.values() for x in v]
-            got = self._score(flat) if flat else np.zeros((0, 2))
-            i = 0
+            letters = {x for v in wins.values() for x in v}
+            fresh = letters.difference(scored)
+            if len(scored) + len(fresh) > self.bound:
+                scored.clear()
+                fresh = letters
+            if fresh:
+                flat = list(fresh)
+                scored.update(zip(flat, map(tuple, self._score(flat).tolist())))
             for w, v in wins.items():
-                known[w] = tuple(got[i : i + len(v)].max(axis=0).tolist()) if v else (-np.inf, -np.inf)
-                i += len(v)
+                known[w] = scored[v[0]] if len(v) == 1 else tuple(map(max, zip(*(scored[x] for x in v)))) if v else (-np.inf, -np.inf)
         return known
 
-    def read(self, text: str) -> tuple[float, int, int, int]:
+    def read(self, text: str, toks: list[str] | None = None) -> tuple[float, int, int, int]:
         """(best strict score of any word, loose hits, words, loose hits of the sentence that has most)."""
-        toks = tokens(text)
+        toks = tokens(text) if toks is None else toks
         distinct = set(toks)
         known = self.learn(distinct)
         best = max((known[w][0] for w in distinct), default=-np.inf)
@@ -168,13 +174,22 @@ class Model:
         hits = sum(t in loose for t in toks)
         return best, hits, len(toks), hits if hits < 2 else max(sum(t in loose for t in tokens(x)) for x in sentences(text))
 
-    def text_score(self, text: str | None) -> float:
+    def text_score(self, text: str | None, toks: list[str] | None = None) -> float:
         """Above 0 for toxic texts; minus infinity where there is no word."""
         if not text:
             return -np.inf
-        strict, hits, n, most = self.read(text)
+        strict, hits, n, most = self.read(text, toks)
         return max(strict, hits - self.rate * n - self.need, most - self.sentence) if strict > -np.inf else strict
 
+    def text_scores(self, texts: list[str | None]) -> list[float]:
+        """text_score of each; the words of many texts are scored at once."""
+        out: list[float] = []
+        for lo in range(0, len(texts), TEXTS):
+            toks = [tokens(t) if t and len(t) < LONG_TEXT else None for t in texts[lo : lo + TEXTS]]
+            self.learn({w for own in toks if own for w in own})
+            out += map(self.text_score, texts[lo : lo + TEXTS], toks)
+        return out
+
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 30) -> np.ndarray:
     """A linear machine of squared hinge loss, by Newton steps; the last weight is the bias."""
@@ -287,6 +302,7 @@ def train(texts: list[str], toxic: list[int], landmarks: int = LANDMARKS, decay:
     most = np.sort(np.array([f[3] for f in found], float)[~truth])[::-1]
     model.sentence = float(most[int(0.001 * len(most))] if len(most) else 0.0) + 0.5
     model.known.clear()
+    model.scored.clear()
     return model
 
 
@@ -309,7 +325,7 @@ def toxicity(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         m = shared.value
         for b in batches:
-            s = np.array([m.text_score(t) for t in b.text], float)
+            s = np.array(m.text_scores(list(b.text)), float)
             yield pd.DataFrame({"doc_id": b.doc_id, "score": pd.Series(s).astype("Float64").mask(~np.isfinite(s)), "toxic": s > 0})
 
     return per_doc(docs, run, "doc_id long, score double, toxic boolean", "doc_id", "text")

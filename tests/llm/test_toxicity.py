@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
+from auditlake.llm import toxicity
 from auditlake.llm.toxicity import kernel, toxic_documents, train
 
 from .tables import awkward, docs, prose
@@ -83,3 +84,18 @@ def test_empty_tables(spark):
     assert toxic_documents(docs(spark, []), none).count() == 0
     got = toxic_documents(docs(spark, [(1, prose(1, 20))]), none).collect()
     assert [r.toxic for r in got] == [False]
+
+
+def test_letters_are_scored_once_and_many_texts_together(monkeypatch):
+    calls = []
+    monkeypatch.setattr(toxicity.Model, "_score", lambda self, ws, f=toxicity.Model._score: calls.append(len(ws)) or f(self, ws))
+    r = np.random.default_rng(2)
+    model = toxicity.Model(r.normal(size=(2, toxicity.LETTERS_N**3)) * 0.01, [-0.1, -0.1], need=0.5)
+    texts = [prose(i, 80) + f" Word{i % 7}, word. WORD! été s t u p i d" for i in range(50)] + [None, "", "a b", "x" * 300_000 + " end"]
+    got = model.text_scores(texts)
+    scored = {w for t in texts if t for x in toxicity.tokens(t) for w in toxicity.windows(x)}
+    assert sum(calls) == len(scored) and len(calls) <= 2
+    for bound in (120_000, 50):  # a cache that is too small changes nothing
+        alone = toxicity.Model(model.tables, model.biases, need=0.5, bound=bound)
+        assert np.allclose(got, [alone.text_score(t) for t in texts], atol=1e-6)
+        assert np.allclose(got, toxicity.Model(model.tables, model.biases, need=0.5, bound=bound).text_scores(texts), atol=1e-6)
