@@ -278,7 +278,8 @@ def _parted(batches):
 def _passages(docs: DataFrame, marks: DataFrame, dropped: DataFrame) -> DataFrame:
     """Rows for the words of runs of PASSAGE words that occur earlier in lines that stay, too; marks say where such runs can be."""
     gone = cut(dropped.groupBy("doc_id").agg(F.collect_list("para").alias("gone")))
-    lasting = marks.join(gone, "doc_id", "left").mapInPandas(_lasting, "doc_id long, at int, run long")
+    some, others = held(marks, F.col("doc_id"), gone, F.col("doc_id"))  # marks of most documents need no shuffle
+    lasting = some.join(gone, "doc_id", "left").unionByName(others, allowMissingColumns=True).mapInPandas(_lasting, "doc_id long, at int, run long")
     place = F.struct("doc_id", "at")
     again = cut(lasting.groupBy("run").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo < hi").select("run"))
     shared = held(lasting, F.col("run"), again, F.col("run"))[0].join(again, "run", "left_semi").groupBy("doc_id").agg(F.collect_set("at").alias("marks"))
@@ -307,9 +308,12 @@ def _spans(line: str) -> list[tuple[int, int]]:
 
 @F.pandas_udf(StringType())
 def _without(texts: pd.Series, gone: pd.Series) -> pd.Series:
-    """Texts without the given lines and words of lines."""
+    """Texts without the given lines and words of lines; null where none are given."""
     out = []
     for text, parts in zip(texts, gone):
+        if parts is None:
+            out.append(None)
+            continue
         lines: list = text.split("\n")
         for p in sorted(parts, key=lambda p: (p["para"], -p["first"])):
             i = p["para"]
@@ -338,16 +342,13 @@ def drop_repeated_paragraphs(docs: DataFrame, least: int = LEAST_WORDS, jaccard:
     packed = who.add(docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")), "id").select("id", "text", "row")
     found = _repeated(packed.select(F.col("id").alias("doc_id"), "text"), least, jaccard, bands, rows)
     gone = cut(found.where("not kept").groupBy("doc_id").agg(F.collect_list(F.struct("para", "first", "words")).alias("gone")).select(F.col("doc_id").alias("of"), "gone"))
-    some, others = held(packed, F.col("id"), gone, F.col("of"))
-    joined = some.join(gone, F.expr("id = of and text is not null"), "left")
-    # not deterministic by name only: else the filter would be pushed below, and the texts cut twice
-    hit = joined.where("gone is not null").select("row", _without("text", "gone").alias("left")).where(F.col("left").rlike(r"\S"))
-    other = joined.where("gone is null").select("row").union(others.select("row"))
-
-    def columns(lost: bool) -> list:
-        new = {"text": F.col("left")} if lost else {}
-        if lost and "n_chars" in docs.columns:
-            new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
-        return [new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns]
-
-    return hit.select(*columns(True)).union(other.select(*columns(False)))
+    some, others = held(packed.select("id", "row"), F.col("id"), gone, F.col("of"))  # a row has its text once
+    joined = some.join(gone, F.expr("id = of and row.text is not null"), "left")
+    # not deterministic by name only: else the filter would be pushed below, and the texts cut twice; one frame for all rows, so that texts are shuffled once
+    met = joined.select("row", F.col("gone").isNotNull().alias("lost"), _without("row.text", "gone").alias("left")).where(~F.col("lost") | F.col("left").rlike(r"\S"))
+    new = {"text": F.col("left")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.length("left").cast(docs.schema["n_chars"].dataType)
+    old = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    after = [F.when(F.col("lost"), new[c]).otherwise(old[c]).alias(c) if c in new else old[c].alias(c) for c in docs.columns]
+    return met.select(*after).union(others.select(*(old[c].alias(c) for c in docs.columns)))

@@ -247,10 +247,10 @@ def drop_near_duplicates(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     Only rows that may go are shuffled; columns of any name stay.
     """
     touched = cut(_grouped(docs, limit).where("not kept or n > 1").select(F.col("doc_id").alias("__of"), F.col("th").alias("__of_th"), "kept"))
-    d = docs.select("doc_id", "text", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
-    some, others = held(d.withColumn("th", F.xxhash64("text")), F.col("th"), touched, F.col("__of_th"))
+    d = docs.select("doc_id", F.xxhash64("text").alias("th"), F.col("text").isNull().alias("blank"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))  # a row has its text once
+    some, others = held(d, F.col("th"), touched, F.col("__of_th"))
     met = some.join(touched, F.expr("doc_id <=> __of and th = __of_th"), "left")
-    free = met.where("kept is null or text is null").select("row")
+    free = met.where("kept is null or blank").select("row")
     plain = [c for c, t in docs.dtypes if "map<" not in t and "variant" not in t]
-    once = met.where("kept and text is not null").groupBy("doc_id", "th").agg(F.min_by("row", F.xxhash64(*(F.col(f"row.`{c}`") for c in plain))).alias("row")).select("row")
+    once = met.where("kept and not blank").groupBy("doc_id", "th").agg(F.min_by("row", F.xxhash64(*(F.col(f"row.`{c}`") for c in plain))).alias("row")).select("row")
     return others.select("row").union(free).union(once).select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))

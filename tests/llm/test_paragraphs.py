@@ -5,7 +5,7 @@ import numpy as np
 from auditlake.llm.common import words
 from auditlake.llm.paragraphs import JACCARD, LEAST_WORDS, drop_repeated_paragraphs, recall, repeated_paragraphs
 
-from .tables import awkward, docs, prose
+from .tables import awkward, docs, prose, shuffled
 
 
 def brute(rows):
@@ -182,3 +182,16 @@ def test_passages_across_lines(spark):
         assert words(left[20 + i]) == words(" ".join([prose(200 + i, 33), prose(300 + i, 9), prose(400 + i, 12), "end"]))
         assert words(left[40 + i]) == words(prose(500 + i, 30) + " " + prose(600 + i, 70))
     assert left[60] == wrapped(700, 30, 8)
+
+
+def test_texts_that_lose_a_line_are_shuffled_once_for_it(spark):
+    rows = [(i, prose(i, 20_000, 10**6) + "\n" + prose(900, 60)) for i in range(20)]
+    size, _ = shuffled(spark, lambda: drop_repeated_paragraphs(docs(spark, rows)).write.format("noop").mode("overwrite").save())
+    assert size < 2.5 * sum(len(t) for _, t in rows)  # once for the lines' shingles, once to lose them
+
+
+def test_marks_of_documents_that_lose_no_line_are_not_shuffled_whole(spark):
+    rows = [(i, prose(i, 20_000, 10**6)) for i in range(20)] + [(90 + i, prose(900, 60)) for i in range(2)]
+    size, _ = shuffled(spark, lambda: drop_repeated_paragraphs(docs(spark, rows)).write.format("noop").mode("overwrite").save())
+    marks = sum(len(t.split()) for _, t in rows) // 16
+    assert size < 40 * marks  # runs and their places, not the packed marks of each document before them

@@ -3,7 +3,7 @@ import numpy as np
 from auditlake.llm.simhash import LIMIT, RECALL, _Prints, ball_plan, block_plan, drop_near_duplicates, fingerprints, near_duplicate_groups, similar_prints
 from pyspark.sql import functions as F
 
-from .tables import awkward, docs, prose
+from .tables import awkward, docs, prose, shuffled
 
 
 def _copies(seed, text, share):
@@ -142,3 +142,9 @@ def test_pipeline_stage_drops_copies_that_share_no_plain_block(spark):
     rows = [(i, prose(i, 120)) for i in seeds]
     rows += [(10_000 + i, _copies(i, t, 0.13)) for i, t in rows]
     assert {r.doc_id for r in near_duplicates(spark, docs(spark, rows), "").collect()} == set(seeds)
+
+
+def test_a_row_that_may_go_is_shuffled_with_its_text_once(spark):
+    rows = [(i, prose(i % 10, 20_000, 10**6)) for i in range(20)]
+    size, _ = shuffled(spark, lambda: drop_near_duplicates(docs(spark, rows)).write.format("noop").mode("overwrite").save())
+    assert size < 1.5 * sum(len(t) for _, t in rows)
