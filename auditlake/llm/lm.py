@@ -21,7 +21,7 @@ from auditlake.llm.common import MASK, WordHashes, mix, words
 
 DISCOUNT, STRENGTH, BURN_IN, SAMPLES, ROUNDS, CHUNK_WORDS, CHUNK_ROWS = 0.7, 1.0, 2, 3, 2, 2_000_000, 60_000
 BASE = 2.0**-64
-MANY, CROWD = 32, 1 << 16
+MANY, CROWD, SEAT_BITS = 32, 1 << 16, 40
 BLOB = "part int, chunk long, ctx binary, per binary, word binary, times binary, at binary, docs binary"
 _DOC = np.dtype([("at", "<u2"), ("known", "?"), ("id", "<i8"), ("words", "<i8")])
 
@@ -234,13 +234,15 @@ def word_probabilities(tables: DataFrame, d: float, theta: float) -> DataFrame:
     """(part, word, p): the predictive probability, in the restaurant of no context, of each part's words.
 
     Its customers are the tables of all contexts. Under the base of 2^-64 each word has one table there: that a
-    second opens has a chance below 10^-10 for a billion words.
+    second opens has a chance below 10^-10 for a billion words. The tables come as (word, seats), seats being the part times 2^SEAT_BITS plus its
+    number of tables of the word: all three uses take both columns and none adds a filter, so there is one exchange, and the tables are worked out once.
     """
-    spread = tables.repartition("word")
-    totals = spread.groupBy("word").agg(F.sum("t").alias("customers"))
+    spread = tables.where("word is not null").repartition("word")
+    totals = spread.groupBy("word").agg(F.sum(F.col("seats").bitwiseAND(F.lit((1 << SEAT_BITS) - 1))).alias("customers"))
     whole = F.broadcast(totals.agg(F.sum("customers").alias("all"), F.count("*").alias("words")))
     p = (F.col("customers") - d + (theta + d * F.col("words")) * BASE) / (theta + F.col("all"))
-    return spread.select("part", "word").join(totals.crossJoin(whole).select("word", p.alias("p")), "word").select("part", "word", "p")
+    parts = spread.select(F.shiftright("seats", SEAT_BITS).cast("int").alias("part"), "word")
+    return parts.join(totals.crossJoin(whole).select("word", p.alias("p")), "word").select("part", "word", "p")
 
 
 def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, burn_in: int = BURN_IN, samples: int = SAMPLES, rounds: int = ROUNDS, seed: int = 7, parts: int | None = None) -> DataFrame:
@@ -258,7 +260,7 @@ def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, bur
 
     def tables(part: Part, number: int) -> pd.DataFrame:
         own, at = np.unique(part.word, return_inverse=True)
-        return pd.DataFrame({"part": np.int32(number), "word": own.view(np.int64), "t": np.bincount(at, part.t, len(own)).astype(np.int64)})
+        return pd.DataFrame({"word": own.view(np.int64), "seats": np.bincount(at, part.t, len(own)).astype(np.int64) + (int(number) << SEAT_BITS)})
 
     def first(pdf: pd.DataFrame) -> pd.DataFrame:
         part = Part(pdf)
@@ -271,7 +273,7 @@ def lm_scores(docs: DataFrame, d: float = DISCOUNT, theta: float = STRENGTH, bur
         known = base.sort_values("word")
         return known.p.to_numpy()[np.searchsorted(known.word.to_numpy(), part.word.view(np.int64))] if len(part.c) else np.zeros(0)
 
-    table = "part int, word long, t long"
+    table = "word long, seats long"
     probabilities = word_probabilities(packed.groupBy("part").applyInPandas(first, table), d, theta)
 
     def resampled(r: int):

@@ -8,7 +8,7 @@ import pytest
 from auditlake.llm import lm
 from auditlake.llm.common import hash64, words
 
-from .tables import awkward, docs, prose
+from .tables import awkward, docs, prose, shuffled
 
 LOW = (1 << 48) - 1
 
@@ -174,3 +174,10 @@ def test_the_next_to_open_is_found_exactly():
     for i, m in enumerate(got):
         every = np.arange(0, left[i] + 1)
         assert m == np.flatnonzero(lm.lgamma(x[i] + every) - lm.lgamma(x[i] + every + a[i]) < limit[i])[0]
+
+
+def test_tables_are_worked_out_and_shuffled_once_a_round(spark):
+    rows = [(i, prose(i, 500)) for i in range(40)]
+    v = len({w for _, t in rows for w in words(t)})
+    _, n = shuffled(spark, lambda: lm.lm_scores(docs(spark, rows), parts=1).write.format("noop").mode("overwrite").save())
+    assert v > 2000 and 2 * lm.ROUNDS * v <= n < 2.5 * lm.ROUNDS * v  # tables to the words, probabilities back
