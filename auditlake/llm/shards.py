@@ -85,7 +85,7 @@ def write_shards(docs: DataFrame, folder: str, model: str = MODEL) -> DataFrame:
         for b in batches:
             for i in range(0, b.num_rows, 500):
                 part = b.slice(i, 500)
-                ids = [coder.encode(t or "") for t in part.column(1).to_pylist()]
+                ids = [coder.encode_whole(t or "") for t in part.column(1).to_pylist()]
                 n = np.array([len(x) for x in ids], np.int64)
                 sink = sink or fs.open_output_stream(f"{base}/{name}")
                 sink.write(np.concatenate([*ids, np.zeros(0, np.int32)]).astype(dtype).tobytes())

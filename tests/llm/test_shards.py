@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 
 from auditlake.llm.pieces import PieceCoder
@@ -50,6 +52,31 @@ def test_index_rows_against_brute_force(spark):
         assert (got[i].n_ids, got[i].id_sum, got[i].fingerprint) == (len(ids), int(ids.sum()), int(fingerprint(np.array([i]))[0]))
 
 
+def test_texts_are_encoded_with_one_call_for_each_part():
+    coder, plain = PieceCoder(), PieceCoder()
+
+    class Counted:
+        calls = 0
+
+        def encode(self, text, **options):
+            Counted.calls += 1
+            return plain.sp.encode(text, **options)
+
+    coder.sp = Counted()
+    text = prose(1, 20_000, 1_000_000)
+    assert coder.encode_whole(text).tolist() == plain.sp.encode(text) and Counted.calls <= len(text) // 32_768 + 1
+
+
+def test_parts_of_a_text_have_the_ids_of_the_whole():
+    coder, r = PieceCoder(), random.Random(3)
+    texts = ["", " ", "    ", "\u2581", " \u2581 ", "a", "a ", " a", "a" * 50, "a" * 20 + " ", "ab  cd   ef    ", "naïve\n\n文字 \U0001f600 x", *(t or "" for _, t in awkward()[:7])]
+    texts += ["".join(r.choice(["a", "the", "é", "文", " ", " ", "  ", "\u2581", "\n", "\t", "9", "ing"]) for _ in range(r.randrange(200))) for _ in range(400)]
+    for t in texts:
+        want = coder.sp.encode(t)
+        for chunk in (1, 2, 3, 7, 40, 32_768):
+            assert coder.encode_whole(t, chunk).tolist() == want == coder.encode(t).tolist(), (t, chunk)
+
+
 def test_awkward_rows(spark):
     got = {r.doc_id: r for r in token_index(docs(spark, awkward(), extra=True)).collect()}
     assert sorted(got) == list(range(1, 10)) and got[1].n_ids == got[2].n_ids == 0
