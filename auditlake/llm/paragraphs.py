@@ -22,7 +22,7 @@ RUN, WINDOW = 20, 31
 PASSAGE = RUN + WINDOW - 1  # a shared run of so many words, 50, holds a mark for certain
 MARK = np.dtype([("at", "<u4"), ("line", "<u4"), ("upto", "<u4"), ("run", "<u8")])
 PART = np.dtype([("line", "<u4"), ("first", "<u4"), ("words", "<u4")])
-KEY_BITS = 40
+KEY_BITS, FRAME_RUNS = 40, 20_000
 
 
 def recall(jaccard: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -233,9 +233,39 @@ def _lasting(batches):
         yield pd.DataFrame({"doc_id": np.concatenate(ids) if ids else np.zeros(0, np.int64), "at": m["at"].astype(np.int32), "run": m["run"].astype(np.int64)})
 
 
+def _parts(at: np.ndarray, i: np.ndarray, j: np.ndarray, number: np.ndarray, start: np.ndarray, count: np.ndarray) -> list:
+    """Which words of each line the runs from words `at` on hold, from line i to line j, all runs at once; None for a run within one line."""
+    parts: list = [None] * len(at)
+    k = np.flatnonzero(i != j)
+    if len(k):
+        n = j[k] - i[k] + 1
+        ends = np.cumsum(n)
+        begins = ends - n
+        of = np.arange(ends[-1]) + np.repeat(i[k] - begins, n)
+        p = np.zeros(len(of), PART)
+        p["line"], p["words"] = number[of], count[of]
+        p["first"][begins] = at[k] - start[i[k]]
+        p["words"][begins] -= p["first"][begins]
+        p["words"][ends - 1] = at[k] + PASSAGE - start[j[k]]
+        raw = p.tobytes()
+        for x, lo, hi in zip(k.tolist(), (begins * PART.itemsize).tolist(), (ends * PART.itemsize).tolist()):
+            parts[x] = raw[lo:hi]
+    return parts
+
+
 def _around(batches):
     """(doc_id, at, line, first, r1, r2, parts): the runs of PASSAGE words that hold a mark of `marks` and touch no line of `gone`; parts, where they lie in several lines, says which words of each."""
     hashes = WordHashes()
+    names = ["doc_id", "at", "line", "first", "r1", "r2"]
+    found: list[list] = []
+    parts: list = []
+
+    def frame() -> pd.DataFrame:
+        out = pd.DataFrame(dict(zip(names, map(np.concatenate, zip(*found)))) | {"parts": pd.Series(parts, dtype=object)})
+        found.clear()
+        parts.clear()
+        return out
+
     for b in batches:
         for doc, text, marks, gone in zip(b.doc_id, b.text, b.marks, b.gone):
             lines = _lines(text)
@@ -252,27 +282,30 @@ def _around(batches):
             lost = np.append(0, np.cumsum(np.repeat(np.isin(number, [] if gone is None else list(gone)), count)))
             at = np.flatnonzero(np.cumsum(edges)[: n - PASSAGE + 1] > 0)
             at = at[lost[at] == lost[at + PASSAGE]]
-            i, j = np.searchsorted(start, at, "right") - 1, np.searchsorted(start, at + PASSAGE - 1, "right") - 1
-            parts: list = [None] * len(at)
-            for k in np.flatnonzero(i != j):
-                p = np.zeros(j[k] - i[k] + 1, PART)
-                p["line"], p["first"], p["words"] = number[i[k] : j[k] + 1], 0, count[i[k] : j[k] + 1]
-                p["first"][0] = at[k] - start[i[k]]
-                p["words"][0] -= p["first"][0]
-                p["words"][-1] = at[k] + PASSAGE - start[j[k]]
-                parts[k] = p.tobytes()
             if len(at):
+                i, j = np.searchsorted(start, at, "right") - 1, np.searchsorted(start, at + PASSAGE - 1, "right") - 1
                 r1, r2 = _runs(h, PASSAGE)[at], _runs(mix(h ^ np.uint64(0xD1342543DE82EF95)), PASSAGE)[at]
-                yield pd.DataFrame({"doc_id": doc, "at": at, "line": number[i], "first": at - start[i], "r1": r1.view(np.int64), "r2": r2.view(np.int64), "parts": parts})
+                found.append([np.full(len(at), doc, np.int64), at, number[i], at - start[i], r1.view(np.int64), r2.view(np.int64)])
+                parts += _parts(at, i, j, number, start, count)
+                if len(parts) >= FRAME_RUNS:
+                    yield frame()
+    if found:
+        yield frame()
 
 
 def _parted(batches):
     """Each run's words by line."""
     for b in batches:
-        each = [[(line, first, PASSAGE)] if p is None else np.frombuffer(p, PART).tolist() for line, first, p in zip(b.line, b["first"], b.parts)]
-        n = [len(x) for x in each]
-        flat = np.array([x for e in each for x in e], np.int64).reshape(-1, 3)
-        yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), n) for c in ("doc_id", "at", "head_doc", "head_line")} | {"para": flat[:, 0], "first": flat[:, 1], "words": flat[:, 2]})
+        several = b.parts.notna().to_numpy()
+        split = b.parts[several]
+        n = np.ones(len(b), np.int64)
+        n[several] = [len(p) // PART.itemsize for p in split]
+        flat = np.zeros(int(n.sum()), PART)
+        many = np.repeat(several, n)
+        flat[many] = np.frombuffer(b"".join(split), PART)
+        one = b[~several]
+        flat["line"][~many], flat["first"][~many], flat["words"][~many] = one.line, one["first"], PASSAGE
+        yield pd.DataFrame({c: np.repeat(b[c].to_numpy(), n) for c in ("doc_id", "at", "head_doc", "head_line")} | {"para": flat["line"], "first": flat["first"], "words": flat["words"]}).astype({"para": "int32", "first": "int32", "words": "int32"})
 
 
 def _passages(docs: DataFrame, marks: DataFrame, dropped: DataFrame) -> DataFrame:

@@ -1,9 +1,10 @@
 import random
 
 import numpy as np
+import pandas as pd
 
 from auditlake.llm.common import words
-from auditlake.llm.paragraphs import JACCARD, LEAST_WORDS, drop_repeated_paragraphs, recall, repeated_paragraphs
+from auditlake.llm.paragraphs import JACCARD, LEAST_WORDS, PART, PASSAGE, _around, _parted, drop_repeated_paragraphs, recall, repeated_paragraphs
 
 from .tables import awkward, docs, prose, shuffled
 
@@ -195,3 +196,31 @@ def test_marks_of_documents_that_lose_no_line_are_not_shuffled_whole(spark):
     size, _ = shuffled(spark, lambda: drop_repeated_paragraphs(docs(spark, rows)).write.format("noop").mode("overwrite").save())
     marks = sum(len(t.split()) for _, t in rows) // 16
     assert size < 40 * marks  # runs and their places, not the packed marks of each document before them
+
+
+def test_runs_of_many_documents_travel_together_with_their_words_by_line():
+    r = random.Random(5)
+    rows = [(d, "\n".join(prose(1000 * d + i, r.choice([0, 1, 2, 5, 30, 120])) for i in range(8))) for d in range(60)]
+    rows += [(60, prose(1, PASSAGE)), (61, prose(2, PASSAGE - 1)), (62, "")]
+    each = {d: [(i, k) for i, p in enumerate(t.split("\n")) for k in range(len(words(p)))] for d, t in rows}
+    gone = {d: [2, 5] if d % 3 == 0 else None for d, _ in rows}
+    marks = {d: list(range(0, max(1, len(e) - 19), 7)) for d, e in each.items()}
+    batch = pd.DataFrame({"doc_id": [d for d, _ in rows], "text": [t for _, t in rows], "marks": [marks[d] for d, _ in rows], "gone": [gone[d] for d, _ in rows]})
+    frames = list(_around([batch.iloc[:20], batch.iloc[20:]]))
+    assert len(frames) == 1  # not one for each document
+    want = {}
+    for d, e in each.items():
+        for at in range(len(e) - PASSAGE + 1):
+            run = e[at : at + PASSAGE]
+            if any(at <= m <= at + PASSAGE - 20 for m in marks[d]) and not {i for i, _ in run} & set(gone[d] or []):
+                lines = sorted({i for i, _ in run})
+                want[d, at] = [(i, min(k for x, k in run if x == i), sum(x == i for x, _ in run)) for i in lines]
+    got = frames[0]
+    assert [(r.doc_id, r.at) for r in got.itertuples()] == sorted(want)
+    for r_ in got.itertuples():
+        w = want[r_.doc_id, r_.at]
+        assert (r_.line, r_.first) == w[0][:2] and (r_.parts is None) == (len(w) == 1)
+        assert r_.parts is None or np.frombuffer(r_.parts, PART).tolist() == w
+    for some in (got, got[got.parts.isna()], got[got.parts.notna()], got[:0]):
+        flat = pd.concat(_parted([some.assign(head_doc=some.doc_id, head_line=some.line)]))
+        assert list(flat[["doc_id", "at", "para", "first", "words"]].itertuples(index=False, name=None)) == [(d, at, *x) for d, at in zip(some.doc_id, some["at"]) for x in want[d, at]]
