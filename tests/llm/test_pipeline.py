@@ -5,7 +5,7 @@ import pytest
 from auditlake.llm.common import words
 from auditlake.llm.pieces import PieceCoder
 from auditlake.llm.quality import repetition
-from auditlake.llm.common import WordHashes
+from auditlake.llm.common import WordHashes, small_batches
 
 from . import test_paragraphs
 from .tables import awkward, docs, prose
@@ -99,3 +99,29 @@ def test_an_empty_corpus(spark, tmp_path):
     docs(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize("name, stage", pipeline.STAGES, ids=[k for k, _ in pipeline.STAGES])
+def test_every_stage_bounds_the_texts_sent_at_once(spark, tmp_path, name, stage):
+    """All texts arrive, the longest whole, but no frame holds thousands of them, as one of 10 000 rows did."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows = [(i, prose(i, 60)) for i in range(2)]
+    spark.createDataFrame([(1, prose(99, 20))], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    many = spark.range(3000, numPartitions=1).selectExpr("id", "if(id = 1500, repeat('long ', 1000000), repeat('word ', 400)) text")
+
+    def lengths(batches):
+        for b in batches:
+            yield b.text.str.len().to_frame("n").groupby(lambda _: 0).agg(list)
+
+    old = spark.conf.get(key, None)
+    try:
+        spark.conf.unset(key)
+        stage(spark, docs(spark, rows), str(tmp_path))
+        frames = [r.n for r in many.mapInPandas(lengths, "n array<long>").collect()]
+        assert sorted(n for f in frames for n in f) == [2000] * 2999 + [5_000_000]
+        assert max(sum(f[:-1]) for f in frames) <= 1 << 20
+        spark.conf.set(key, "4096")
+        small_batches(spark)
+        assert spark.conf.get(key) == "4096"  # the session's own bound stays
+    finally:
+        spark.conf.unset(key) if old is None else spark.conf.set(key, old)
