@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 EMAIL = r"(?i)\b[\w.%+-]+@[a-z\d.-]+\.[a-z]{2,}\b"
-PHONE = "(?<![0-9])(?:[+][0-9]{1,3}[-. ]?)?(?:[(]?[0-9]{2,4}[)]?[-. ]?){2,5}[0-9]{2,4}(?![0-9])"
+#: Digits that follow a letter are part of a word: of a name with a number, a code.
+PHONE = r"(?<![0-9A-Za-z\u00c0-\u024f\u0370-\u052f])(?:[+][0-9]{1,3}[-. ]?)?(?:[(]?[0-9]{2,4}[)]?[-. ]?){2,5}[0-9]{2,4}(?![0-9])"
 AT = r"\b(?:" + "|".join(sorted([*(f"{x} at" for x in ("intern", "lead", "works", "manager", "studied", "student", "employed", "designer", "engineer", "developer")), "member of", r"company\s*:"])) + ")"
 IN = r"\b(?:" + "|".join(sorted([*(f"{x} in" for x in ("located", "lives", "based")), r"location\s*:", "from"])) + ")"
 LOCATION = IN + r"\s+([A-Z][-.'\p{L}]+(?:\s+[A-Z][-.'\p{L}]+){0,4})"

@@ -27,6 +27,15 @@ def test_spans_are_those_of_the_text(spark):
     assert one(spark, T.spans(F.col("t"), T.PHONE), t=None) is None and one(spark, T.spans(F.col("t"), T.PHONE), t="") == []
 
 
+def test_digits_after_a_letter_are_no_number(spark):
+    t = "nation23129138 or \u00e923129138 lives here, call +1 415 555 0101; mobile:41555501, x5 020 7946 0958"
+    d = spark.createDataFrame([(1, t)], "doc_id long, text string")
+    assert [r.raw for r in pii.phones(d).orderBy("start").collect()] == ["+1 415 555 0101", "41555501", "020 7946 0958"]
+    s = spark.createDataFrame([(1, "u1", "sam nation23129138 lives in Asia, works at X Labs; please call +1 415 555 0101 or write to a@b.example")], "doc_id long, url string, text string")
+    who = spark.createDataFrame([(1, True)], "subject_id long, authorized boolean")
+    assert [r.value for r in pii.findings(s, who).where("type = 'Phone'").collect()] == ["+1 415 555 0101"]
+
+
 def test_numbers_that_are_dates_or_counters(spark):
     flag = lambda x: one(spark, T.date_or_counter(F.col("t")), t=x)
     assert flag("20240131") and flag("2024-01-31") and flag("11111111") and not flag("+1-415-555-0101") and not flag("41555501")
