@@ -20,6 +20,11 @@ PRIORITY = sorted("about bio contact cv me portfolio resume".split())
 MENTIONS = [("twitch", "Twitch"), ("github", "GitHub"), ("gitlab", "GitLab"), ("reddit", "Reddit"), ("instagram", "Instagram"), ("x", "X"), ("twitter", "X"), ("youtube", "YouTube"), ("tiktok", "TikTok"), ("telegram", "Telegram"), ("bluesky", "Bluesky"), ("mastodon", "Mastodon"), ("linkedin", "LinkedIn"), ("medium", "Medium"), ("threads", "Threads"), ("snapchat", "Snapchat"), ("discord", "Discord"), ("hacker news", "HackerNews"), ("hn", "HackerNews"), ("dev.to", "DevTo"), ("pinterest", "Pinterest"), ("facebook", "Facebook")]
 
 
+def let(value: Column, use) -> Column:
+    """use(value), with the value worked out once and named, however often it is used: without this, expressions of expressions grow by powers."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def bare_host(url: Column) -> Column:
     """Lower-case host without www; null where the URL has none."""
     return F.nullif(F.regexp_replace(F.lower(F.regexp_extract(url, r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), r"^www\.", ""), F.lit(""))
@@ -35,13 +40,15 @@ def query(url: Column) -> Column:
 
 
 def _on(host: Column, names: list[str]) -> Column:
-    return F.exists(F.array(*map(F.lit, names)), lambda n: (host == n) | F.endswith(host, F.concat(F.lit("."), n)))
+    return let(host, lambda h: F.exists(F.array(*map(F.lit, names)), lambda n: (h == n) | F.endswith(h, F.concat(F.lit("."), n))))
 
 
 def noisy(url: Column) -> Column:
     """Search engines' own pages, files that are no page, and what has no host."""
-    h, p = bare_host(url), F.lower(path(url))
-    return h.isNull() | _on(h, ENGINES) | F.exists(F.array(*map(F.lit, FILES)), lambda e: F.endswith(p, e))
+    def said(v: Column) -> Column:
+        return v["h"].isNull() | _on(v["h"], ENGINES) | F.exists(F.array(*map(F.lit, FILES)), lambda e: F.endswith(v["p"], e))
+
+    return let(url, lambda u: let(F.struct(bare_host(u).alias("h"), F.lower(path(u)).alias("p")), said))
 
 
 def known_host(url: Column) -> Column:
@@ -49,8 +56,7 @@ def known_host(url: Column) -> Column:
 
 
 def noisy_image(url: Column) -> Column:
-    h = bare_host(url)
-    return h.isNull() | h.contains("bing.com") | h.contains("duckduckgo.com") | F.lower(url).contains("base64")
+    return let(url, lambda u: let(bare_host(u), lambda h: h.isNull() | h.contains("bing.com") | h.contains("duckduckgo.com") | F.lower(u).contains("base64")))
 
 
 def clean(handle: Column) -> Column:
@@ -78,11 +84,6 @@ def priority_path(p: Column) -> Column:
     return F.arrays_overlap(F.flatten(F.transform(bases, lambda s: F.split(s, "[-_]"))), F.array(*map(F.lit, PRIORITY)))
 
 
-def let(value: Column, use) -> Column:
-    """use(value), with the value worked out once and named, however often it is used: without this, expressions of expressions grow by powers."""
-    return F.get(F.transform(F.array(value), use), F.lit(0))
-
-
 def resolved(raw: Column) -> Column:
     """struct(platform, handle, url) of a profile URL; null where it is of no platform, or of none of its profiles. No two platforms share a host, so a URL's host, or the shortest end of it that is a platform's, tells which it is."""
     t = F.trim(raw)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from auditlake.functions.profiles import let
+
 TRACKING = "utm_source utm_medium utm_campaign utm_term utm_content gclid fbclid msclkid ref ref_src ved source yclid".split()
 REDIRECTS = "uddg q url u target".split()
 
@@ -44,9 +46,8 @@ def registrable_domain(url: Column) -> Column:
 
 def unwrap_redirect(href: Column) -> Column:
     """The target of a search engine's redirect, else the URL itself; null where it isn't http."""
-    found = [F.try_url_decode(F.nullif(F.regexp_extract(href, rf"[?&]{k}=([^&#]+)", 1), F.lit(""))) for k in REDIRECTS]
-    out = F.coalesce(*[F.when(x.rlike("^https?://"), x) for x in found], href)
-    return F.when(out.rlike("^https?://[^/]+"), out)
+    found = F.array(*[F.try_url_decode(F.regexp_extract(href, rf"[?&]{k}=([^&#]+)", 1)) for k in REDIRECTS])
+    return let(F.coalesce(F.get(F.filter(found, lambda x: x.rlike("^https?://")), F.lit(0)), href), lambda out: F.when(out.rlike("^https?://[^/]+"), out))
 
 
 def profile_handle(url: Column, prefix: Column) -> Column:

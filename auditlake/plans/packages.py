@@ -224,7 +224,8 @@ def html_text(s, d):
 @query()
 def search_page_hits(s, d):
     """Result pages of six providers, made of the search hits."""
-    h = fixture(s, d, "hit").withColumn("source", F.lower(F.regexp_replace("source", "Duck", "DuckDuckGo")))
+    # parsing costs time, not bytes: a stated number of tasks, which no plan merges by its bytes
+    h = fixture(s, d, "hit").withColumn("source", F.lower(F.regexp_replace("source", "Duck", "DuckDuckGo"))).repartition(4 * s.sparkContext.defaultParallelism, "subject_id")
     block = F.concat(F.lit('<li class="b_algo"><div class="result snippet"><h2><a class="title result__a" href="/l?uddg='), F.replace(F.replace(F.replace("url", F.lit("?"), F.lit("%3F")), F.lit("&"), F.lit("%26")), F.lit("#"), F.lit("%23")), F.lit('">'), "title", F.lit('</a></h2><p class="description result__snippet">'), "snippet", F.lit("</p></div></li>"))
     pages = h.groupBy(F.col("subject_id").alias("page_id")).agg(F.array_sort(F.collect_list(F.struct("ord", block.alias("b")))).alias("r"))
     kinds = F.array(*map(F.lit, ["DuckDuckGo", "Bing", "Yandex", "Brave", "Mojeek", "Qwant", "Other"]))
@@ -233,7 +234,7 @@ def search_page_hits(s, d):
 
 @query()
 def image_page_hits(s, d):
-    h = fixture(s, d, "hit").where("ord < 3")
+    h = fixture(s, d, "hit").where("ord < 3").repartition(4 * s.sparkContext.defaultParallelism, "subject_id")
     meta = F.concat(F.lit("<a class='iusc' m='{\"murl\":\"https://img.example/"), F.col("subject_id").cast("string"), F.lit("-"), F.col("ord").cast("string"), F.lit(".png\",\"turl\":\"https://t.example/x\",\"purl\":\""), "url", F.lit("\",\"t\":\"Picture\"}'></a>"))
     pages = h.groupBy(F.col("subject_id").alias("page_id")).agg(F.array_join(F.array_sort(F.collect_list(meta)), "").alias("html"))
     return parsers.image_results(pages.select("page_id", F.lit("Bing").alias("source"), F.lit("q").alias("query"), "html")).select("page_id", "image", "thumbnail", "page", "title")

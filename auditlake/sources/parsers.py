@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_right
+from functools import lru_cache
+from html import unescape
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -32,10 +35,12 @@ MOST_HITS, MOST_IMAGES = 12, 18
 
 
 class Element:
-    __slots__ = ("tag", "attrs", "up", "parts")
+    """at and end: its own place and that of the last element below it, in the order of the page; set by the page's index."""
+
+    __slots__ = ("tag", "attrs", "up", "parts", "at", "end", "index")
 
     def __init__(self, tag: str, attrs: dict, up: "Element | None"):
-        self.tag, self.attrs, self.up, self.parts = tag, attrs, up, []
+        self.tag, self.attrs, self.up, self.parts, self.index = tag, attrs, up, [], None
 
     def walk(self):
         """This element and all below it, in the order of the page; without recursion."""
@@ -87,49 +92,141 @@ class _Tree(HTMLParser):
         self.here.parts.append(data)
 
 
+_W = r"[\t\n\r\f ]"
+_ATTR = rf"""{_W}+([a-zA-Z_:][-\w:.]*)=(?:"([^"&]*)"|'([^'&]*)')"""
+_TOKEN = re.compile(rf"""([^<]+)|<([a-zA-Z][a-zA-Z0-9]*)((?:{_ATTR.replace("(", "(?:").replace("(?:?:", "(?:")})*){_W}*>|</([a-zA-Z][a-zA-Z0-9]*){_W}*>|<!(?i:doctype)[^>]*>""")
+_ATTRS = re.compile(_ATTR)
+#: Elements whose content is no markup: left to the library's parser.
+RAW = frozenset("iframe noembed noframes noscript plaintext script style textarea title xmp".split())
+
+
+def _plain_tree(html: str) -> Element | None:
+    """The tree of a page that is all plain tags, quoted attributes without entities, and text, in one pass; None for any other page. It is the tree that the library's parser gives."""
+    root = here = Element("", {}, None)
+    open_: dict[str, int] = {}
+    at, n = 0, len(html)
+    while at < n:
+        m = _TOKEN.match(html, at)
+        if m is None:
+            return None
+        at = m.end()
+        text, tag, attrs, shut = m.groups()
+        if text is not None:
+            here.parts.append(unescape(text) if "&" in text else text)
+        elif tag is not None:
+            tag = tag.lower()
+            if tag in RAW:
+                return None
+            e = Element(tag, {k.lower(): a or b for k, a, b in _ATTRS.findall(attrs)} if attrs else {}, here)
+            here.parts.append(e)
+            if tag not in VOID:
+                here = e
+                open_[tag] = open_.get(tag, 0) + 1
+        elif shut is not None and open_.get(shut := shut.lower()):
+            while here.tag != shut:
+                open_[here.tag] -= 1
+                here = here.up
+            open_[shut] -= 1
+            here = here.up
+    return root
+
+
 def tree(html: str) -> Element:
-    t = _Tree()
-    t.feed(html)
-    t.close()
-    return t.root
+    root = _plain_tree(html)
+    if root is None:
+        t = _Tree()
+        t.feed(html)
+        t.close()
+        root = t.root
+    return root
+
+
+def _index(top: Element) -> dict:
+    """(places, elements) of the page by tag, by .class and by [attribute, in the order of the page."""
+    if top.index is None:
+        every = list(top.walk())
+        found: dict[str, list[Element]] = {"*": every}
+        for i, e in enumerate(every):
+            e.at = e.end = i
+            found.setdefault(e.tag, []).append(e)
+            for a, v in e.attrs.items():
+                found.setdefault("[" + a, []).append(e)
+                if a == "class":
+                    for c in dict.fromkeys(v.split()):
+                        found.setdefault("." + c, []).append(e)
+        top.index = {k: ([e.at for e in v], v) for k, v in found.items()}
+        for e in reversed(every):
+            if e.up is not None and e.up.end < e.end:
+                e.up.end = e.end
+    return top.index
 
 
 _STEP = re.compile(r"([a-z0-9]*)((?:\.[\w-]+|\[[\w-]+(?:\*?=[^\]]*)?\])*)$", re.I)
 
 
-def matches(e: Element, step: str) -> bool:
+@lru_cache(maxsize=None)
+def _step(step: str) -> tuple | None:
+    """A selector's step as (tag, classes, (attribute, sign, value)...); None for what is no step."""
     m = _STEP.match(step)
-    if not m or (m.group(1) and e.tag != m.group(1).lower()):
+    if not m:
+        return None
+    parts = re.findall(r"\.[\w-]+|\[[^\]]*\]", m.group(2))
+    tests = tuple(re.match(r"\[([\w-]+)(\*?=)?([^\]]*)\]", x).groups() for x in parts if x[0] != ".")
+    return m.group(1).lower(), tuple(x[1:] for x in parts if x[0] == "."), tests
+
+
+def matches(e: Element, step: str) -> bool:
+    s = _step(step)
+    if s is None or (s[0] and e.tag != s[0]):
         return False
-    for part in re.findall(r"\.[\w-]+|\[[^\]]*\]", m.group(2)):
-        if part[0] == ".":
-            if part[1:] not in e.attrs.get("class", "").split():
-                return False
-        else:
-            k, star, v = re.match(r"\[([\w-]+)(\*?=)?([^\]]*)\]", part).groups()
-            have = e.attrs.get(k)
-            if have is None or (star == "=" and have != v) or (star == "*=" and v not in have):
-                return False
+    if s[1]:
+        have = e.attrs.get("class", "").split()
+        if not all(c in have for c in s[1]):
+            return False
+    for k, sign, v in s[2]:
+        have = e.attrs.get(k)
+        if have is None or (sign == "=" and have != v) or (sign == "*=" and v not in have):
+            return False
     return True
 
 
+@lru_cache(maxsize=None)
+def _selectors(text: str) -> tuple:
+    """(key of the index, whether it asks for no more, steps) of each selector: the key is what its last step asks for first: .class, [attribute, or tag."""
+    out = []
+    for steps in (x.split() for x in text.split(",")):
+        s = _step(steps[-1])
+        if s is not None:
+            key = "." + s[1][0] if s[1] else "[" + s[2][0][0] if s[2] else s[0] or "*"
+            sure = (s[0] != "") + len(s[1]) + len(s[2]) < 2 and not any(sign for _, sign, _ in s[2])
+            out.append((key, sure, tuple(steps)))
+    return tuple(out)
+
+
 def select(root: Element, selectors: str) -> list[Element]:
     """The elements below root that any of the selectors names, in the order of the page: tags, classes and attributes, and descendants of such."""
-    wanted = [s.split() for s in selectors.split(",")]
-    out = []
-    for e in root.walk():
-        for steps in wanted:
-            if not matches(e, steps[-1]):
+    top = root
+    while top.up is not None:
+        top = top.up
+    index = _index(top)
+    out = {}
+    for key, sure, steps in _selectors(selectors):
+        some = index.get(key)
+        if some is None:
+            continue
+        places, some = some
+        lo, hi = bisect_right(places, root.at), bisect_right(places, root.end)
+        for e in some[lo:hi] if lo < hi else ():
+            if e.at in out or not (sure or matches(e, steps[-1])):
                 continue
-            up, rest = e.up, steps[:-1]
-            while rest and up is not None:
-                if matches(up, rest[-1]):
-                    rest = rest[:-1]
+            up, left = e.up, len(steps) - 1
+            while left and up is not None:
+                if matches(up, steps[left - 1]):
+                    left -= 1
                 up = up.up
-            if not rest:
-                out.append(e)
-                break
-    return [e for e in out if e is not root]
+            if not left:
+                out[e.at] = e
+    return [out[i] for i in sorted(out)]
 
 
 def hits_of(source: str, html: str) -> list[tuple[str, str, str]]:
@@ -144,8 +241,10 @@ def hits_of(source: str, html: str) -> list[tuple[str, str, str]]:
                 continue
             title = a.text() or " ".join(x.text() for x in select(b, "h2, h3"))
             said = " ".join(x.text() for x in select(b, snippets))
-            whole = b.text()
-            out.append((a.attrs.get("href", ""), title, said or (whole[len(title) :] if whole.startswith(title) else whole).strip()))
+            if not said:
+                whole = b.text()
+                said = (whole[len(title) :] if whole.startswith(title) else whole).strip()
+            out.append((a.attrs.get("href", ""), title, said))
         if out:
             return out
     return [(a.attrs["href"], a.text(), "") for a in select(root, "a[href]") if len(a.text()) >= 4]
@@ -163,7 +262,9 @@ def search_results(pages: DataFrame, most: int = MOST_HITS) -> DataFrame:
 
     ok = pages.where(F.coalesce(F.trim("html") != "", F.lit(False)) & ~F.lower("html").rlike("|".join(T.CHALLENGES)))
     d = ok.select("page_id", "source", "query", "html").mapInPandas(run, "page_id long, ord long, source string, query string, href string, title string, snippet string")
-    d = d.withColumn("url", F.substring_index(U.unwrap_redirect(F.col("href")), "#", 1)).where("url is not null and (title != '' or snippet != '')").where(~P.noisy(F.col("url")))
+    # a generated column: a condition on it stays above, where the URL is worked out already
+    url = F.explode(F.array(F.substring_index(U.unwrap_redirect(F.col("href")), "#", 1))).alias("url")
+    d = d.where("title != '' or snippet != ''").select("page_id", "ord", "source", "query", "title", "snippet", url).where(F.col("url").isNotNull() & ~P.noisy(F.col("url")))
     one = keep_first(d.withColumn("page", U.canonical_key(F.col("url"))), ["page_id", "page"], ["ord"])
     return cap(one, ["page_id"], ["ord"], most).select("page_id", "ord", "source", "query", "url", F.left(F.when(F.col("title") == "", "Untitled result").otherwise(F.col("title")), F.lit(160)).alias("title"), F.left("snippet", F.lit(320)).alias("snippet"))
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from auditlake.operators.plugins import Registry
-from auditlake.sources import files
+from auditlake.sources import files, parsers
 
 
 def test_ranges_and_catalogues(spark):
@@ -45,3 +45,32 @@ def test_plugins(spark):
     got, failed = r.run(s, ["id"], ["v"])
     assert [tuple(x) for x in got.collect()] == [(1, "a")] and list(failed) == ["z"]
     assert r.unregister("y") and not r.unregister("y") and r.ids() == ["x", "z"]
+
+
+def _shape(e):
+    return e if isinstance(e, str) else (e.tag, e.attrs, [_shape(x) for x in e.parts])
+
+
+def test_plain_pages_have_the_library_parsers_tree():
+    pages = ["<html><body><LI class='b x'><a HREF=\"/x?y\">A &amp; b</a><p>c<br>d</div></li></body></html>", "<!DOCTYPE html><p>a</p >b<p class=\"\">c", "", "text"]
+    others = ["<script>a<b</script>", "a < b", "<p x=1>", "<a href='?a&copy=1'>", "<br/>", "<!-- c --><p>", "<p"]
+    for html in pages + others:
+        t = parsers._Tree()
+        t.feed(html)
+        t.close()
+        assert _shape(parsers.tree(html)) == _shape(t.root), html
+    assert all(parsers._plain_tree(x) is not None for x in pages) and all(parsers._plain_tree(x) is None for x in others)
+
+
+def test_hits_ask_few_elements(monkeypatch):
+    """Only elements that have a selector's class, attribute or tag are looked at: 60 results with 20 other elements each."""
+    asked, plain = [0], parsers.matches
+
+    def counted(e, step):
+        asked[0] += 1
+        return plain(e, step)
+
+    monkeypatch.setattr(parsers, "matches", counted)
+    html = "".join(f'<li class="b_algo"><h2><a href="/{i}">T{i}</a></h2>{"<i>w</i>" * 20}<p>s{i}</p></li>' for i in range(60))
+    assert parsers.hits_of("Bing", html) == [(f"/{i}", f"T{i}", f"s{i}") for i in range(60)]
+    assert asked[0] <= 60 * 10
