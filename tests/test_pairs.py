@@ -7,7 +7,9 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from auditlake.operators import calibration, pairs
+from auditlake.functions import vectors as V
+from auditlake.operators import calibration, images, pairs
+from auditlake.operators.ordering import cap
 
 
 @pytest.fixture(scope="module")
@@ -92,3 +94,33 @@ def test_pairs_do_not_leave_their_tasks(spark, vectors, tmp_path):
     assert out.count() == 6000
     blocks = pairs.met(d.where("id % 5 = 0"), d)
     assert blocks.count() <= 2 * 4 and pairs.summed(blocks).agg(F.sum("pairs")).first()[0] == 600 * 2999
+
+
+@pytest.mark.parametrize("least,most,kind", [(0.7, 12, "flat"), (0.55, 5, "mixed"), (0.0, 3, "mixed"), (0.6, 400, "mixed"), (0.5, 4, "dark")])
+def test_copies_are_those_of_single_pairs(spark, least, most, kind):
+    """Few hashes, so that scores tie; histograms of several lengths; no, one or three variants; equal bytes."""
+    r = random.Random(5)
+    some = [r.getrandbits(64) - (1 << 63) for _ in range(12)]
+    share = {"flat": lambda: [0.25, 0.75], "mixed": lambda: [r.random() / 2 for _ in range(r.choice([2, 3]))], "dark": lambda: [0.0, r.choice([0.0, 1.0])]}[kind]
+    one = lambda: (r.choice(some), r.choice(some), r.choice(some), share())
+    rows = [(i, r.choice(["", None, f"s{i}", "same"]), [one() for _ in range(r.choice([0, 1, 3]))]) for i in range(300)]
+    f = spark.createDataFrame(rows, images.FINGERPRINT).repartition(3)
+    q = f.where("id % 20 = 0").withColumnRenamed("id", "query")
+    met = f.crossJoin(q.select("query", F.col("sha").alias("qs"), F.col("variants").alias("qv"))).where("query != id")
+    d = met.withColumn("s", V.image_similarity(F.col("qs"), F.col("qv"), F.col("sha"), F.col("variants"))).where(F.col("s.score") >= least)
+    want = cap(d.select("query", "id", "s.score", V.duplicate_class(F.col("s.score"), F.col("s.exact")).alias("class")), ["query"], [F.desc("score"), "id"], most)
+    assert sorted(map(tuple, images.copies(q, f, least, most).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_copies_do_not_go_through_the_plan_one_by_one(spark):
+    f = spark.createDataFrame([(1, "", [])], images.FINGERPRINT)
+    plan = images.copies(f.withColumnRenamed("id", "query"), f)._jdf.queryExecution().optimizedPlan().toString()
+    assert "bit_count" not in plan and "MapInPandas" in plan
+
+
+def test_scores_at_a_tie_are_rounded_as_in_sql(spark):
+    from auditlake.plans import catalogue
+
+    from .compare import oracle, spark_rows
+
+    assert spark_rows(catalogue.queries()["visual_copies"](spark, "/root/testdata/sf0.1")) == oracle("/root/testdata/sf0.1", catalogue.oracle_sql()["visual_copies"])
