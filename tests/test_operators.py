@@ -9,7 +9,7 @@ from auditlake.functions import text as T
 from auditlake.functions import urls as U
 from auditlake.functions import vectors as V
 from auditlake.operators import calibration, cases, discovery, exposure, fusion, handles, identity, images, pii, search
-from auditlake.operators.ordering import cap, keep_first, keep_last
+from auditlake.operators.ordering import cap, keep_first, keep_last, tasks
 from auditlake.sources.tables import platforms
 from auditlake.streaming import breaker
 
@@ -287,3 +287,9 @@ def test_breaker_and_stream(spark, tmp_path):
     assert {(r.event_type, r.n) for r in spark.table("counts").collect()} == {("F", 5), ("S", 1)}
     delay = lambda a, r=None: one(spark, breaker.retry_delay(F.col("a"), F.lit(r)), a=a)
     assert delay(0) == 737 and delay(10) == 6000 and delay(-3) == 600 + -2 * 137 % 311 - 311 and delay(1, "5") == 5000 and delay(1, "600") == 60_000 and delay(1, "soon") == delay(1)
+
+
+def test_keys_that_are_columns_are_kept_as_they_are(spark):
+    d = spark.createDataFrame([(None, 2, "x"), (None, 1, "y"), (1, 3, "z")], "k long, o int, v string")
+    assert sorted(map(tuple, keep_first(d, ["k", "lower(v)"], ["o"]).collect()), key=str) == sorted([(None, 2, "x"), (None, 1, "y"), (1, 3, "z")], key=str)
+    assert sorted(map(tuple, keep_first(d, ["k"], ["o"]).collect()), key=str) == sorted([(None, 1, "y"), (1, 3, "z")], key=str)
