@@ -289,6 +289,19 @@ def test_breaker_and_stream(spark, tmp_path):
     assert delay(0) == 737 and delay(10) == 6000 and delay(-3) == 600 + -2 * 137 % 311 - 311 and delay(1, "5") == 5000 and delay(1, "600") == 60_000 and delay(1, "soon") == delay(1)
 
 
+def test_what_identities_unfold_into_stays_in_tasks_of_bounded_size(spark):
+    """Seeds and candidates of a subject are sorted where its identity lies, in tasks of 5000 identities; before, all lay in one task of few bytes, and candidates were shuffled."""
+    d = spark.range(12_000).coalesce(1).selectExpr("id as subject_id", "concat('Jane Q', id, ' Doe') as full_name", "array(concat('u', id), concat('U', id)) as handles", *[f"cast(array() as array<string>) as {c}" for c in ("aliases", "emails", "phones", "organizations", "locations", "profile_urls")])
+    assert tasks(d, 5_000) == 4 and tasks(d.limit(600), 5_000) == 2 and tasks(d.limit(0), 5_000) == 1 and tasks(d, 1_000) == 12
+    seeds = identity.all_seeds(d)
+    c = identity.capped(identity.candidates(seeds, d, platforms(spark)), 20)
+    parts = c.groupBy(F.spark_partition_id().alias("p")).agg(F.count_distinct("subject_id").alias("n")).collect()
+    assert sum(r.n for r in parts) == 12_000 and max(r.n for r in parts) <= 5_000
+    plan = c._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 2  # of the identities, twice: none of what they unfold into
+    assert seeds.where("subject_id = 7").count() == len(names_of(spark, d.where("subject_id = 7")))
+
+
 def test_keys_that_are_columns_are_kept_as_they_are(spark):
     d = spark.createDataFrame([(None, 2, "x"), (None, 1, "y"), (1, 3, "z")], "k long, o int, v string")
     assert sorted(map(tuple, keep_first(d, ["k", "lower(v)"], ["o"]).collect()), key=str) == sorted([(None, 2, "x"), (None, 1, "y"), (1, 3, "z")], key=str)
